@@ -81,12 +81,13 @@ def match_rules(items: DataFrame, rules: list[dict]) -> DataFrame:
 
 def _grams(words: Column, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.filter(grams, lambda g: ~text.has_ideograph(g))
 
 
 def _substrings(normal: Column, n: int) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.length(normal) - n + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(normal, i, F.lit(n)))
+    return F.filter(F.transform(starts, lambda i: F.substring(normal, i, F.lit(n))), text.has_ideograph)
 
 
 def match_rule_table(items: DataFrame, key: str, rules: DataFrame, max_words: int,

@@ -1,4 +1,4 @@
 """All named queries; importing the modules fills the registry."""
 
-from broadsheet.plans import rule_queries, text_queries  # noqa: F401
+from broadsheet.plans import rule_queries, selection_queries, text_queries  # noqa: F401
 from broadsheet.plans.registry import CHECKS, PLANS  # noqa: F401
