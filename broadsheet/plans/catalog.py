@@ -1,4 +1,10 @@
 """All named queries; importing the modules fills the registry."""
 
-from broadsheet.plans import rule_queries, selection_queries, state_queries, text_queries  # noqa: F401
+from broadsheet.plans import (  # noqa: F401
+    rule_queries,
+    selection_queries,
+    source_queries,
+    state_queries,
+    text_queries,
+)
 from broadsheet.plans.registry import CHECKS, PLANS  # noqa: F401
