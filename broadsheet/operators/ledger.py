@@ -7,7 +7,7 @@ third of the input is reduced to one row per task first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
@@ -269,7 +269,7 @@ def exploration_allowance(deliveries: DataFrame, group: list[str], cap: int, rat
     )
 
 
-def first_by_order(rows: DataFrame, key: list[str], order: list) -> DataFrame:
-    """One row per key, the first in the given order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def first_by_order(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the first in the given order; an aggregation, so hot keys shrink before the shuffle."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, "r.*")

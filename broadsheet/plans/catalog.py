@@ -1,6 +1,8 @@
 """All named queries; importing the modules fills the registry."""
 
 from broadsheet.plans import (  # noqa: F401
+    planning_queries,
+    report_queries,
     rule_queries,
     selection_queries,
     source_queries,
