@@ -18,10 +18,14 @@ def _score(floor: float, earlier: str, later: str) -> float:
 
 
 def ratio_at_least(floor: float):
-    """Arrow-batched similarity; values under the floor come back as 0."""
+    """Arrow-batched similarity; values under the floor come back as 0.
+
+    Declared non-deterministic so that the optimizer evaluates it once per pair, after the cheap conditions,
+    and never moves it into a join.
+    """
 
     @F.pandas_udf(T.DoubleType())
     def ratio(earlier: pd.Series, later: pd.Series) -> pd.Series:
         return pd.Series([_score(floor, a, b) for a, b in zip(earlier, later)], dtype="float64")
 
-    return ratio
+    return ratio.asNondeterministic()

@@ -76,7 +76,8 @@ def match_rules(items: DataFrame, rules: list[dict]) -> DataFrame:
         for rule in rules
     ]
     found = F.filter(F.array(*hits), lambda m: m.isNotNull())
-    return prepared.withColumn("matches", found).drop("_whole", "_places")
+    # A generated column: later filters on the matches are not copied below and evaluated a second time.
+    return prepared.withColumn("matches", F.explode(F.array(found))).drop("_whole", "_places")
 
 
 def _grams(words: Column, n: int) -> Column:

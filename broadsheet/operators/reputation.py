@@ -92,20 +92,17 @@ def product_pages(launches: DataFrame, found: DataFrame, pages: DataFrame, tries
 
     launches: id, url, company, product, domains. found: id, position, link, media. pages: url, headings, text.
     """
-    link = urls.canonical(F.col("link"))
-    host = urls.host(link)
-    rows = (
-        found.join(launches.withColumnRenamed("url", "item_url"), "id")
-        .withColumn("link", link)
-        .filter(
-            (F.col("link") != "") & (F.col("link") != F.col("item_url")) & ~urls.path(F.col("link")).rlike(fixed.NON_PRODUCT_PATH)
-            & looks_official(host, F.col("company"), F.col("domains"), F.col("media"))
-        )
+    addressed = found.withColumn("link", urls.canonical(F.col("link"))).filter("link != ''")
+    hosted = addressed.withColumn("link_host", urls.host(F.col("link"))).withColumn("link_path", urls.path(F.col("link")))
+    rows = hosted.join(launches.withColumnRenamed("url", "item_url"), "id").filter(
+        (F.col("link") != F.col("item_url"))
+        & ~F.col("link_path").rlike(fixed.NON_PRODUCT_PATH)
+        & looks_official(F.col("link_host"), F.col("company"), F.col("domains"), F.col("media"))
     )
     w = Window.partitionBy("id").orderBy("position")
     checked = rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= tries)
     read = checked.join(pages.withColumnRenamed("url", "link"), "link")
-    sure = looks_official(urls.host(F.col("link")), F.col("company"), F.col("domains"), F.lit(""))
+    sure = looks_official(F.col("link_host"), F.col("company"), F.col("domains"), F.lit(""))
     product = text.title_key(F.col("product"))
     holds = (product != "") & text.title_key(F.col("headings")).contains(product) & (
         sure | text.title_key(F.col("text")).contains(text.title_key(F.col("company")))

@@ -1,6 +1,7 @@
 """All named queries; importing the modules fills the registry."""
 
 from broadsheet.plans import (  # noqa: F401
+    duplicate_queries,
     planning_queries,
     report_queries,
     rule_queries,

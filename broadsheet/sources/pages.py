@@ -186,26 +186,32 @@ def listing_articles(listings: DataFrame, keep: list[str], per_page: int = 100)
     cards = F.regexp_extract_all(bare, F.lit(r"(?is)(<article\b[^>]*>.*?</article>|<li\b[^>]*>.*?</li>)"), F.lit(1))
     rows = listings.filter(~blocked).select(*keep, "url", F.posexplode(cards).alias("position", "card"))
     card = F.col("card")
-    anchor = _block(card, r"(?is)(<a\b[^>]*\bhref\b[^>]*>.*?</a>)")
-    heading = text.strip_tags(_block(anchor, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"))
-    href = urls.canonical(absolute(F.col("url"), attribute(_block(anchor, r"(?is)^(<a\b[^>]*>)"), "href")))
-    label = attribute(_block(anchor, r"(?is)^(<a\b[^>]*>)"), "title")
-    timed = visible_dates(card)
+    opening = r"(?is)^(<a\b[^>]*>)"
+    linked = rows.withColumn("anchor", _block(card, r"(?is)(<a\b[^>]*\bhref\b[^>]*>.*?</a>)")).withColumn(
+        "href", attribute(_block(F.col("anchor"), opening), "href")
+    )
+    addressed = linked.withColumn("href", urls.canonical(absolute(F.col("url"), F.col("href")))).filter("href != ''")
+    heading = text.strip_tags(_block(F.col("anchor"), r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"))
+    label = attribute(_block(F.col("anchor"), opening), "title")
     paragraphs = F.transform(
         F.regexp_extract_all(card, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), text.strip_tags
     )
     longest = F.array_sort(F.transform(paragraphs, lambda p, i: F.struct((-F.length(p)).alias("n"), i.alias("i"), p.alias("p"))))
-    found = rows.select(
-        *keep, "position", href.alias("href"),
-        F.when(heading != "", heading).when(label != "", label).otherwise(text.strip_tags(anchor)).alias("title"),
+    read = addressed.withColumn("heading", heading).withColumn("label", label).withColumn("seen", text.strip_tags(card))
+    found = read.select(
+        *keep, "position", "href",
+        F.when(F.col("heading") != "", F.col("heading")).when(F.col("label") != "", F.col("label")).otherwise(
+            text.strip_tags(F.col("anchor"))
+        ).alias("title"),
         F.coalesce(
-            dates.url_date(urls.host(href), urls.path(href)), F.try_element_at(timed, F.lit(-1)),
-            dates.date_text(text.strip_tags(card)),
+            dates.url_date(urls.host(F.col("href")), urls.path(F.col("href"))),
+            F.try_element_at(visible_dates(card), F.lit(-1)),
+            dates.date_text(F.col("seen")),
         ).alias("published"),
-        dates.date_hint(text.strip_tags(card)).alias("hinted"),
+        dates.date_hint(F.col("seen")).alias("hinted"),
         F.coalesce(F.substring(F.try_element_at(longest, F.lit(1))["p"], 1, 2000), F.lit("")).alias("summary"),
-        (href == urls.canonical(F.col("url"))).alias("self_link"),
-    ).filter((F.col("href") != "") & ~F.col("self_link") & F.length("title").between(8, 300))
+        (F.col("href") == urls.canonical(F.col("url"))).alias("self_link"),
+    ).filter(~F.col("self_link") & F.length("title").between(8, 300))
     merged = found.groupBy(*keep, "href").agg(
         F.min("position").alias("position"),
         F.min_by("title", "position").alias("title"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadsheet import fixed_values as fixed
 from broadsheet.functions import dates, urls
 
 _ARTICLE = "struct<title:string,link:string,create_time:string>"
@@ -59,43 +60,41 @@ def policy_list(payloads: DataFrame, keep: list[str], per_payload: int = 100) ->
 
 def search_articles(rows: DataFrame, keep: list[str], domain: Column | None = None) -> DataFrame:
     """Search-result rows (title, link, publish_date, content, media) as articles."""
-    url = urls.canonical(F.coalesce("link", F.lit("")))
-    when = F.coalesce("publish_date", F.lit(""))
-    found, coded = dates.date_text(when), dates.url_date(urls.host(url), urls.path(url))
-    kept = rows.filter(
-        (url != "") & ~urls.dictionary_site(url) & (F.coalesce("title", F.lit("")) != "")
+    addressed = rows.withColumn("_url", urls.canonical(F.coalesce("link", F.lit("")))).filter("_url != ''")
+    hosted = addressed.withColumn("_host", urls.host(F.col("_url"))).withColumn("_when", F.coalesce("publish_date", F.lit("")))
+    kept = hosted.filter(
+        ~urls.under_any(F.col("_host"), fixed.DICTIONARY_DOMAINS) & (F.coalesce("title", F.lit("")) != "")
     )
     if domain is not None:
-        host = urls.host(url)
-        kept = kept.filter((domain == "") | (host == domain) | F.endswith(host, F.concat(F.lit("."), domain)))
-    return kept.select(
+        kept = kept.filter((domain == "") | _below(F.col("_host"), domain))
+    dated = kept.withColumn("_stated", dates.date_text(F.col("_when"))).withColumn(
+        "_coded", dates.url_date(F.col("_host"), urls.path(F.col("_url")))
+    )
+    return dated.select(
         *keep,
         F.substring("title", 1, 250).alias("title"),
-        url.alias("url"),
-        F.coalesce(found, coded).alias("published"),
-        F.when(F.coalesce("media", F.lit("")) != "", F.col("media")).otherwise(urls.host(url)).alias("source"),
+        F.col("_url").alias("url"),
+        F.coalesce("_stated", "_coded").alias("published"),
+        F.when(F.coalesce("media", F.lit("")) != "", F.col("media")).otherwise(F.col("_host")).alias("source"),
         F.substring(F.coalesce("content", F.lit("")), 1, 2000).alias("summary"),
-        F.when(found.isNotNull(), F.lit("search")).when(coded.isNotNull(), F.lit("url")).when(
-            dates.date_hint(when), F.lit("hint_unparsed")
+        F.when(F.col("_stated").isNotNull(), F.lit("search")).when(F.col("_coded").isNotNull(), F.lit("url")).when(
+            dates.date_hint(F.col("_when")), F.lit("hint_unparsed")
         ).otherwise(F.lit("no_date_hint")).alias("date_evidence"),
     )
 
 
+def _below(host: Column, domain: Column) -> Column:
+    return (host == domain) | F.endswith(host, F.concat(F.lit("."), domain))
+
+
 def unwrapped_news(rows: DataFrame, domain: Column | None = None) -> DataFrame:
     """Feed rows behind a news wrapper, under their real address and publisher; what stays wrapped drops."""
-    opened = rows.withColumn("url", urls.unwrap(F.col("url"))).filter("url != ''")
-    host = urls.host(F.col("url"))
-    if domain is not None:
-        opened = opened.filter((host == domain) | F.endswith(host, F.concat(F.lit("."), domain)))
-    return opened.withColumn("source", host)
+    opened = rows.withColumn("url", urls.unwrap(F.col("url"))).filter("url != ''").withColumn("source", urls.host(F.col("url")))
+    return opened if domain is None else opened.filter(_below(F.col("source"), domain))
 
 
 def broad_listing_reads(rows: DataFrame, source: list[str], order: str, limit: int = 6) -> DataFrame:
     """Undated rows of a broad listing that are directly relevant and worth opening, first few per source."""
-    from pyspark.sql import Window
-
-    from broadsheet import fixed_values as fixed
-
     seen = F.concat(F.col("title"), F.lit(" "), F.substring("summary", 1, 500))
     hits = rows.filter(F.col("published").isNull() & seen.rlike(fixed.BROAD_LISTING_TERMS))
     w = Window.partitionBy(*source).orderBy(order)
