@@ -183,9 +183,11 @@ def assign_representatives(items: DataFrame, max_rounds: int = 200) -> DataFrame
         )
         turn = cut(_turn(wanted, leaders_per_block))
         asked = turn.filter("ready")
-        edges = cut(edges.unionByName(similar_titles(asked, titles)))
-        expanded = cut(expanded.unionByName(asked.select("kind")))
-        waiting = not turn.filter("NOT ready").limit(1).isEmpty()
+        waiting = not turn.isEmpty()
+        if waiting:
+            edges = edges.unionByName(cut(similar_titles(asked, titles)))
+            expanded = expanded.unionByName(asked.select("kind"))
+            waiting = not turn.filter("NOT ready").isEmpty()
         leaders_per_block *= LEADER_GROWTH
 
         # Titles: a change of day does not interrupt a title, so spans of one title are joined up again.
@@ -216,13 +218,15 @@ def assign_representatives(items: DataFrame, max_rounds: int = 200) -> DataFrame
 def _turn(wanted: DataFrame, leaders_per_block: int) -> DataFrame:
     """Mark the representatives that may look for partners now: among the first few in all of their blocks."""
     budget = (F.floor(F.length("title_key") * DIFFERING) + 1).cast("int")
-    blocks = _pieces(wanted, budget).select("kind", "since", "day", "numbers", "piece").distinct()
+    starts = F.transform(F.sequence(F.lit(0), budget - 1), lambda i: F.substring(F.col("title_key"), i * PIECE + 1, F.lit(PIECE)))
+    pieces = F.array_distinct(starts)
+    blocks = wanted.select("kind", "since", "day", "numbers", F.size(pieces).alias("total"), F.explode(pieces).alias("piece"))
     w = Window.partitionBy("day", "numbers", "piece").orderBy("since", "kind")
     early = blocks.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= leaders_per_block)
-    total = blocks.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
-    within = early.groupBy("kind").agg(F.count(F.lit(1)).alias("within"))
-    marks = total.join(within, "kind", "left").select("kind", F.coalesce(F.col("within") == F.col("total"), F.lit(False)).alias("ready"))
-    return wanted.join(marks, "kind")
+    ready = early.groupBy("kind", "total").agg(F.count(F.lit(1)).alias("within")).filter("within = total").select(
+        "kind", F.lit(True).alias("ready")
+    )
+    return wanted.join(ready, "kind", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))
 
 
 def merge(items: DataFrame, assigned: DataFrame) -> DataFrame:

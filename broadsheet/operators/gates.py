@@ -295,3 +295,45 @@ def repository_use_case(category: Column, english: bool = False) -> Column:
     for chinese, _, _, use, english_use in fixed.REPO_CATEGORIES:
         out = F.when(category == chinese, F.lit(english_use if english else use)).otherwise(out)
     return out
+
+
+def first_seen_proxy(items: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Undated items of trusted listings stand on their discovery day once their page was read in vain.
+
+    items: id, published, first_reported, date_evidence (after reading), listed_evidence (before). trusted: id, first_seen.
+    """
+    joined = items.join(trusted.select("id", "first_seen"), "id", "left")
+    stands = (
+        F.col("published").isNull()
+        & F.col("first_seen").isNotNull()
+        & (F.col("listed_evidence") == "no_date_hint")
+        & (F.col("date_evidence") == "no_date_hint")
+    )
+    seen = F.col("first_seen")
+    return (
+        joined.withColumn("stands", stands)
+        .withColumn("published", F.when(F.col("stands"), seen).otherwise(F.col("published")))
+        .withColumn("first_reported", F.when(F.col("stands"), seen).otherwise(F.col("first_reported")))
+        .withColumn("date_evidence", F.when(F.col("stands"), F.lit("recent_first_seen")).otherwise(F.col("date_evidence")))
+        .drop("stands", "first_seen", "listed_evidence")
+    )
+
+
+def summary_evidence(items: DataFrame, rules: list[dict], limit: int = 6000) -> DataFrame:
+    """Add ``evidence``: a usable source summary, else the first four paragraphs and later ones that match a rule."""
+    keep = matching.paragraph_matches(F.col("body"), rules, 4)
+    text_of = F.array_join(keep, "\n")
+    usable = text.usable_summary(F.col("summary"), F.col("title"))
+    chosen = F.when(usable, F.col("summary")).otherwise(text_of)
+    return items.withColumn("evidence", F.substring(chosen, 1, limit))
+
+
+def evidence_signature(*parts: Column) -> Column:
+    """Cache key of a decision: any change of its inputs changes it."""
+    return text.digest(F.concat(*parts))
+
+
+def candidate_union(collected: DataFrame, candidates: DataFrame, recent: DataFrame) -> DataFrame:
+    """The day's candidates in provenance order; ``pos`` ranks collected, then retained, then recent rows."""
+    parts = [t.withColumn("provenance", F.lit(i)) for i, t in enumerate((collected, candidates, recent))]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)

@@ -66,15 +66,16 @@ def _last(value: str, where: Column) -> Column:
 def upsert_candidates(stored: DataFrame, observed: DataFrame) -> DataFrame:
     """Merge the day's evidence into the candidate table.
 
-    Both sides: id, seq, day, published, date_evidence, first_reported, summary, excerpt, released. ``seq``
+    Both sides: id, seq, first_seen, last_seen, published, date_evidence, first_reported, summary, excerpt, released. ``seq``
     orders sightings and stored rows come before new ones. Longest source summary wins (latest on a tie); a
     known date is never lost to an undated sighting; first and last sighting days are kept.
     """
     rows = stored.unionByName(observed)
     dated = F.col("published").isNotNull()
     out = rows.groupBy("id").agg(
-        F.min("day").alias("first_seen"),
-        F.max("day").alias("last_seen"),
+        F.max("seq").alias("seq"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
         F.max_by("summary", F.struct(F.length("summary"), F.col("seq"))).alias("summary"),
         _last("excerpt", F.col("excerpt") != "").alias("excerpt"),
         _last("published", dated).alias("published"),
@@ -88,6 +89,11 @@ def upsert_candidates(stored: DataFrame, observed: DataFrame) -> DataFrame:
     ).withColumn("excerpt", F.coalesce("excerpt", F.lit(""))).drop("_dated_evidence", "_last_evidence")
 
 
+def sightings(observed: DataFrame) -> DataFrame:
+    """Rows seen on one day, in the shape of the candidate table."""
+    return observed.withColumn("first_seen", F.col("day")).withColumnRenamed("day", "last_seen")
+
+
 def release(candidates: DataFrame, today: Column) -> DataFrame:
     return candidates.withColumn("released", F.coalesce("released", today))
 
@@ -269,6 +275,15 @@ def exploration_allowance(deliveries: DataFrame, group: list[str], cap: int, rat
     )
 
 
+def save_articles(stored: DataFrame, new: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Latest row per id; rows under a tombstone are not stored. Both sides: id, seq and the article columns."""
+    allowed = not_tombstoned(new, "id", tombstones)
+    columns = [c for c in stored.columns if c != "id"]
+    rows = stored.select("id", F.lit(0).alias("_side"), *columns).unionByName(allowed.select("id", F.lit(1).alias("_side"), *columns))
+    latest = rows.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("_side", "seq")).alias("r"))
+    return latest.select("id", "r.*")
+
+
 def first_by_order(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first in the given order; an aggregation, so hot keys shrink before the shuffle."""
     rest = [c for c in rows.columns if c not in key]

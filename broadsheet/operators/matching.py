@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import text
 
+Scorer = Callable[[DataFrame], Column]
 SUMMARY_WINDOW, PARAGRAPH_WINDOW = 500, 800
 PROFILE_BATCH = 50
 RULES_IN_PLAN = 1000
@@ -91,6 +93,30 @@ def _substrings(normal: Column, n: int) -> Column:
     return F.filter(F.transform(starts, lambda i: F.substring(normal, i, F.lit(n))), text.has_ideograph)
 
 
+def paragraph_matches(body: Column, rules: list[dict], always: int) -> Column:
+    """Lines of a body: the first ``always`` ones, later ones only when a rule holds within the line."""
+
+    def holds(line: Column) -> Column:
+        normal = text.normalize(F.substring(line, 1, PARAGRAPH_WINDOW))
+        spaced = text.padded(normal)
+        any_rule = F.lit(False)
+        for rule in rules:
+            groups = [_terms(g) for g in rule["groups"]]
+            if groups and all(groups):
+                any_rule = any_rule | reduce(lambda a, b: a & b, [text.any_term(normal, spaced, g) for g in groups])
+        return any_rule
+
+    return F.filter(F.split(body, "\n"), lambda line, i: (i < always) | holds(line))
+
+
+def with_channel_scores(items: DataFrame, scorers: dict[str, "Scorer"], default: "Scorer") -> DataFrame:
+    """Add ``channel_score`` from the scorer registered for each item's channel (a function of the columns)."""
+    score = default(items)
+    for channel, scorer in scorers.items():
+        score = F.when(F.col("channel_id") == channel, scorer(items)).otherwise(score)
+    return items.withColumn("channel_score", score)
+
+
 def match_rule_table(items: DataFrame, key: str, rules: DataFrame, max_words: int,
                      ideograph_lengths: list[int]) -> DataFrame:
     """(key, rule_id) pairs for a rule table of any size, by equality on terms.

@@ -44,9 +44,12 @@ def _static(row) -> tuple:
 
 
 def _allocate(rows: pd.DataFrame, size: int, source_limit: int) -> list[tuple]:
-    """Next best candidate again and again, cycling over categories, each source within its share."""
+    """Next best candidate again and again, cycling over categories, each source within its share.
+
+    A category that already has all its places gets at most REPLACEMENT_LIMIT challengers, after all others.
+    """
     waiting = sorted(rows.itertuples(index=False), key=_static)
-    categories, sources = {}, {}
+    categories, sources, challengers = {}, {}, {}
     order, overflow = [], False
     while waiting and len(order) < size:
         best, best_key = None, None
@@ -54,12 +57,16 @@ def _allocate(rows: pd.DataFrame, size: int, source_limit: int) -> list[tuple]:
             over = sources.get(row.source_key, 0) >= source_limit
             if over and row.tier < 3 and not overflow:
                 continue
+            if row.full and challengers.get(row.category, 0) >= fixed.REPLACEMENT_LIMIT:
+                continue
             key = (
-                over, not row.explore_due, row.relevance < fixed.ACCEPT_THRESHOLD, categories.get(row.category, 0),
+                row.full, over, not row.explore_due, row.relevance < fixed.ACCEPT_THRESHOLD, categories.get(row.category, 0),
                 fixed.CATEGORY_ORDER.get(row.category, 5),
             )
             if best is None or key < best_key:
                 best, best_key = row, key
+        if best is None and overflow:
+            break
         if best is None:
             # Only sources over their share are left: from here on the share is relaxed.
             overflow = True
@@ -67,23 +74,27 @@ def _allocate(rows: pd.DataFrame, size: int, source_limit: int) -> list[tuple]:
         waiting.remove(best)
         categories[best.category] = categories.get(best.category, 0) + 1
         sources[best.source_key] = sources.get(best.source_key, 0) + 1
+        challengers[best.category] = challengers.get(best.category, 0) + int(best.full)
         order.append((best, overflow))
     return order
 
 
 def analysis_plan(queue: DataFrame, budget: int = fixed.ANALYSIS_BUDGET, refill: int = fixed.REFILL_LIMIT,
-                  source_limit: int = SOURCE_LIMIT) -> DataFrame:
+                  source_limit: int = SOURCE_LIMIT, picks: DataFrame | None = None) -> DataFrame:
     """Label every candidate base, refill, overflow or deferred and number those to be analysed.
 
     queue: edition, id, identity, category, source_key, tier, relevance, estimate, source_priority,
-    date_priority, needs_read, trusted_undated, undated, exploration, exploration_due.
+    date_priority, needs_read, trusted_undated, undated, exploration, exploration_due. picks: edition,
+    category, estimate of what is already chosen; a category without free places admits only dated
+    candidates clearly above its weakest pick.
 
     At most ``refill`` rows are taken and at most refill / source_limit sources can fill their share, so of a
     class (category, due, likely) no row beyond the first refill + (refill / source_limit) * refill of the
     per-source leaders can be reached; that bounds what one edition hands to the allocation.
     """
-    rows = queue.select(
-        *EDITION, "id", "identity", "category", "source_key", "tier", "relevance", "estimate", "source_priority", "date_priority",
+    admitted = queue.withColumn("full", F.lit(False)) if picks is None else _challengers(queue, picks)
+    rows = admitted.select(
+        *EDITION, "id", "identity", "full", "category", "source_key", "tier", "relevance", "estimate", "source_priority", "date_priority",
         (F.col("needs_read") & F.col("trusted_undated")).alias("trusted"),
         F.when(F.col("undated"), 2).when(F.col("needs_read"), 1).otherwise(0).alias("evidence_level"),
         (F.col("exploration") & F.col("exploration_due")).alias("explore_due"),
@@ -117,6 +128,14 @@ def analysis_plan(queue: DataFrame, budget: int = fixed.ANALYSIS_BUDGET, refill:
     return queue.select(*EDITION, "id", "category").join(plan, [*EDITION, "id"], "left").fillna("deferred", ["stage"])
 
 
+def _challengers(queue: DataFrame, picks: DataFrame) -> DataFrame:
+    held = picks.groupBy(*EDITION, "category").agg(F.count(F.lit(1)).alias("held"), F.min("estimate").alias("weakest"))
+    cap = F.when(F.col("category") == fixed.ACADEMIC, min(fixed.CATEGORY_CAP, fixed.ACADEMIC_CAP)).otherwise(fixed.CATEGORY_CAP)
+    joined = queue.join(held, [*EDITION, "category"], "left").withColumn("full", F.coalesce(F.col("held") >= cap, F.lit(False)))
+    stronger = ~F.col("undated") & (F.col("estimate") > F.col("weakest") * fixed.REPLACEMENT_MARGIN)
+    return joined.filter(~F.col("full") | stronger).drop("held", "weakest")
+
+
 def round_robin(queue: DataFrame, order: list, size: int) -> DataFrame:
     """Allocation without source limits: categories take turns in fixed direction order."""
     w = Window.partitionBy(*EDITION, "category").orderBy(*order)

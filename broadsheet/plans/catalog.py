@@ -8,6 +8,7 @@ from broadsheet.plans import (  # noqa: F401
     selection_queries,
     source_queries,
     state_queries,
+    stream_queries,
     text_queries,
 )
 from broadsheet.plans.registry import CHECKS, PLANS  # noqa: F401

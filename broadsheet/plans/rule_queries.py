@@ -9,6 +9,7 @@ from broadsheet.functions import dates, scores, text
 from broadsheet.operators import gates, matching
 from broadsheet.plans import dimensions as dim
 from broadsheet.plans.registry import query
+from broadsheet.sources import payloads
 from broadsheet.plans.tables import (
     ARTICLES, ASSESSMENTS, articles, assessments, first_word, sql_host, sql_normal, with_sql,
 )
@@ -279,3 +280,93 @@ def channel_score_issues(spark, sf_dir):
     )
     c = F.col
     return rows.select("doc_id", gates.channel_score_issue(c("relevance"), c("novelty"), c("digest"), c("reason")).alias("issue"))
+
+
+@query(
+    "company_keys",
+    with_sql(ARTICLES)
+    + """SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(
+        CASE WHEN regexp_matches(title || ' ' || summary, '(?i)(^|[^A-Za-z])(Apple|苹果公司|苹果)($|[^A-Za-z])') THEN ['apple'] ELSE [] END,
+        CASE WHEN regexp_matches(title || ' ' || summary, '(?i)(^|[^A-Za-z])(Muse|InteraXon)($|[^A-Za-z])') THEN ['muse'] ELSE [] END,
+        CASE WHEN doc_id % 5 = 0 THEN ['muse'] ELSE [] END,
+        [replace(lower(regexp_extract(title, '(\\p{L}{3,})', 1)), 'ß', 'ss')]))), '|') AS companies FROM articles""",
+)
+def company_keys(spark, sf_dir):
+    named = F.when(F.col("doc_id") % 5 == 0, F.array(first_word(F.col("title")), F.lit("INTERAXON"))).otherwise(F.array(first_word(F.col("title"))))
+    keys = gates.company_keys(F.col("title"), F.col("summary"), named)
+    return articles(spark, sf_dir).select("doc_id", F.array_join(keys, "|").alias("companies"))
+
+
+@query(
+    "estimated_relevance",
+    with_sql(ARTICLES, PLACES, RULE_ROWS)
+    + """SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)eeg|electroencephal') AND regexp_matches(t, '(?i)emotion recognition|affective computing|emotion decoding') THEN 85
+        ELSE coalesce((SELECT max(weight) FROM hits h WHERE h.doc_id = a.doc_id), 20) END::INT AS relevance
+      FROM (SELECT *, title || ' ' || substr(summary, 1, 2000) AS t FROM articles) a""",
+)
+def estimated_relevance(spark, sf_dir):
+    matched = matching.match_rules(articles(spark, sf_dir), dim.RULES)
+    seen = F.concat(F.col("title"), F.lit(" "), F.substring("summary", 1, 2000))
+    return matched.select("doc_id", scores.estimated_relevance(seen, matching.top_weight(F.col("matches"))).alias("relevance"))
+
+
+@query(
+    "first_seen_proxy",
+    with_sql(ARTICLES)
+    + """SELECT doc_id, CASE WHEN published IS NULL AND doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN seen_day ELSE published END AS published,
+      CASE WHEN published IS NULL AND doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN 'recent_first_seen' WHEN doc_id % 3 = 0 THEN 'hint_unparsed' ELSE 'no_date_hint' END AS date_evidence FROM articles""",
+)
+def first_seen_proxy(spark, sf_dir):
+    items = articles(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), "published", F.lit(None).cast("date").alias("first_reported"), F.lit("no_date_hint").alias("listed_evidence"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("hint_unparsed")).otherwise(F.lit("no_date_hint")).alias("date_evidence"),
+    )
+    trusted = articles(spark, sf_dir).filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("seen_day").alias("first_seen"))
+    return gates.first_seen_proxy(items, trusted).select(F.col("id").alias("doc_id"), "published", "date_evidence")
+
+
+@query(
+    "summary_evidence",
+    with_sql(ARTICLES)
+    + f"""SELECT doc_id, (SELECT count(*) FROM (SELECT unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS i)
+        WHERE i < 4 OR {" OR ".join(_sql_rule(r, sql_normal("substr(line, 1, 800)")) for r in dim.RULES)}) AS lines FROM articles""",
+)
+def summary_evidence(spark, sf_dir):
+    kept = matching.paragraph_matches(F.col("body"), dim.RULES, 4)
+    return articles(spark, sf_dir).select("doc_id", F.size(kept).cast("long").alias("lines"))
+
+
+@query(
+    "broad_listing_reads",
+    with_sql(ARTICLES)
+    + """SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM articles
+      WHERE published IS NULL AND regexp_matches(title || ' EEG ' || substr(summary, 1, 500), '(?i)\\bEEG\\b')) WHERE n <= 6""",
+)
+def broad_listing_reads(spark, sf_dir):
+    rows = articles(spark, sf_dir).withColumn("title", F.concat("title", F.lit(" EEG")))
+    return payloads.broad_listing_reads(rows, ["source"], "doc_id").select("doc_id", "source")
+
+
+@query(
+    "channel_fallbacks",
+    with_sql(ARTICLES, CHANNEL_ITEMS, INTERESTS)
+    + """SELECT profile_id, doc_id, greatest(0, least(10, round_even(rule_score / 10, 0)))::INT AS relevance_score,
+      CASE WHEN len(matched) = 0 THEN '根据规则排序入选。' ELSE '命中关注词：' || array_to_string(matched[1:3], '、') || '。' END AS reason FROM scored""",
+)
+def channel_fallbacks(spark, sf_dir):
+    scored = matching.score_interests(channel_items(spark, sf_dir), dim.PROFILES)
+    c = F.col
+    made = gates.fallback_assessment(c("rule_score"), c("matched_keywords"), c("summary"), c("content"), c("title"))
+    return scored.select("profile_id", "doc_id", made["relevance_score"].alias("relevance_score"), made["reason"].alias("reason"))
+
+
+@query(
+    "channel_scorers",
+    with_sql(ARTICLES, CHANNEL_ITEMS)
+    + "SELECT doc_id, CASE channel_id WHEN 'academic' THEN len(content) WHEN 'products' THEN len(title) * 2 ELSE len(title) END::INT AS channel_score FROM items",
+)
+def channel_scorers(spark, sf_dir):
+    """A scorer per channel, each a function from the items to a column."""
+    scorers = {"academic": lambda items: F.length(items["content"]), "products": lambda items: F.length(items["title"]) * 2}
+    scored = matching.with_channel_scores(channel_items(spark, sf_dir), scorers, lambda items: F.length(items["title"]))
+    return scored.select("doc_id", "channel_score")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
 from broadsheet.functions import scores, text
-from broadsheet.operators import gates, matching, quotas
+from broadsheet.operators import gates, matching, planning, quotas
 from broadsheet.plans import dimensions as dim
 from broadsheet.plans.registry import query
 from broadsheet.plans.rule_queries import (
@@ -128,6 +128,7 @@ def _profile_table(spark):
 
 
 def _channel_scored(spark, sf_dir):
+    """Items of every profile's channels; one scan and one scoring pass for all profiles."""
     return matching.score_interests(channel_items(spark, sf_dir), dim.PROFILES).select(
         "profile_id", "channel_id", "source", "title", F.col("doc_id").alias("id"), "matched_keywords", "rule_score", "ts"
     )
@@ -149,18 +150,23 @@ def top_per_source(spark, sf_dir):
     return best.select("profile_id", "source", "id", "source_rank")
 
 
-def channel_shortlist(spark, sf_dir):
-    best = quotas.top_per_source(_channel_scored(spark, sf_dir), ["profile_id", "channel_id", "source"], 6, rule_order())
+def channel_candidates(spark, sf_dir):
+    """Best rows per source, written once because both the shortlist and the counters read them."""
+    return quotas.cut(quotas.top_per_source(_channel_scored(spark, sf_dir), ["profile_id", "channel_id", "source"], 6, rule_order()))
+
+
+def channel_shortlist(spark, sf_dir, best=None):
+    best = channel_candidates(spark, sf_dir) if best is None else best
     picked = quotas.keyword_coverage(best, ["profile_id", "channel_id"], _profile_table(spark), 6, rule_order())
     return best.join(picked, ["profile_id", "channel_id", "id"]).withColumnRenamed("pick_rank", "shortlist_rank")
 
 
-def channel_assessed(spark, sf_dir):
+def channel_assessed(spark, sf_dir, best=None):
     """Shortlist with channel assessments from labels; unassessed items use the rule fallback."""
     from broadsheet.plans.tables import assessments
 
     found = assessments(spark, sf_dir).select(F.col("doc_id").alias("id"), "relevance", F.lit("ai").alias("status"))
-    joined = channel_shortlist(spark, sf_dir).join(found, "id", "left")
+    joined = channel_shortlist(spark, sf_dir, best).join(found, "id", "left")
     rel = F.floor(F.col("relevance") / 10).cast("int")
     return joined.withColumn(
         "final_score",
@@ -218,8 +224,8 @@ def keyword_coverage_shortlist(spark, sf_dir):
     with_sql(ARTICLES, CHANNEL_ITEMS, INTERESTS, ASSESSMENTS, CHANNEL_PICKS)
     + "SELECT p.profile_id, p.channel_id, p.id, p.pick_rank, f.final_score FROM picks p JOIN final f ON p.profile_id = f.profile_id AND p.channel_id = f.channel_id AND p.id = f.doc_id",
 )
-def keyword_coverage_picks(spark, sf_dir):
-    rows = channel_assessed(spark, sf_dir)
+def keyword_coverage_picks(spark, sf_dir, best=None):
+    rows = quotas.cut(channel_assessed(spark, sf_dir, best))
     picked = quotas.keyword_coverage(rows, ["profile_id", "channel_id"], _profile_table(spark), 3, final_order())
     return picked.join(rows.select("profile_id", "channel_id", "id", "final_score"), ["profile_id", "channel_id", "id"])
 
@@ -235,8 +241,38 @@ def keyword_coverage_picks(spark, sf_dir):
 def channel_runs(spark, sf_dir):
     """Counters of every channel run: items kept in the window, shortlist size, picks."""
     group = ["profile_id", "channel_id"]
-    best = quotas.top_per_source(_channel_scored(spark, sf_dir), [*group, "source"], 6, rule_order())
+    best = channel_candidates(spark, sf_dir)
     scanned = best.groupBy(*group).agg(F.count(F.lit(1)).alias("scanned"))
-    short = channel_shortlist(spark, sf_dir).groupBy(*group).agg(F.count(F.lit(1)).alias("shortlisted"))
-    picks = keyword_coverage_picks(spark, sf_dir).groupBy(*group).agg(F.count(F.lit(1)).alias("picked"))
+    short = channel_shortlist(spark, sf_dir, best).groupBy(*group).agg(F.count(F.lit(1)).alias("shortlisted"))
+    picks = keyword_coverage_picks(spark, sf_dir, best).groupBy(*group).agg(F.count(F.lit(1)).alias("picked"))
     return scanned.join(short, group).join(picks, group)
+
+
+@query(
+    "finalists",
+    with_sql(ARTICLES, ASSESSMENTS, GATE_SQL, SCORED)
+    + """SELECT edition_day, profile_id, id, check_order FROM (SELECT *, (row_number() OVER (PARTITION BY edition_day, profile_id ORDER BY shortlist DESC, effective DESC, identity DESC, id))::INT AS check_order FROM scored)
+      WHERE check_order <= 10""",
+)
+def finalists(spark, sf_dir):
+    rows = scored_items(spark, sf_dir).withColumn("relevance", F.col("effective"))
+    return planning.finalists(rows).select("edition_day", "profile_id", "id", "check_order")
+
+
+_LINK_ONLY = f"""failed AS (SELECT edition_day, profile_id, p2, list({_ITEM} ORDER BY ranking DESC, shortlist DESC, identity DESC) AS lost FROM scored JOIN picked USING (edition_day, profile_id)
+    WHERE id::BIGINT % 2 = 1 GROUP BY ALL),
+held AS (SELECT *, list_filter(p2, lambda h: h.id::BIGINT % 2 = 0) AS good FROM failed),
+backfilled AS (SELECT edition_day, profile_id, good, list_reduce(list_transform(lost, lambda x: [x]), lambda acc, y:
+    CASE WHEN len(acc) < 7 AND {_fits("y[1]", "acc", 0)} THEN list_concat(acc, y) ELSE acc END, good) AS after FROM held)"""
+
+
+@query(
+    "link_only_backfill",
+    with_sql(ARTICLES, ASSESSMENTS, GATE_SQL, SCORED, SELECT_SQL, _LINK_ONLY)
+    + "SELECT edition_day, profile_id, x.id AS id FROM (SELECT edition_day, profile_id, unnest(after[len(good) + 1:]) AS x FROM backfilled)",
+)
+def link_only_backfill(spark, sf_dir):
+    """Odd-numbered documents stand for items whose summary failed; they fill what the good picks leave free."""
+    rows = quotas.cut(scored_items(spark, sf_dir))
+    good = quotas.select_edition(rows).filter("cast(id AS long) % 2 = 0")
+    return quotas.link_only_backfill(good, rows.filter("cast(id AS long) % 2 = 1")).select("edition_day", "profile_id", "id")

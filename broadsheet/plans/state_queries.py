@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from broadsheet.functions import scores, text
-from broadsheet.operators import ledger
+from broadsheet.operators import gates, ledger
 from broadsheet.plans.registry import query
 from broadsheet.plans.tables import (
     ARTICLES, ASSESSMENTS, OBSERVATIONS, articles, assessments, load, observations, sql_title_key, with_sql,
@@ -108,6 +108,11 @@ def _sightings(spark, sf_dir):
     return rows.filter("day < '2024-01-15'"), rows.filter("day >= '2024-01-15'")
 
 
+def _merged(spark, sf_dir):
+    stored, new = _sightings(spark, sf_dir)
+    return ledger.upsert_candidates(ledger.sightings(stored), ledger.sightings(new)).drop("seq")
+
+
 SIGHTINGS = """sightings AS (SELECT item_id::VARCHAR AS id, event_id AS seq, day,
     CASE WHEN event_id % 3 = 0 THEN day - (event_id % 50)::INT END AS published,
     CASE event_id % 3 WHEN 0 THEN 'listing' WHEN 1 THEN 'no_date_hint' ELSE 'hint_unparsed' END AS date_evidence,
@@ -131,7 +136,7 @@ def first_seen_ledger(spark, sf_dir):
 
 @query("candidate_upsert", with_sql(OBSERVATIONS, SIGHTINGS) + "SELECT * FROM candidates")
 def candidate_upsert(spark, sf_dir):
-    return ledger.upsert_candidates(*_sightings(spark, sf_dir))
+    return _merged(spark, sf_dir)
 
 
 @query(
@@ -142,7 +147,7 @@ def candidate_upsert(spark, sf_dir):
       FROM (SELECT *, published IS NULL OR date_evidence = 'recent_first_seen' AS undated FROM candidates))""",
 )
 def retention_split(spark, sf_dir):
-    merged = ledger.upsert_candidates(*_sightings(spark, sf_dir))
+    merged = _merged(spark, sf_dir)
     return ledger.retention(merged, _today(), 30, True).select("id", "fate")
 
 
@@ -151,7 +156,7 @@ def retention_split(spark, sf_dir):
     with_sql(OBSERVATIONS, SIGHTINGS) + "SELECT id, coalesce(released, DATE '2024-02-05') AS released FROM candidates",
 )
 def release_marks(spark, sf_dir):
-    return ledger.release(ledger.upsert_candidates(*_sightings(spark, sf_dir)), _today()).select("id", "released")
+    return ledger.release(_merged(spark, sf_dir), _today()).select("id", "released")
 
 
 @query(
@@ -304,3 +309,59 @@ def expired_history(spark, sf_dir):
 def date_priorities(spark, sf_dir):
     none = F.lit(None).cast("date")
     return articles(spark, sf_dir).select("doc_id", scores.date_priority(none, F.col("published")).cast("int").alias("priority"))
+
+
+@query(
+    "removed_candidates",
+    with_sql(ARTICLES)
+    + f""", graves AS (SELECT sha256('title:' || {sql_title_key("title")}) AS alias FROM articles WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+        UNION SELECT sha256('url:' || url) FROM articles WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
+    SELECT doc_id::VARCHAR AS id FROM articles WHERE sha256('title:' || {sql_title_key("title")}) NOT IN (SELECT alias FROM graves) AND sha256('url:' || url) NOT IN (SELECT alias FROM graves)""",
+)
+def removed_candidates(spark, sf_dir):
+    """What is left of the article table and its caches after toxic documents are removed for good."""
+    items = keyed_articles(spark, sf_dir)
+    toxic = items.join(load(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    none = toxic.select(F.lit("").alias("alias")).limit(0)
+    _, kept, caches = ledger.remove_candidates(toxic, {"articles": items}, {"score": items.select("id")}, none)
+    return kept["articles"].select("id").join(caches["score"], "id")
+
+
+@query(
+    "saved_articles",
+    with_sql(ARTICLES, TOMBSTONES)
+    + f"""SELECT doc_id::VARCHAR AS id, CASE WHEN sha256('title:' || {sql_title_key('title')}) IN (SELECT alias FROM tombstones) THEN title ELSE title || '!' END AS title FROM articles""",
+)
+def saved_articles(spark, sf_dir):
+    """Stored articles replaced by newer rows, except under a tombstone."""
+    stored = keyed_articles(spark, sf_dir).select("id", F.lit(0).alias("seq"), "title", "summary", "category", "source_urls")
+    newer = stored.withColumn("seq", F.lit(1))
+    graves = tombstones(spark, sf_dir)
+    marked = ledger.save_articles(stored.withColumn("mark", F.lit("")), newer.withColumn("mark", F.lit("!")), graves)
+    return marked.select("id", F.concat("title", "mark").alias("title"))
+
+
+@query(
+    "ledger_insert_or_ignore",
+    with_sql(OBSERVATIONS) + "SELECT item_id::VARCHAR AS id, arg_min(status, event_id) AS status FROM observations GROUP BY 1",
+)
+def ledger_insert_or_ignore(spark, sf_dir):
+    rows = observations(spark, sf_dir).select(F.col("item_id").cast("string").alias("id"), F.col("event_id").alias("seq"), "status", "day")
+    return ledger.insert_or_ignore(
+        ledger.first_by_order(rows.filter("day < '2024-01-10'"), ["id"], ["seq"]).select("id", "seq", "status"),
+        rows.filter("day >= '2024-01-10'").select("id", "seq", "status"), "id",
+    ).select("id", "status")
+
+
+@query(
+    "candidate_union",
+    with_sql(ARTICLES)
+    + """SELECT 0 AS provenance, doc_id FROM articles WHERE published >= DATE '2024-02-01' UNION ALL SELECT 1, doc_id FROM articles WHERE published IS NULL
+      UNION ALL SELECT 2, doc_id FROM articles WHERE published >= DATE '2024-02-05' - 30 OR category = '政策'""",
+)
+def candidate_union(spark, sf_dir):
+    rows = articles(spark, sf_dir)
+    union = gates.candidate_union(
+        rows.filter("published >= '2024-02-01'"), rows.filter("published IS NULL"), ledger.recent_articles(rows, _today(), 30)
+    )
+    return union.select("provenance", "doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a step of an iterative job reliably, so a lost executor costs no recompute chain."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a step of an iterative job as a table in the shared folder and go on from the table.
+
+    Unlike an RDD checkpoint the step is computed once, keeps its column statistics, and small steps are
+    recognised as small, so later joins can broadcast them by measured size. A lost executor costs a
+    re-read, never a recomputation of earlier rounds.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
