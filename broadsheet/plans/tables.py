@@ -13,7 +13,20 @@ EPOCH = "2024-01-01"
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table, TEXT_KEYS[name]) if name in TEXT_KEYS else table
+
+
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a text table that arrives as fewer splits than there are cores.
+
+    Text work is bound by the processor. A table of cluster size has more splits than cores and is read as is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
 
 
 def raw_url(doc_id, source):
