@@ -19,7 +19,7 @@ HEADLINE = [
     "canonical_urls", "title_keys", "rule_matches", "prepared_items", "interest_scores", "assessment_gate",
     "freshness_and_rank_scores", "edition_picks", "keyword_coverage_picks", "rss_entries", "page_titles_bodies",
     "listing_articles", "repo_scores", "rank_history", "delivered_antijoin", "candidate_upsert", "retention_split",
-    "source_coverage", "analysis_plan", "report_assignments", "prior_coverage", "briefing_text", "stream_candidates",
+    "source_coverage", "analysis_plan", "report_assignments", "stream_candidates",
 ]
 
 

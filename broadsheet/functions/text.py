@@ -9,7 +9,8 @@ from broadsheet import fixed_values as fixed
 
 
 def squash(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    # A lone blank needs no replacement, and most white space is a lone blank.
+    return F.trim(F.regexp_replace(text, r"(?U) \s+|[^\S ]\s*", " "))
 
 
 def fold_case(text: Column) -> Column:
@@ -29,7 +30,9 @@ def digest(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9一-鿿]+", " "))
+    # Matches every run of other characters except the lone blank that is already in place.
+    runs = r" *[^a-z0-9一-鿿 ][^a-z0-9一-鿿]*| {2,}"
+    return F.trim(F.regexp_replace(F.lower(text), runs, " "))
 
 
 def padded(normal: Column) -> Column:

@@ -48,17 +48,22 @@ def prepare(items: DataFrame) -> DataFrame:
     ).withColumn("key", F.sha2("title_key", 256))
 
 
-def _pieces(titles: DataFrame, at_most: Column) -> DataFrame:
-    """Leading disjoint pieces of each title with their offset."""
-    starts = F.transform(F.sequence(F.lit(0), at_most - 1), lambda i: i * PIECE + 1)
-    rows = titles.select("*", F.explode(starts).alias("at"))
-    return rows.withColumn("piece", F.expr(f"substring(title_key, at, {PIECE})"))
+def _disjoint(title_key: Column) -> Column:
+    """The leading disjoint pieces of a title, one more than can be spoilt; one pass over the text."""
+    budget = (F.floor(F.length(title_key) * DIFFERING) + 1).cast("int")
+    return F.slice(F.regexp_extract_all(title_key, F.lit("(.{%d})" % PIECE), F.lit(1)), 1, budget)
+
+
+def _pieces(titles: DataFrame) -> DataFrame:
+    """Disjoint pieces of each title with their offset."""
+    rows = titles.select("*", F.posexplode(_disjoint(F.col("title_key"))).alias("i", "piece"))
+    return rows.withColumn("at", F.col("i") * PIECE)
 
 
 def _windows(titles: DataFrame) -> DataFrame:
-    """Every four-character window of each title, first occurrences kept apart by offset."""
-    rows = titles.select("*", F.explode(F.sequence(F.lit(1), F.length("title_key") - PIECE + 1)).alias("found_at"))
-    return rows.withColumn("piece", F.expr(f"substring(title_key, found_at, {PIECE})"))
+    """Every four-character window of each title with its offset; one pass over the text."""
+    every = F.regexp_extract_all("title_key", F.lit("(?=(.{%d}))" % PIECE), F.lit(1))
+    return titles.select("*", F.posexplode(every).alias("found_at", "piece"))
 
 
 def _kind(key: Column, day: Column, numbers: Column) -> Column:
@@ -70,18 +75,15 @@ def similar_titles(leaders: DataFrame, titles: DataFrame) -> DataFrame:
 
     Both sides: kind, key, title_key, day, numbers. The order of comparison is leader first.
     """
-    budget = (F.floor(F.length("title_key") * DIFFERING) + 1).cast("int")
-    lead = _pieces(leaders.select("kind", "key", "title_key", "day", "numbers"), budget)
-    probe = lead.select(
-        "piece", "day", "numbers", F.col("at"), F.col("kind").alias("leader"), F.col("key").alias("leader_key"),
-        F.length("title_key").alias("leader_length"),
+    probe = _pieces(leaders.select("kind", "title_key", "day", "numbers")).select(
+        "piece", "day", "numbers", "at", F.col("kind").alias("leader"), F.length("title_key").alias("leader_length")
     )
-    offered = _windows(titles.select("kind", "key", "title_key", "day", "numbers")).select(
-        "piece", "day", "numbers", "found_at", "kind", "key", F.length("title_key").alias("length")
+    offered = _windows(titles.select("kind", "title_key", "day", "numbers")).select(
+        "piece", "day", "numbers", "found_at", "kind", F.length("title_key").alias("length")
     )
     a, b = F.col("leader_length"), F.col("length")
     near = (F.least(a, b) * 2 >= (a + b) * fixed.TITLE_SIMILARITY) & (F.abs(F.col("at") - F.col("found_at")) <= F.ceil((a + b) * _LOOSE))
-    pairs = probe.join(offered, ["piece", "day", "numbers"]).filter((F.col("leader_key") != F.col("key")) & near)
+    pairs = probe.join(offered, ["piece", "day", "numbers"]).filter((F.col("leader") != F.col("kind")) & near)
     distinct = pairs.select("leader", "kind").distinct()
     named = distinct.join(leaders.select(F.col("kind").alias("leader"), F.col("title_key").alias("a")), "leader").join(
         titles.select("kind", F.col("title_key").alias("b")), "kind"
@@ -217,9 +219,7 @@ def assign_representatives(items: DataFrame, max_rounds: int = 200) -> DataFrame
 
 def _turn(wanted: DataFrame, leaders_per_block: int) -> DataFrame:
     """Mark the representatives that may look for partners now: among the first few in all of their blocks."""
-    budget = (F.floor(F.length("title_key") * DIFFERING) + 1).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), budget - 1), lambda i: F.substring(F.col("title_key"), i * PIECE + 1, F.lit(PIECE)))
-    pieces = F.array_distinct(starts)
+    pieces = F.array_distinct(_disjoint(F.col("title_key")))
     blocks = wanted.select("kind", "since", "day", "numbers", F.size(pieces).alias("total"), F.explode(pieces).alias("piece"))
     w = Window.partitionBy("day", "numbers", "piece").orderBy("since", "kind")
     early = blocks.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= leaders_per_block)
