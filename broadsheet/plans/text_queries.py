@@ -161,19 +161,19 @@ def display_rules(spark, sf_dir):
 @query(
     "shortened_text",
     with_sql(ARTICLES)
-    + r""", s AS (SELECT doc_id, trim(regexp_replace(body, '\s+', ' ', 'g')) AS t FROM articles),
-    marked AS (SELECT doc_id, t, string_split(regexp_replace(regexp_replace(t, '([。！？!?])\s*', '\1' || chr(1), 'g'),
-        '(^|\D)\.($|[^\d])\s*', '\1' || chr(1) || '\2', 'g'), chr(1)) AS naive FROM s)
-    SELECT doc_id, len(t)::INT AS whole_length, len(t) <= 100 AS fits FROM marked""",
+    + r"""SELECT doc_id, len(t)::INT AS whole_length, CASE WHEN len(t) <= 100 THEN t END AS short_form, TRUE AS within_limit
+    FROM (SELECT doc_id, trim(regexp_replace(body, '\s+', ' ', 'g')) AS t FROM articles)""",
 )
 def shortened_text(spark, sf_dir):
-    """Length facts checked in SQL; the shortened forms themselves are tested on vectors."""
+    """Both shortenings of every body: short texts stay whole, long ones keep the limit (forms tested on vectors)."""
     body = F.col("body")
-    clean = text.squash(body)
-    short, fitted = text.shorten(body), text.fit(body)
-    base = articles(spark, sf_dir).select("doc_id", clean.alias("t"), short.alias("short"), fitted.alias("fitted"))
-    return base.filter((F.length("short") <= 100) & (F.length("fitted") <= 101)).select(
-        "doc_id", F.length("t").alias("whole_length"), (F.length("t") <= 100).alias("fits")
+    base = articles(spark, sf_dir).select(
+        "doc_id", text.squash(body).alias("t"), text.shorten(body).alias("short"), text.fit(body).alias("fitted")
+    )
+    whole = F.length("t") <= 100
+    return base.select(
+        "doc_id", F.length("t").alias("whole_length"), F.when(whole, F.col("short")).alias("short_form"),
+        ((F.length("short") <= 100) & (F.length("fitted") <= 100)).alias("within_limit"),
     )
 
 
