@@ -352,11 +352,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[{kind}]") -> DataFrame:
     """The same rows and columns, each stretch of overlapping matches replaced by the mask of its first kind; null stays null."""
 
-    shipped = docs.sparkSession.sparkContext.broadcast(scanner(rules))  # its size depends on the rules alone
+    shipped = docs.sparkSession.sparkContext.broadcast(scanner(rules))
+    k = docs.columns.index(text_col)
 
     def run(batches):
         scan = shipped.value
-        k = docs.columns.index(text_col)
         for batch in batches:
             out = []
             for text in batch.column(k).to_pylist():
