@@ -8,8 +8,9 @@ scaled by a document's tokens, so they keep the same rate in every step: the des
 combination, which one aggregation over the documents makes, and still is the descent over all documents. Each step is a
 Spark aggregation whose one row (a sum per domain) comes to the driver.
 
-The total is the largest that the shares allow without a rate above `max_rate`. `mixed` takes each document
-floor(rate) times and once more where a hash of its id falls below the rest.
+The total is the largest that the shares allow without a rate above `max_rate`, whereby a domain that has less than
+`scarce` of the tokens its share of the whole table would be is taken whole and does not hold back the others. `copies`
+takes each document floor(rate) times and once more where a hash of its id falls below the rest.
 
 Defined cases: a null or empty text has no tokens, the buckets of zero and rate as fitted; without labels all posteriors
 are equal; a domain without labelled rows gets only the smoothing's share; repeated rows count as often as they stand, a
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from broadsheet.session import cut
 
 #: Shares of all tokens wanted of the domains that `label_domain` names.
-TARGETS = {"en": 0.62, "de": 0.15, "fr": 0.14, "es": 0.08, "junk": 0.01}
+TARGETS = {"en": 0.63, "de": 0.13, "fr": 0.14, "es": 0.09, "junk": 0.01}
 
 
 def label_domain(quality: Column, lang: Column) -> Column:
@@ -97,7 +98,7 @@ def posteriors(cells: DataFrame, labelled: DataFrame, domains: list[str], smooth
     return rows.withColumn("p", F.transform("e", lambda x: x / sum_e)).drop("logs", "e")
 
 
-def fit_rates(cells: DataFrame, targets: dict[str, float], max_rate: float = 1.0, steps: int = 40, tolerance: float = 0.01) -> DataFrame:
+def fit_rates(cells: DataFrame, targets: dict[str, float], max_rate: float = 1.0, scarce: float = 0.5, steps: int = 40, tolerance: float = 0.01) -> DataFrame:
     """Adds the rate to rows with p and tokens; minimises the squared relative misses of the domains' expected tokens."""
     domains = list(targets)
     share = [targets[d] / sum(targets.values()) for d in domains]
@@ -108,7 +109,8 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], max_rate: float = 1.0
 
     tokens = F.col("tokens").cast("double")
     whole = sums(tokens)
-    wanted = min((max_rate * s / w for s, w in zip(whole, share, strict=True) if w > 0), default=0.0)
+    ample = [(s, w) for s, w in zip(whole, share, strict=True) if w > 0 and s >= scarce * w * sum(whole)]
+    wanted = min((max_rate * s / w for s, w in ample), default=0.0)
     if wanted <= 0:
         return cells.withColumn("rate", F.lit(float(max_rate)))
     goal = [wanted * w for w in share]

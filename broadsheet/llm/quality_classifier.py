@@ -84,8 +84,9 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights - self.thresholds, -40, 40)))
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-4, rounds: int = 300, rate: float = 0.1) -> Ordinal:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-4, rounds: int = 150, rate: float = 0.1) -> Ordinal:
     """Maximum likelihood by Adam; grades weigh the same. Thresholds stay in order as a first one and positive steps."""
+    x = x.astype(np.float32, copy=False)  # products in the matrix's own type, without copies of it
     n = np.bincount(y, minlength=grades)
     share = (1.0 / (np.maximum(n, 1) * (n > 0).sum()))[y]
     params = np.zeros(x.shape[1] + grades - 1)
@@ -95,7 +96,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-4,
         w, raw = params[: x.shape[1]], params[x.shape[1] :]
         steps = np.exp(np.clip(raw[1:], -20, 5))
         cuts = raw[0] + np.concatenate([[0.0], np.cumsum(steps)])
-        s = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - cuts[None, :], -40, 40)))
+        s = 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(float)[:, None] - cuts[None, :], -40, 40)))
         upper = np.column_stack([np.ones(len(y)), s])[rows, y]
         lower = np.column_stack([s, np.zeros(len(y))])[rows, y]
         p = np.maximum(upper - lower, 1e-9)
@@ -105,14 +106,14 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-4,
         np.add.at(g_cut, y[y > 0] - 1, (share * up)[y > 0])
         np.add.at(g_cut, y[y < grades - 1], -(share * down)[y < grades - 1])
         g_raw = np.concatenate([[g_cut.sum()], [g_cut[k + 1 :].sum() * steps[k] for k in range(grades - 2)]])
-        g = np.concatenate([x.T @ g_score + ridge * w, g_raw])
+        g = np.concatenate([(g_score.astype(np.float32) @ x).astype(float) + ridge * w, g_raw])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         params -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     raw = params[x.shape[1] :]
     return Ordinal(params[: x.shape[1]], raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(np.clip(raw[1:], -20, 5)))]))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grades: int = 3, sample_rows: int = 2500, dim: int = DIM) -> Ordinal | None:
+def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grades: int = 3, sample_rows: int = 1500, dim: int = DIM) -> Ordinal | None:
     """The model from documents and ratings (doc_id, grade), or None without two grades."""
     rated = ratings.filter(F.col("grade").between(0, grades - 1)).groupBy(F.col("doc_id").alias("r_id")).agg(F.min("grade").cast("int").alias("grade"))
     counts = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}
