@@ -290,7 +290,7 @@ def test_mixing_reaches_the_targets(spark, odd, none):
     rows = [(i, " ".join(rng.choices(kinds[k].split(), k=40)), k) for i, k in enumerate(rng.choices(list(kinds), weights=(1, 1, 6), k=400))]
     frame = spark.createDataFrame([(i, t, 0) for i, t, _ in rows], "doc_id long, text string, tokens int")
     labels = spark.createDataFrame([(i, k) for i, _, k in rows[:200]] + [(1, None)], "doc_id long, domain string")
-    targets = {"en": 0.5, "de": 0.25, "es": 0.25}
+    targets = {"en": 0.6, "de": 0.2, "es": 0.2}
     got = mixing.mix(frame, labels, targets).collect()
     total = sum(r["tokens"] * r["rate"] for r in got)
     for k, share in targets.items():
