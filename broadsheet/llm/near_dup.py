@@ -9,7 +9,7 @@ union estimates the similarity and filters, the full sets decide.
 A list of near copies would propose all pairs in it, and components need far fewer. So in the first rounds each member of
 a list meets only the list's leader (drawn by hash, so leaders differ from list to list), each head verifies its best
 proposal, and confirmed links merge components. After that, members of different components that still share a list meet
-directly; pairs inside one component are never formed. No list, set of links or component is ever gathered in one place.
+directly, inside one join that lets only links through; pairs inside one component are never formed. No list, set of links or component is ever gathered in one place.
 
 With more than k shingles the required overlap is a bound that a pair at the threshold misses with a probability below
 one in a million; smaller sets are compared without loss.
@@ -133,13 +133,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fits = F.when(exact, F.col("both") * 100 >= F.size("u") * threshold).otherwise(F.col("both") >= F.least(F.lit(overlap), F.ceil(F.least("na", "nb") * threshold / 100)))
         return rows.filter(fits).select("a", "b", (F.col("both") / F.size("u")).alias("share"))
 
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        """id and full set of the heads w. Only their texts are read again into sets."""
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id") == F.col("w"), "left_semi")
+        full = shingle_sets(texts, "id", "text", words, k, True)
+        return cut(full.join(heads.select(F.col("head").alias("id"), "mark"), ["id", "mark"], "left_semi").select("id", "full"))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs whose full sets reach the threshold. Only the texts of proposed documents are read again into sets."""
+        """Pairs whose full sets reach the threshold."""
         pairs = cut(pairs.select("a", "b").distinct())
         wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id") == F.col("w"), "left_semi")
-        full = shingle_sets(texts, "id", "text", words, k, True)
-        full = cut(full.join(heads.select(F.col("head").alias("id"), "mark"), ["id", "mark"], "left_semi"))
+        full = full_sets(wanted)
         rows = pairs.join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
         both = F.size(F.array_intersect("fa", "fb"))
         return cut(rows.withColumn("both", both).filter(F.col("both") * 100 >= (F.size("fa") + F.size("fb") - F.col("both")) * threshold).select("a", "b").distinct())
@@ -161,12 +165,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         best = estimated(proposals).groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
         linked = linked.unionByName(verified(best))
         roots = cut(components(linked))
-    active = cut(open_lists(rooted(entries)).join(heads.select("head", "n"), "head"))
-    one = active.select("v", F.col("head").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    two = active.select("v", F.col("head").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
-    proposals = one.join(two, "v").filter(near).select("a", "b").distinct()
-    linked = linked.unionByName(verified(estimated(proposals)))
+    # what is left meets directly: each pair once, in the first list that it shares, and only links leave the join
+    active = cut(open_lists(rooted(entries)))
+    own = active.groupBy("head", "root").agg(F.sort_array(F.collect_list("v")).alias("own"))
+    rich = active.select("head", "v").join(own.join(full_sets(active.select(F.col("head").alias("w")).distinct()), F.col("head") == F.col("id")).drop("id"), "head")
+    one = rich.select("v", F.col("head").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("full").alias("fa"))
+    two = rich.select("v", F.col("head").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("full").alias("fb"))
+    na, nb = F.size("fa"), F.size("fb")
+    first = F.array_min(F.array_intersect("oa", "ob")) == one["v"]
+    alike = F.size(F.array_intersect("fa", "fb")) * (100 + threshold) >= (na + nb) * threshold
+    met = (one["v"] == two["v"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold) & first & alike
+    linked = linked.unionByName(cut(one.join(two, met).select("a", "b")))
     roots = cut(components(linked))
 
     members = hashed.filter("n > 0").join(classes, "mark").select("id", "head", "n")
