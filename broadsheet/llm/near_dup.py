@@ -112,10 +112,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     shared = values.join(common, "v")  # a value that one sketch alone retains proposes nothing
     ranked = shared.groupBy("head").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("own"))
-    held = F.least(F.col("n"), F.lit(k))
+    kept = F.least(F.col("n"), F.lit(k))
     need = F.when(F.col("n") <= small, F.ceil(F.col("n") * threshold / 100)).otherwise(F.lit(overlap))
     # values of one sketch alone come first in the order and take up the leading places
-    places = F.greatest(held - need + 1 - (held - F.size("own")), F.lit(0)).cast("int")
+    places = F.greatest(kept - need + 1 - (kept - F.size("own")), F.lit(0)).cast("int")
     entries = cut(ranked.select("head", F.explode(F.slice("own", F.lit(1), places)).alias("x")).select("head", "x.v"))
     head_type = type_of(heads, "head")
     linked = heads.sparkSession.createDataFrame([], f"a {head_type}, b {head_type}")
@@ -167,8 +167,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = cut(components(linked))
     # what is left meets directly: each pair once, in the first list that it shares, and only links leave the join
     active = cut(open_lists(rooted(entries)))
+    full = full_sets(active.select(F.col("head").alias("w")).distinct())
+    parts = full.select("id", F.explode("full").alias("g"))
+    met_twice = parts.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    held = parts.join(met_twice, "g", "left_semi").groupBy("id").agg(F.count("*").alias("held"))
+    # a head that has too much of its own cannot reach the threshold with any other
+    able = cut(full.join(held, "id").filter(F.col("held") * 100 >= F.size("full") * threshold).select("id", "full"))
+    active = cut(open_lists(active.join(able.select(F.col("id").alias("head")), "head", "left_semi")))
     own = active.groupBy("head", "root").agg(F.sort_array(F.collect_list("v")).alias("own"))
-    rich = active.select("head", "v").join(own.join(full_sets(active.select(F.col("head").alias("w")).distinct()), F.col("head") == F.col("id")).drop("id"), "head")
+    rich = active.select("head", "v").join(own.join(able, F.col("head") == F.col("id")).drop("id"), "head")
     one = rich.select("v", F.col("head").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("full").alias("fa"))
     two = rich.select("v", F.col("head").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("full").alias("fb"))
     na, nb = F.size("fa"), F.size("fb")
