@@ -119,8 +119,8 @@ NATIONAL_EVIDENCE = (
     r"|教育部|科技部|工信部|工业和信息化部|财政部|民政部|人力资源和社会保障部"
 )
 LOCAL_EVIDENCE = (
-    r"(?:北京|天津|上海|重庆|河北|山西|辽宁|吉林|黑龙江|江苏|浙江|安徽|福建|江西|山东|河南|湖北|湖南|广东"
-    r"|海南|四川|贵州|云南|陕西|甘肃|青海|内蒙古|广西|西藏|宁夏|新疆|香港|澳门)"
+    r"北京|天津|上海|重庆|河北|山西|辽宁|吉林|黑龙江|江苏|浙江|安徽|福建|江西|山东|河南|湖北|湖南|广东"
+    r"|海南|四川|贵州|云南|陕西|甘肃|青海|内蒙古|广西|西藏|宁夏|新疆|香港|澳门"
     r"(?:省|市|区|自治区|特别行政区)?(?:政府|药监|监管|卫健|工信|发改|教育|科技)"
 )
 GENERIC_COMPANIES = ["公司", "企业", "团队", "研究团队"]

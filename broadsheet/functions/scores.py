@@ -11,8 +11,35 @@ from broadsheet import fixed_values as fixed
 from broadsheet.functions import dates, urls
 
 
-def _fixed4(value: Column) -> Column:
-    return F.round(value, 4)
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded by its exact binary value, true ties to the even digit.
+
+    The product with the power of ten is taken with its rounding error (split in halves of 26 bits), which decides
+    when the rounded product looks like a tie.
+    """
+    scale = float(10**digits)
+    value = value.cast("double")
+    wide = value * F.lit(134217729.0)
+    high = wide - (wide - value)
+    product = value * F.lit(scale)
+    error = (high * F.lit(scale) - product) + (value - high) * F.lit(scale)
+    whole = F.floor(product)
+    over = product - whole.cast("double") - F.lit(0.5)
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & (whole % 2 != 0))))
+    return (whole + up.cast("int")).cast("double") / F.lit(scale)
+
+
+def sql_rounded(value: str, digits: int) -> str:
+    """The same as DuckDB SQL."""
+    s = f"{10**digits}::DOUBLE"
+    x = f"(({value})::DOUBLE)"
+    high = f"({x} * 134217729 - ({x} * 134217729 - {x}))"
+    over = f"({x} * {s} - floor({x} * {s}) - 0.5::DOUBLE)"
+    error = f"(({high} * {s} - {x} * {s}) + ({x} - {high}) * {s})"
+    return (
+        f"((floor({x} * {s}) + CASE WHEN {over} > 0 OR ({over} = 0 AND ({error} > 0 OR ({error} = 0 AND "
+        f"floor({x} * {s}) % 2 <> 0))) THEN 1 ELSE 0 END) / {s})"
+    )
 
 
 def freshness(today: Column, value: Column, tiers=fixed.FRESHNESS_TIERS) -> Column:
@@ -27,7 +54,7 @@ def freshness(today: Column, value: Column, tiers=fixed.FRESHNESS_TIERS) -> Colu
 def configured_rating(host: Column, ratings=fixed.DOMAIN_RATINGS) -> Column:
     """struct(authority, recognition) of the longest configured suffix of a host, or NULL.
 
-    For a rating table that grows, use operators.lookups.longest_suffix instead.
+    A rating table that grows is joined instead (operators.reputation).
     """
     pairs = [
         part
@@ -109,24 +136,24 @@ def effective_relevance(base: Column, category: Column, topic_text: Column,
 
 
 def shortlist_score(effective: Column, fresh: Column) -> Column:
-    return _fixed4(effective * fresh)
+    return rounded(effective * fresh, 4)
 
 
 def ranking_score(effective: Column, factor: Column) -> Column:
-    return _fixed4(effective * factor)
+    return rounded(effective * factor, 4)
 
 
 def business_score(priority: Column, relevance: Column) -> Column:
     """Highest rule weight, blended with an assessed relevance when present."""
     bounded = F.greatest(F.lit(0), F.least(F.lit(100), relevance))
     return F.when(relevance.isNull(), priority.cast("double")).otherwise(
-        F.round(priority * 0.6 + bounded * 0.4, 2)
+        rounded(priority * 0.6 + bounded * 0.4, 2)
     )
 
 
 def combined_score(status: Column, rule: Column, relevance: Column, novelty: Column) -> Column:
     assessed = (relevance * 0.6 + novelty * 0.4) * 10
-    return F.when(status == "ai", F.round(rule * 0.4 + assessed * 0.6, 2)).otherwise(rule.cast("double"))
+    return F.when(status == "ai", rounded(rule * 0.4 + assessed * 0.6, 2)).otherwise(rule.cast("double"))
 
 
 def policy_authority(hosts: Column) -> Column:

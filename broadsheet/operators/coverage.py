@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
+from broadsheet.functions import scores
 
 
 def date_coverage(parsed: DataFrame, source: str) -> DataFrame:
@@ -22,7 +23,7 @@ def date_coverage(parsed: DataFrame, source: str) -> DataFrame:
         F.count_if("kept").alias("returned"),
         F.count_if(F.col("kept") & dated).alias("dated"),
     )
-    return counts.withColumn("date_rate_pct", F.round(F.col("dated_at_listing") * 100 / F.col("parsed"), 1))
+    return counts.withColumn("date_rate_pct", scores.rounded(F.col("dated_at_listing") * 100 / F.col("parsed"), 1))
 
 
 def with_failures(coverage: DataFrame, failures: DataFrame, source: str) -> DataFrame:

@@ -21,6 +21,8 @@ costs one comparison per member rather than one per pair.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,11 +159,13 @@ def _answers(spans: DataFrame, by: list[str]) -> DataFrame:
     return stairs.withColumn("until", F.lit(None).cast("long")).select(*by, "rep", "since", "until").unionByName(closed)
 
 
-def assign_representatives(items: DataFrame, max_rounds: int = 200) -> DataFrame:
+def assign_representatives(items: DataFrame) -> DataFrame:
     """(pos, rep): the position of the representative every item ends up in."""
     keys = cut(prepare(items))
     spark = items.sparkSession
-    eligible = keys.filter(F.col("day").isNotNull() & (F.length("title_key") >= fixed.MIN_TITLE_KEY)).withColumn(
+    # only the earlier title must have the full length; a later one may be as short as the ratio still allows
+    shortest = math.ceil(fixed.MIN_TITLE_KEY * fixed.TITLE_SIMILARITY / (2 - fixed.TITLE_SIMILARITY) - 1e-9)
+    eligible = keys.filter(F.col("day").isNotNull() & (F.length("title_key") >= shortest)).withColumn(
         "kind", _kind(F.col("key"), F.col("day"), F.col("numbers"))
     )
     titles = cut(eligible.groupBy("kind").agg(*[F.first(c).alias(c) for c in ("key", "title_key", "day", "numbers")]))
@@ -174,7 +178,7 @@ def assign_representatives(items: DataFrame, max_rounds: int = 200) -> DataFrame
     edges = spark.createDataFrame([], "leader string, kind string")
     expanded = spark.createDataFrame([], "kind string")
     leaders_per_block = LEADERS
-    for _ in range(max_rounds):
+    while True:
         spans = cut(_segments(keys, assigned))
         near_spans = spans.filter("day IS NOT NULL").withColumn("leader", _kind(F.col("key"), F.col("day"), F.col("numbers")))
         wanted = (
@@ -214,7 +218,6 @@ def assign_representatives(items: DataFrame, max_rounds: int = 200) -> DataFrame
         assigned = updated.select("pos", "rep")
         if not moved and not waiting:
             return assigned
-    raise RuntimeError("merge did not settle; raise max_rounds")
 
 
 def _turn(wanted: DataFrame, leaders_per_block: int) -> DataFrame:

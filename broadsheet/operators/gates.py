@@ -119,7 +119,8 @@ def apply_assessment(items: DataFrame) -> DataFrame:
     evidence = F.concat(
         c("title"), F.lit(" "), F.substring(F.when(c("summary") != "", c("summary")).otherwise(c("body")), 1, 700)
     )
-    kind = F.when(c("a_source_kind").isin(*fixed.SOURCE_KINDS), c("a_source_kind")).otherwise(F.lit("unknown"))
+    named_kind = F.coalesce(c("a_source_kind"), F.when(c("a_relevance").isNotNull(), F.lit("secondary")))
+    kind = F.when(named_kind.isin(*fixed.SOURCE_KINDS), named_kind).otherwise(F.lit("unknown"))
     effective = scores.effective_relevance(
         c("a_relevance"), c("a_category"), F.concat_ws(" ", c("title"), c("summary"), F.substring(c("body"), 1, 1000))
     )

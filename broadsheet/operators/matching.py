@@ -117,35 +117,38 @@ def with_channel_scores(items: DataFrame, scorers: dict[str, "Scorer"], default:
     return items.withColumn("channel_score", score)
 
 
-def match_rule_table(items: DataFrame, key: str, rules: DataFrame, max_words: int,
-                     ideograph_lengths: list[int]) -> DataFrame:
+def match_rule_table(items: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     """(key, rule_id) pairs for a rule table of any size, by equality on terms.
 
-    rules: id, groups array<array<string>>. Latin terms of up to max_words words join on word n-grams,
-    terms with ideographs join on substrings of the given lengths; a rule holds when one place covers
-    all of its groups.
+    rules: id, groups array<array<string>>. Latin terms join on word n-grams, terms with ideographs on substrings, of
+    the lengths that the table's terms have; a rule holds when one place covers all of its groups.
     """
-    groups = rules.select("id", F.posexplode("groups").alias("group_no", "aliases"), F.size("groups").alias("n_groups"))
+    groups = rules.select(F.col("id").alias("rule_id"), F.posexplode("groups").alias("group_no", "aliases"), F.size("groups").alias("n_groups"))
     terms = (
-        groups.select("id", "group_no", "n_groups", F.explode("aliases").alias("alias"))
-        .select("id", "group_no", "n_groups", text.normalize(F.col("alias")).alias("term"))
+        groups.select("rule_id", "group_no", "n_groups", F.explode("aliases").alias("alias"))
+        .select("rule_id", "group_no", "n_groups", text.normalize(F.col("alias")).alias("term"))
         .filter("term != ''")
         .distinct()
     )
+    ideographs = text.has_ideograph(F.col("term"))
+    lengths = terms.agg(  # one row: the distinct lengths of terms
+        F.collect_set(F.when(~ideographs, F.size(F.split("term", " ")))).alias("words"),
+        F.collect_set(F.when(ideographs, F.length("term"))).alias("characters"),
+    ).first()
     places = items.select(
         key, F.posexplode(windows(F.col("title"), F.col("summary"), F.col("body"))).alias("place", "raw")
     ).select(key, "place", text.normalize(F.col("raw")).alias("normal"))
     words = F.filter(F.split(text.padded(F.col("normal")), " +"), lambda w: w != "")
-    grams = [_grams(F.col("words"), n) for n in range(1, max_words + 1)]
-    pieces = [_substrings(F.col("normal"), n) for n in ideograph_lengths]
+    grams = [_grams(F.col("words"), n) for n in sorted(lengths["words"])]
+    pieces = [_substrings(F.col("normal"), n) for n in sorted(lengths["characters"])]
     offered = (
         places.withColumn("words", words)
-        .select(key, "place", F.explode(F.array_distinct(F.concat(*grams, *pieces))).alias("term"))
+        .select(key, "place", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *grams, *pieces))).alias("term"))
         .filter("term != ''")
     )
-    hits = offered.join(terms, "term").select(key, "place", "id", "group_no", "n_groups")
-    whole = hits.groupBy(key, "place", "id", "n_groups").agg(F.count_distinct("group_no").alias("covered"))
-    return whole.filter("covered = n_groups").select(key, F.col("id").alias("rule_id")).distinct()
+    hits = offered.join(terms, "term").select(key, "place", "rule_id", "group_no", "n_groups")
+    whole = hits.groupBy(key, "place", "rule_id", "n_groups").agg(F.count_distinct("group_no").alias("covered"))
+    return whole.filter("covered = n_groups").select(key, "rule_id").distinct()
 
 
 def excluded_by(normal: Column, terms: list[str]) -> Column:

@@ -422,11 +422,11 @@ def _parsed(spark, sf_dir):
     ).withColumn("kept", F.col("published").isNull() | dates.in_window(today, F.col("published"), F.lit(30)))
 
 
-COVERAGE = """parsed AS (SELECT *, CASE WHEN published IS NOT NULL THEN 'listing' WHEN doc_id % 2 = 0 THEN 'hint_unparsed' ELSE 'no_date_hint' END AS date_evidence,
+COVERAGE = f"""parsed AS (SELECT *, CASE WHEN published IS NOT NULL THEN 'listing' WHEN doc_id % 2 = 0 THEN 'hint_unparsed' ELSE 'no_date_hint' END AS date_evidence,
     published IS NULL OR DATE '2024-02-05' - published BETWEEN 0 AND 29 AS kept FROM articles),
 cov AS (SELECT source, count(*) AS parsed, count(published) AS dated_at_listing, count(*) FILTER (WHERE date_evidence = 'hint_unparsed') AS hint_unparsed,
     count(*) FILTER (WHERE date_evidence = 'no_date_hint') AS no_date_hint, count(*) FILTER (WHERE kept) AS returned,
-    count(*) FILTER (WHERE kept AND published IS NOT NULL) AS dated, round(count(published) * 100 / count(*), 1) AS date_rate_pct FROM parsed GROUP BY source)"""
+    count(*) FILTER (WHERE kept AND published IS NOT NULL) AS dated, {scores.sql_rounded('count(published) * 100 / count(*)', 1)} AS date_rate_pct FROM parsed GROUP BY source)"""
 
 
 @query(

@@ -46,7 +46,7 @@ def rule_matches(spark, sf_dir):
 def rule_table_matches(spark, sf_dir):
     """The same matches with the rules as a table joined on terms."""
     rules = spark.createDataFrame([(r["id"], r["groups"]) for r in dim.RULES], "id string, groups array<array<string>>")
-    return matching.match_rule_table(articles(spark, sf_dir), "doc_id", rules, 2, [])
+    return matching.match_rule_table(articles(spark, sf_dir), "doc_id", rules)
 
 
 GATED = f"""gated AS (

@@ -42,13 +42,13 @@ rated AS (SELECT *, CASE WHEN regexp_matches(host, '(^|\\.)gov\\.cn$') THEN 100
     CASE WHEN regexp_matches(host, '(^|\\.)gov\\.cn$') THEN 95 WHEN regexp_matches(host, '(^|\\.)stcn\\.com$') THEN 85
       WHEN regexp_matches(host, '(^|\\.)arxiv\\.org$') THEN 85
       ELSE CASE source_kind WHEN 'original' THEN 60 WHEN 'media' THEN 70 WHEN 'secondary' THEN 50 ELSE 0 END END::DOUBLE AS recognition FROM hosted),
-scored AS (SELECT *, round(effective * freshness, 4) AS shortlist, round(effective * source_factor, 4) AS ranking,
+scored AS (SELECT *, {scores.sql_rounded('effective * freshness', 4)} AS shortlist, {scores.sql_rounded('effective * source_factor', 4)} AS ranking,
     sha256(url) AS identity, doc_id::VARCHAR AS id, published AS day,
     list_sort(list_distinct(CASE WHEN len(word) >= 2 THEN [replace(lower(word), 'ß', 'ss')] ELSE [] END)) AS companies
   FROM (SELECT *, (authority * 0.7::DOUBLE + recognition * 0.3::DOUBLE) / 100 AS source_factor,
       CASE WHEN lag = 0 THEN 1.0 ELSE 0.8 END::DOUBLE AS freshness, published + lag::INT AS edition_day
     FROM (SELECT *, unnest(range(3)) AS lag FROM rated))
-  WHERE round(effective * freshness, 4) > 0 AND round(effective * source_factor, 4) > 0)"""
+  WHERE {scores.sql_rounded('effective * freshness', 4)} > 0 AND {scores.sql_rounded('effective * source_factor', 4)} > 0)"""
 
 
 @query(
@@ -204,7 +204,9 @@ CHANNEL_PICKS = (
     """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id, channel_id, source ORDER BY rule_score DESC, ts DESC, lower(title), doc_id) AS sr FROM scored) WHERE sr <= 6), """
     + _coverage_sql("best", "rule_score", 6, "short")
     + """, final AS (SELECT b.*, CASE WHEN a.relevance IS NULL THEN rule_score::DOUBLE
-        ELSE round(rule_score * 0.4::DOUBLE + ((a.relevance // 10) * 0.6::DOUBLE + 5 * 0.4::DOUBLE) * 10 * 0.6::DOUBLE, 2) END AS final_score
+        ELSE """
+    + scores.sql_rounded("rule_score * 0.4::DOUBLE + ((a.relevance // 10) * 0.6::DOUBLE + 5 * 0.4::DOUBLE) * 10 * 0.6::DOUBLE", 2)
+    + """ END AS final_score
       FROM best b JOIN short s ON b.profile_id = s.profile_id AND b.channel_id = s.channel_id AND b.doc_id = s.id LEFT JOIN assessments a ON a.doc_id = b.doc_id), """
     + _coverage_sql("final", "final_score", 3, "picks")
 )
