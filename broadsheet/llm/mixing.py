@@ -19,6 +19,7 @@ document labelled more than once teaches once for each label row; null ids are n
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -117,12 +118,15 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], max_rate: float = 1.0
     scale = [g if g > 0 else wanted for g in goal]
     # the posteriors of a document add up to one, so a domain's row sum bounds the scaled normal matrix's eigenvalues
     eta = 1.5 / max(s / g for s, g in zip(whole, scale, strict=True))
-    cells = cells.withColumn("rate", F.lit(float(max_rate)))
+    cells, before = cells.withColumn("rate", F.lit(float(max_rate))), None
     for step in range(steps):
         got = sums(tokens * F.col("rate"))
         miss = [(s - g) / c for s, g, c in zip(got, goal, scale, strict=True)]
-        if max(map(abs, miss)) < tolerance:
+        # done when the targets are met, or as near as the rates' bounds allow: the last step changed next to nothing
+        moved = max(abs(m - b) for m, b in zip(miss, before, strict=True)) if before else math.inf
+        if max(map(abs, miss)) < tolerance or moved < tolerance / 5:
             break
+        before = miss
         gradient = sum((F.col("p")[k] * F.lit(m) for k, m in enumerate(miss)), F.lit(0.0))
         cells = cells.withColumn("rate", F.least(F.greatest(F.col("rate") - F.lit(eta) * gradient, F.lit(0.0)), F.lit(float(max_rate))))
         if step % 10 == 9:
