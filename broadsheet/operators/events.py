@@ -12,10 +12,13 @@ from broadsheet.functions import similarity, text, urls
 def merge_declared_groups(items: DataFrame, groups: DataFrame, batch: list[str]) -> tuple[DataFrame, DataFrame]:
     """Apply an assessor's duplicate groups: (primaries with merged columns, ids they replace).
 
-    items: batch, id, title, url, category, published, first_reported, ranking, sources
-    array<struct<url,name>>. groups: batch, group_no, members array<string>. A malformed group voids its
-    whole batch; a group mixing financing rounds, categories or more than seven days is left alone.
+    items: batch, id, title, url, category, accepted, published, first_reported, ranking, sources
+    array<struct<url,name>>. groups: batch, group_no, members array<string>. Only accepted items outside the
+    academic category can be grouped. A malformed group, one that names any other item, and one with an
+    undated member void their whole batch; a group mixing financing rounds, categories or more than seven
+    days is left alone.
     """
+    items = items.filter(F.col("accepted") & (F.col("category") != fixed.ACADEMIC))
     flagged = groups.withColumn(
         "malformed", (F.size("members") < 2) | (F.size(F.array_distinct("members")) != F.size("members"))
     )
@@ -26,6 +29,7 @@ def merge_declared_groups(items: DataFrame, groups: DataFrame, batch: list[str])
     checks = found.groupBy(*batch, "group_no").agg(
         F.max("malformed").alias("malformed"),
         F.max(F.col("url").isNull()).alias("stranger"),
+        F.max(F.col("published").isNull()).alias("undated"),
         F.count_distinct(F.when(rounds != "", rounds)).alias("round_sets"),
         F.count_distinct("category").alias("categories"),
         F.datediff(F.max("published"), F.min("published")).alias("span"),
@@ -38,7 +42,7 @@ def merge_declared_groups(items: DataFrame, groups: DataFrame, batch: list[str])
         F.min(F.when(F.col("valid"), F.col("group_no"))).alias("first_valid"), F.max("group_no").alias("last_seen")
     )
     void = (
-        judged.filter(F.col("malformed") | F.col("stranger")).select(*batch)
+        judged.filter(F.col("malformed") | F.col("stranger") | (F.col("undated") & (F.col("round_sets") <= 1))).select(*batch)
         .unionByName(reuse.filter("first_valid < last_seen").select(*batch)).distinct()
     )
     accepted = placed.filter("valid").join(void, batch, "left_anti")
@@ -72,8 +76,8 @@ def possible_priors(candidates: DataFrame, history: DataFrame, limit: int = fixe
                     days: int = fixed.HISTORY_DAYS) -> DataFrame:
     """Up to five earlier sent items a candidate may repeat, newest first.
 
-    candidates: edition_day, profile_id, id, title_key, document, names. history: profile_id, day, sent_id,
-    title_key, document, names, category. They meet by equality on the profile; one profile's history is
+    candidates: edition_day, profile_id, id, event_day, title_key, document, names. history: profile_id, day,
+    sent_id, title_key, document, names, category. They meet by equality on the profile; one profile's history is
     bounded by its deliveries (at most MAX_ITEMS a day inside the window, plus policy), not by the corpus.
     """
     c = F.col
@@ -95,18 +99,23 @@ def possible_priors(candidates: DataFrame, history: DataFrame, limit: int = fixe
     kept = scored.filter(c("sure") | (c("ratio") >= fixed.PRIOR_SIMILARITY))
     w = Window.partitionBy("edition_day", "profile_id", "id").orderBy(F.desc("sent_day"), "sent_id")
     return kept.withColumn("n", F.row_number().over(w)).filter(c("n") <= limit).select(
-        "edition_day", "profile_id", "id", "sent_id", "sent_day",
+        "edition_day", "profile_id", "id", "event_day", "sent_id", "sent_day",
         ((c("document") != "") & (c("document") == c("old_document"))).alias("same_document"), c("n").alias("prior_rank"),
     )
 
 
 def coverage_verdicts(priors: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Covered when a policy document repeats, else as decided; an undecided candidate counts as covered."""
-    keyed = priors.groupBy("edition_day", "profile_id", "id").agg(
+    """Covered when a policy document repeats, else as decided; an undecided candidate counts as covered.
+
+    A decision (id, event_day, prior_key, duplicate) holds for one event day of the candidate, which may be unknown.
+    """
+    keyed = priors.groupBy("edition_day", "profile_id", "id", "event_day").agg(
         F.max("same_document").alias("same_document"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prior_rank", "sent_id"))), lambda r: r["sent_id"]), ":").alias("prior_key"),
     )
-    joined = keyed.join(decisions, ["id", "prior_key"], "left")
+    decided = decisions.select(F.col("id").alias("d_id"), F.col("event_day").alias("d_day"), F.col("prior_key").alias("d_key"), "duplicate")
+    same = (F.col("id") == F.col("d_id")) & (F.col("prior_key") == F.col("d_key")) & F.col("event_day").eqNullSafe(F.col("d_day"))
+    joined = keyed.join(decided, same, "left")
     return joined.select(
         "edition_day", "profile_id", "id",
         (F.col("same_document") | F.coalesce("duplicate", F.lit(True))).alias("covered"),

@@ -113,8 +113,14 @@ def jurisdiction_evidence(url: Column, title: Column, summary: Column, body: Col
     )
 
 
-def apply_assessment(items: DataFrame) -> DataFrame:
-    """Gate items already joined with their assessment (columns a_*); no assessment means rejected."""
+def apply_assessment(items: DataFrame, priority: Column | None = None) -> DataFrame:
+    """Gate items already joined with their assessment (columns a_*); no assessment means rejected.
+
+    ``priority`` is an item's highest rule weight (0 without a rule); with it, ``score`` is set to its blend with the
+    assessed relevance.
+    """
+    if priority is not None:
+        items = items.withColumn("score", scores.business_score(priority, F.col("a_relevance")))
     c = F.col
     evidence = F.concat(
         c("title"), F.lit(" "), F.substring(F.when(c("summary") != "", c("summary")).otherwise(c("body")), 1, 700)

@@ -12,8 +12,6 @@ from broadsheet.functions import text
 
 Scorer = Callable[[DataFrame], Column]
 SUMMARY_WINDOW, PARAGRAPH_WINDOW = 500, 800
-PROFILE_BATCH = 50
-RULES_IN_PLAN = 1000
 
 
 def windows(title: Column, summary: Column, body: Column) -> Column:
@@ -51,11 +49,9 @@ def _rule_holds(rule: dict, whole: Column, places: Column) -> Column:
 def match_rules(items: DataFrame, rules: list[dict]) -> DataFrame:
     """Add ``matches``: the rules an item satisfies, in rule order, as structs.
 
-    Rules are an editorial dimension carried in the plan itself, so nothing is shuffled. Tables of more
-    than RULES_IN_PLAN rules go through match_rule_table.
+    Rules written by editors are carried in the plan itself, so nothing is shuffled, but the plan grows with
+    their number; rules that are a table are joined by match_rule_table.
     """
-    if len(rules) > RULES_IN_PLAN:
-        raise ValueError("use match_rule_table for a rule table of this size")
     prepared = items.withColumn(
         "_whole", text.normalize(F.concat_ws(" ", "title", "summary", "body"))
     ).withColumn(
@@ -205,7 +201,7 @@ def score_against(profiles: list[dict], places: list[tuple[Column, int]], everyt
 def score_interests(items: DataFrame, profiles: list[dict]) -> DataFrame:
     """One row per item and profile that does not exclude it, with ``rule_score`` and ``matched_keywords``.
 
-    Profiles are handled in batches carried in the plan; the batches are unioned, never crossed.
+    Profiles are carried in the plan, so every item is read and normalised once, however many they are.
     """
     prepared = (
         items.withColumn("_title", text.normalize(F.col("title")))
@@ -214,11 +210,7 @@ def score_interests(items: DataFrame, profiles: list[dict]) -> DataFrame:
     )
     places = [(F.col("_title"), 30), (F.col("_tags"), 20), (F.col("_body"), 10)]
     everything = F.concat_ws(" ", "_title", "_tags", "_body")
-    parts = []
-    for start in range(0, len(profiles), PROFILE_BATCH):
-        batch = profiles[start : start + PROFILE_BATCH]
-        parts.append(prepared.withColumn("p", F.explode(score_against(batch, places, everything))))
-    scored = reduce(DataFrame.unionByName, parts)
+    scored = prepared.withColumn("p", F.explode(score_against(profiles, places, everything)))
     return (
         scored.filter(F.size("p.excluded") == 0)
         .withColumn("profile_id", F.col("p.profile_id"))

@@ -50,27 +50,23 @@ def attach(items: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
 def official_domains(companies: DataFrame, sources: DataFrame) -> DataFrame:
     """(company, domain): root domains of sources whose company name contains the other's or the reverse.
 
-    sources is the editorial source list (a few dozen rows); its names travel inside the plan as one array,
-    so distinct companies are scanned once and nothing is crossed.
+    A name that contains another has it among its pieces, so both directions are joins by equality on distinct
+    names, for lists of any length.
     """
     listed = sources.filter(F.coalesce("company", F.lit("")) != "").select(
-        F.struct(text.fold_case(F.col("company")).alias("name"), urls.root_domain(urls.host(F.col("url"))).alias("domain")).alias("s")
-    )
-    rows = [(r.s.name, r.s.domain) for r in listed.limit(SOURCE_LIST_BOUND + 1).collect()]
-    if len(rows) > SOURCE_LIST_BOUND:
-        raise ValueError("the source list is larger than an editorial list can be")
-    if not rows:
-        return companies.select("company").distinct().select("company", F.lit("").alias("domain")).filter("false")
-    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(d).alias("domain")) for n, d in rows])
-    name = text.fold_case(F.col("company"))
-    hits = F.filter(table, lambda s: (name != "") & (name.contains(s["name"]) | s["name"].contains(name)))
-    return (
-        companies.select("company").distinct().select("company", F.explode(hits).alias("s")).select("company", "s.domain")
-        .filter("domain != ''").distinct()
-    )
-
-
-SOURCE_LIST_BOUND = 2000
+        text.fold_case(F.col("company")).alias("listed"), urls.root_domain(urls.host(F.col("url"))).alias("domain")
+    ).filter("domain != ''").distinct()
+    named = companies.select("company").distinct().withColumn("name", text.fold_case(F.col("company"))).filter("name != ''")
+    inside = named.select("company", F.explode(_pieces(F.col("name"))).alias("listed")).join(listed, "listed")
+    around = listed.select("domain", F.explode(_pieces(F.col("listed"))).alias("name")).join(named, "name")
+    return inside.select("company", "domain").unionByName(around.select("company", "domain")).distinct()
+
+
+def _pieces(name: Column) -> Column:
+    """All substrings of a name that is not empty."""
+    ends = lambda i: F.sequence(F.lit(1), F.length(name) - i + 1)
+    starts = F.sequence(F.lit(1), F.length(name))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda n: F.substring(name, i, n)))))
 
 
 def looks_official(host: Column, company: Column, domains: Column, media: Column) -> Column:

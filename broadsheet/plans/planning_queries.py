@@ -235,16 +235,21 @@ def listing_candidates(spark, sf_dir):
 
 
 def _grouped(spark, sf_dir):
-    """Batches of forty consecutive documents; an assessor groups every eighth one of a language."""
+    """Batches of forty consecutive documents; an assessor groups every eighth one of a language.
+
+    In every sixth batch the assessor names items that must not be grouped; in every tenth one member has no date.
+    """
     doc = F.col("doc_id")
     base = articles(spark, sf_dir)
     items = base.select(
         "profile_id", F.expr("doc_id div 40").alias("batch_no"), doc.cast("string").alias("id"), "title", "url",
-        "category", F.date_add(F.to_date(F.lit("2024-01-01")), (doc * 5 % 11).cast("int")).alias("published"),
+        "category", (doc % 5 != 3).alias("accepted"),
+        F.when(doc % 400 != 127, F.date_add(F.to_date(F.lit("2024-01-01")), (doc * 5 % 11).cast("int"))).alias("published"),
         F.lit(None).cast("date").alias("first_reported"), (doc * 37 % 100).cast("double").alias("ranking"),
         F.array(F.struct("url", F.col("source").alias("name"))).alias("sources"), doc.alias("doc_id"),
     )
-    groups = items.groupBy("profile_id", "batch_no", (F.col("doc_id") % 8).alias("group_no")).agg(
+    named = items.filter((F.col("accepted") & (F.col("category") != fixed.ACADEMIC)) | (F.col("batch_no") % 6 == 5))
+    groups = named.groupBy("profile_id", "batch_no", (F.col("doc_id") % 8).alias("group_no")).agg(
         F.transform(F.array_sort(F.collect_list("doc_id")), lambda d: d.cast("string")).alias("members")
     )
     return items.drop("doc_id"), groups.filter(F.size("members") > 1)
@@ -253,10 +258,13 @@ def _grouped(spark, sf_dir):
 @query(
     "event_groups",
     with_sql(ARTICLES)
-    + """, items AS (SELECT *, doc_id // 40 AS batch_no, doc_id % 8 AS group_no, DATE '2024-01-01' + (doc_id * 5 % 11)::INT AS day, (doc_id * 37 % 100)::DOUBLE AS r,
-        regexp_matches(url, '^https?://[^/]*\\.gov\\.cn/') AS gov FROM articles),
-      g AS (SELECT profile_id, batch_no, group_no, max(day) - min(day) AS span, count(*) AS n FROM items GROUP BY ALL),
-      ok AS (SELECT i.* FROM items i JOIN g USING (profile_id, batch_no, group_no) WHERE n > 1 AND span <= 7)
+    + """, items AS (SELECT *, doc_id // 40 AS batch_no, doc_id % 8 AS group_no, CASE WHEN doc_id % 400 <> 127 THEN DATE '2024-01-01' + (doc_id * 5 % 11)::INT END AS day, (doc_id * 37 % 100)::DOUBLE AS r,
+        regexp_matches(url, '^https?://[^/]*\\.gov\\.cn/') AS gov, doc_id % 5 <> 3 AND category <> '学术' AS eligible FROM articles),
+      named AS (SELECT * FROM items WHERE eligible OR batch_no % 6 = 5),
+      g AS (SELECT profile_id, batch_no, group_no, max(day) - min(day) AS span, count(DISTINCT category) AS categories,
+          bool_or(NOT eligible OR day IS NULL) AS wrong FROM named GROUP BY ALL HAVING count(*) > 1),
+      void AS (SELECT profile_id, batch_no FROM g WHERE wrong),
+      ok AS (SELECT i.* FROM named i JOIN g USING (profile_id, batch_no, group_no) ANTI JOIN void USING (profile_id, batch_no) WHERE categories = 1 AND span <= 7)
     SELECT profile_id, batch_no, group_no, (list(doc_id::VARCHAR ORDER BY gov DESC, r DESC, doc_id))[1] AS id, min(day) AS first_reported,
       count(DISTINCT url) AS n_sources FROM ok GROUP BY ALL""",
 )
@@ -274,11 +282,11 @@ def prior_coverage(spark, sf_dir):
     facts = picks.join(titles, "id").select(
         "edition_day", "profile_id", "id", "category", text.title_key(F.col("title")).alias("title_key"),
         text.policy_document(F.col("title"), F.col("category")).alias("document"),
-        events.name_list(F.col("companies"), F.lit("")).alias("names"),
+        events.name_list(F.col("companies"), F.lit("")).alias("names"), F.lit(None).cast("date").alias("event_day"),
     )
     history = facts.withColumnRenamed("edition_day", "day").withColumnRenamed("id", "sent_id")
     priors = events.possible_priors(facts, history)
-    undecided = spark.createDataFrame([], "id string, prior_key string, duplicate boolean")
+    undecided = spark.createDataFrame([], "id string, event_day date, prior_key string, duplicate boolean")
     return events.coverage_verdicts(priors, undecided)
 
 

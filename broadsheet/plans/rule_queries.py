@@ -177,13 +177,18 @@ gate AS (SELECT *, coalesce(a_accept AND effective >= 60 AND (published IS NOT N
 
 @query(
     "assessment_gate",
-    with_sql(ARTICLES, ASSESSMENTS, GATE_SQL)
-    + """SELECT doc_id, accepted, effective, coalesce(source_kind, 'unknown') AS source_kind,
-      CASE WHEN len(word) >= 2 THEN word ELSE '' END AS companies, CASE WHEN len(word) >= 2 THEN word ELSE '' END AS subject FROM gate""",
+    with_sql(ARTICLES, PLACES, RULE_ROWS, ASSESSMENTS, GATE_SQL)
+    + f""", blend AS (SELECT *, weight * 0.6::DOUBLE + least(100, greatest(0, a_relevance)) * 0.4::DOUBLE AS mixed FROM
+        (SELECT g.*, coalesce((SELECT max(weight) FROM hits h WHERE h.doc_id = g.doc_id), 0)::DOUBLE AS weight FROM gate g))
+    SELECT doc_id, accepted, effective, coalesce(source_kind, 'unknown') AS source_kind,
+      CASE WHEN a_relevance IS NULL THEN weight ELSE {scores.sql_rounded("mixed", 2)} END AS score,
+      CASE WHEN len(word) >= 2 THEN word ELSE '' END AS companies, CASE WHEN len(word) >= 2 THEN word ELSE '' END AS subject FROM blend""",
 )
 def assessment_gate(spark, sf_dir):
-    return gates.apply_assessment(assessed(spark, sf_dir)).select(
-        "doc_id", "accepted", "effective", "source_kind", F.array_join("companies", "|").alias("companies"), "subject"
+    matched = matching.match_rules(assessed(spark, sf_dir), dim.RULES)
+    priority = F.coalesce(matching.top_weight(F.col("matches")), F.lit(0))
+    return gates.apply_assessment(matched, priority).select(
+        "doc_id", "accepted", "effective", "source_kind", "score", F.array_join("companies", "|").alias("companies"), "subject"
     )
 
 

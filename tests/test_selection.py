@@ -100,12 +100,15 @@ def test_full_direction_admits_one_clear_challenger(spark):
 
 
 def test_priors_keep_the_newest_five(spark):
-    schema = "edition_day date, profile_id string, id string, category string, title_key string, document string, names array<string>"
-    candidates = spark.createDataFrame([(DAY, "p", "new", fixed.INDUSTRY, "acmelaunchesneuralband", "", ["acme"])], schema)
+    schema = "edition_day date, profile_id string, id string, event_day date, category string, title_key string, document string, names array<string>"
+    candidates = spark.createDataFrame([(DAY, "p", "new", None, fixed.INDUSTRY, "acmelaunchesneuralband", "", ["acme"])], schema)
     old = [(DAY - dt.timedelta(days=d), "p", f"o{d}", fixed.INDUSTRY, "unrelatedwords" if d % 2 else "acmelaunchesneuralbands", "", []) for d in range(1, 14)]
     old += [(DAY - dt.timedelta(days=90), "p", "late", fixed.INDUSTRY, "acmelaunchesneuralband", "", []), (DAY, "q", "other", fixed.INDUSTRY, "acmelaunchesneuralband", "", [])]
     history = spark.createDataFrame(old, "day date, profile_id string, sent_id string, category string, title_key string, document string, names array<string>")
     got = events.possible_priors(candidates, history).orderBy("prior_rank").collect()
     assert [r.sent_id for r in got] == ["o2", "o4", "o6", "o8", "o10"]
-    verdict = events.coverage_verdicts(events.possible_priors(candidates, history), spark.createDataFrame([("new", "o2:o4:o6:o8:o10", False)], "id string, prior_key string, duplicate boolean"))
-    assert verdict.first().covered is False
+    priors = events.possible_priors(candidates, history)
+    decided = "id string, event_day date, prior_key string, duplicate boolean"
+    for day, covered in ((None, False), (DAY, True)):  # a decision about another event day does not count
+        verdict = events.coverage_verdicts(priors, spark.createDataFrame([("new", day, "o2:o4:o6:o8:o10", False)], decided))
+        assert verdict.first().covered is covered

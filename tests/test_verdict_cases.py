@@ -6,8 +6,9 @@ import random
 import duckdb
 from pyspark.sql import functions as F
 
+from broadsheet import fixed_values as fixed
 from broadsheet.functions import scores
-from broadsheet.operators import coverage, duplicates, gates, matching
+from broadsheet.operators import coverage, duplicates, events, gates, matching, reputation
 
 
 def test_rounding_is_that_of_exact_binary_values(spark):
@@ -48,3 +49,26 @@ def test_province_alone_is_evidence(spark):
     row = spark.createDataFrame([("https://e.org/1", "北京 发布", "", "", "s"), ("https://e.org/2", "澳门 发布", "", "", "s"), ("https://e.org/3", "澳门政府", "", "", "s")], "url string, title string, summary string, body string, source string")
     seen = row.select(gates.jurisdiction_evidence(*[F.col(c) for c in row.columns]).alias("e")).collect()
     assert [r["e"] for r in seen] == [True, False, True]
+
+
+def grouped(spark, rows, members=("a", "b")):
+    """Primaries of one declared group; rows are (id, category, accepted, published)."""
+    schema = "batch int, id string, title string, url string, category string, accepted boolean, published date, first_reported date, ranking double, sources array<struct<url:string,name:string>>"
+    items = [(1, i, f"title {i}", f"https://e.org/{i}", c, ok, day, None, float(k), [(f"https://e.org/{i}", "s")]) for k, (i, c, ok, day) in enumerate(rows)]
+    groups = spark.createDataFrame([(1, 0, list(members))], "batch int, group_no int, members array<string>")
+    primaries, removed = events.merge_declared_groups(spark.createDataFrame(items, schema), groups, ["batch"])
+    return [r.id for r in primaries.collect()], [r.id for r in removed.collect()]
+
+
+def test_groups_hold_accepted_dated_items_outside_research(spark):
+    day, kind = dt.date(2024, 1, 1), fixed.INDUSTRY
+    assert grouped(spark, [("a", kind, True, day), ("b", kind, True, day)]) == (["b"], ["a"])
+    assert grouped(spark, [("a", kind, True, day), ("b", kind, False, day)]) == ([], [])
+    assert grouped(spark, [("a", kind, True, day), ("b", kind, True, None)]) == ([], [])
+    assert grouped(spark, [("a", fixed.ACADEMIC, True, day), ("b", fixed.ACADEMIC, True, day)]) == ([], [])
+
+
+def test_official_domains_meet_in_both_directions(spark):
+    companies = spark.createDataFrame([("Acme Labs",), ("ac",), ("Other",), ("",), (None,)], "company string")
+    sources = spark.createDataFrame([("ACME", "https://www.acme.com/"), ("Beacon", "https://beacon.org/"), ("", "https://none.org/"), (None, "https://none.org/")], "company string, url string")
+    assert {tuple(r) for r in reputation.official_domains(companies, sources).collect()} == {("Acme Labs", "acme.com"), ("ac", "acme.com"), ("ac", "beacon.org")}
