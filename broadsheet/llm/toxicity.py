@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm._common import map_arrow, type_of
+from broadsheet.session import cut
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 LOOK_ALIKE = dict(zip("аеорсухіјѕкмтвнԁɡαεορτυνικ", "aeopcyxijskmtbhdgaeoptuvik", strict=True))
@@ -140,14 +141,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Lexicon({}, exceptions, trained=False)
     share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / counts[1])).otherwise(min(1.0, sample_rows / counts[0]))
     marks = marks.filter(F.pmod(F.xxhash64("l_id", F.lit("toxicity")), F.lit(1 << 30)) < share * (1 << 30))
-    rows = docs.join(marks, F.col(id_col) == F.col("l_id")).select(F.col(text_col).cast("string").alias("text"), "toxic")
+    # the marks left are about twice sample_rows at most, whatever the size of either table, so texts need no shuffle
+    rows = docs.join(F.broadcast(marks), F.col(id_col) == F.col("l_id")).select(F.col(text_col).cast("string").alias("text"), "toxic")
 
     def prepare(batches):
         for batch in batches:
             texts = [folded(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts), batch.column(1), pa.array([copy_key(t.split()) for t in texts], pa.int64())], ["text", "toxic", "key"])
 
-    sample = map_arrow(rows, prepare, "text string, toxic int, key long").dropDuplicates(["key", "toxic"])
+    sample = cut(map_arrow(rows, prepare, "text string, toxic int, key long").dropDuplicates(["key", "toxic"]))
     counted = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n = {k: counted.get(k, 0) for k in (0, 1)}
     if not n[0] or not n[1]:
