@@ -123,7 +123,8 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     for g, n in counts.items():
         share = F.when(F.col("grade") == g, min(1.0, sample_rows / n)).otherwise(share)
     rated = rated.filter(F.pmod(F.xxhash64("r_id", F.lit("quality")), F.lit(1 << 30)) < share * (1 << 30))
-    rows = docs.join(rated, F.col(id_col) == F.col("r_id")).select(F.col(text_col).cast("string").alias("text"), "grade")
+    # the ratings left are about grades x sample_rows at most, whatever the size of either table, so texts need no shuffle
+    rows = docs.join(F.broadcast(rated), F.col(id_col) == F.col("r_id")).select(F.col(text_col).cast("string").alias("text"), "grade")
 
     def run(batches):
         features = Features(dim)
