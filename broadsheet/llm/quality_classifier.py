@@ -3,7 +3,7 @@
 Ratings are grades 0 .. K-1. The cumulative-link model P(grade >= k) = s(w.x - t_k) has one weight vector for all grades
 and ascending thresholds. x counts hashed features of the words (shape, first letters), repeated neighbours and repeated
 lines, as square roots of their shares, so its length does not grow with the text. Weights and thresholds are fitted on at
-most `sample_rows` rated rows of each grade, drawn by a hash of the id; the expected grade and the tail probability of a
+most about `sample_rows` rated rows of each grade, drawn by a hash of the id; the expected grade and the tail probability of a
 grade select documents.
 
 Defined cases: a null or empty text has the feature of emptiness alone; a row rated more than once counts with its lowest

@@ -8,7 +8,7 @@ teach once. Phrases around lexicon words that labelled rows know as harmless, an
 them do not count. One Aho-Corasick automaton finds terms and exceptions in a pass over the text; the sum of weights,
 divided by the square root of the length, goes through a logistic curve fitted on the same rows.
 
-What is learnt comes from at most `sample_rows` labelled rows of either label, drawn by a hash of the id.
+What is learnt comes from about `sample_rows` labelled rows of either label (all if fewer), drawn by a hash of the id.
 
 Defined cases: a null or empty text has no hits and the score of a harmless one; an unlabelled corpus gives an empty
 lexicon and scores of 0; of several labels for a row the highest counts, null labels are ignored; a row with a null id is
