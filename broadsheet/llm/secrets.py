@@ -6,7 +6,9 @@ that a worker walks once over a text's UTF-8 bytes, for all rules together; it s
 texts with a hit are looked at again: a second automaton, of the reversed rules, walks backwards and marks every place
 where a match of a rule starts, and a rule's own automaton runs from the first such place to the longest end. That gives
 leftmost-longest matches that do not overlap within a kind, which for the rules below is what a backtracking matcher
-finds. Matches whose measured part is too short are dropped after matching, so they still use up their text.
+finds. Matches whose measured part is too short are dropped after matching, so they still use up their text. A private
+key is matched from its header over the body to the END line, and without one over all that still looks like its body;
+there a word after the last run may go with it.
 
 Defined cases: a null text is the empty text, without matches; repeated rows are scanned each; other columns are ignored;
 no rows give no rows. Rules are written over bytes: literals, classes, groups, ``|``, ``? * +`` and ``{n,}`` with `n` fixed.
@@ -29,12 +31,17 @@ from broadsheet.llm._common import map_arrow, type_of
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. A match is `head` and then `pattern`; what `pattern` matched has at least `least` bytes."""
+    """A kind of secret. A match is `head` and then `pattern`; what `pattern` matched has at least `least` bytes.
+
+    `tail` is what a match takes in besides where it follows. It does not decide whether there is a match or where it
+    starts, so it stays out of the automata that all rules share.
+    """
 
     kind: str
     pattern: str
     least: int = 0
     head: str = ""
+    tail: str = ""
 
 
 #: The order is the order of kinds at equal starts.
@@ -49,8 +56,16 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 16),
     Rule("hex", "[0-9a-f]{12,}", 32),  # 12 keep the automaton small and prose out; a run is matched whole either way
 )
+#: Bytes without five hyphens in a row, up to the END line: line breaks may be escaped and lines quoted, joined or named.
+PEM_BODY = "((-(-(-(-)?)?)?)?[\\x00-\\x2C\\x2E-\\xFF])*-----END [A-Z ]*PRIVATE KEY( BLOCK)?-----"
+#: A key that was cut before its END line: named lines, then runs of 16 or more base64 bytes, and a shorter last run.
+_GAP, _RUN = "([\\x09\\x0A\\x0D\\x20\\\\\"'>,;.*#|]|[\"'] ?\\+)", "[A-Za-z0-9+/=]"
+PEM_CUT = (
+    f"({_GAP}*[A-Za-z-]+: (-?[\\x20-\\x2C\\x2E-\\x5B\\x5D-\\xFF])*\\x0D?[\\x0A\\\\])*"
+    f"(({_GAP}+{_RUN}{{16,}})+({_GAP}+{_RUN}+)?|\\x0D?[\\x0A\\\\]{_GAP}*{_RUN}+)"
+)
 MORE = (
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY( BLOCK)?-----", tail=f"({PEM_BODY}|{PEM_CUT})?"),
     Rule("bearer", "[Bb]earer [A-Za-z0-9._~+/-]+=*", 27),
     Rule("platform", "gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("webtoken", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 40),
@@ -318,7 +333,8 @@ class Scanner:
 def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
     trees = [parse(r.head + r.pattern) for r in rules]
     heads = [compiled([parse(r.head)], False) if r.head else None for r in rules]
-    return Scanner(rules, compiled(trees, True), compiled([backwards(t) for t in trees], True), [compiled([t], False) for t in trees], heads)
+    whole = [parse(r.head + r.pattern + r.tail) for r in rules]
+    return Scanner(rules, compiled(trees, True), compiled([backwards(t) for t in trees], True), [compiled([t], False) for t in whole], heads)
 
 
 def in_code_points(data: bytes, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
