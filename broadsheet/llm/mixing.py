@@ -2,11 +2,14 @@
 
 A labelled table teaches a classifier the domains: every text is measured in a few ways, each measure falls into a
 bucket, and naive Bayes over the buckets gives a posterior for every domain. Non-negative rates are then fitted by
-projected-gradient least squares so that the expected tokens of each domain (posterior x tokens x rate, summed over all
-documents) come in the target shares. Documents in the same buckets have the same posterior, and the gradient step is
-scaled by a document's tokens, so they keep the same rate in every step: the descent runs on one row per bucket
-combination, which one aggregation over the documents makes, and still is the descent over all documents. Each step is a
-Spark aggregation whose one row (a sum per domain) comes to the driver.
+least squares so that the expected tokens of each domain (posterior x tokens x rate, summed over all
+documents) come in the target shares. Documents in the same buckets have the same posterior and so the same rate: the
+fit runs on one row per bucket combination, which one aggregation over the documents makes.
+
+Of all rates with the least squared misses those nearest to the starting rate are taken. They are the starting rate plus a
+weighted sum of a document's posteriors, cut at the bounds, so only a weight per domain is sought: by Newton steps on the
+convex dual, each a Spark aggregation whose one row (sums per domain and pair of domains) comes to the driver. It ends
+where the gradient vanishes; misses are left only where the rates' bounds hold them.
 
 The total is the largest that the shares allow without a rate above `max_rate`, whereby a domain that has less than
 `scarce` of the tokens its share of the whole table would be is taken whole and does not hold back the others. `copies`
@@ -19,9 +22,10 @@ document labelled more than once teaches once for each label row; null ids are n
 
 from __future__ import annotations
 
-import math
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,9 @@ from broadsheet.session import cut
 #: Shares of all tokens wanted of the domains that `label_domain` names.
 TARGETS = {"en": 0.63, "de": 0.13, "fr": 0.14, "es": 0.09, "junk": 0.01}
 
+#: Weight of the distance from the starting rate; it only chooses among rates with about the same misses.
+NEAREST = 1e-7
+
 
 def label_domain(quality: Column, lang: Column) -> Column:
     """Domain of a labelled row: its language, or junk if it is rated bad; null where the rating is unknown."""
@@ -116,22 +123,54 @@ def fit_rates(cells: DataFrame, targets: dict[str, float], max_rate: float = 1.0
         return cells.withColumn("rate", F.lit(float(max_rate)))
     goal = [wanted * w for w in share]
     scale = [g if g > 0 else wanted for g in goal]
-    # the posteriors of a document add up to one, so a domain's row sum bounds the scaled normal matrix's eigenvalues
-    eta = 1.5 / max(s / g for s, g in zip(whole, scale, strict=True))
-    cells, before = cells.withColumn("rate", F.lit(float(max_rate))), None
-    for step in range(steps):
-        got = sums(tokens * F.col("rate"))
-        miss = [(s - g) / c for s, g, c in zip(got, goal, scale, strict=True)]
-        # done when the targets are met, or as near as the rates' bounds allow: the last step changed next to nothing
-        moved = max(abs(m - b) for m, b in zip(miss, before, strict=True)) if before else math.inf
-        if max(map(abs, miss)) < tolerance or moved < tolerance / 5:
+    weights = _weights(cells, goal, scale, max_rate, max_rate, sum(whole), steps, tolerance)
+    return cells.withColumn("rate", _bounded(_level(weights, max_rate), max_rate))
+
+
+def _level(weights: list[float], start: float) -> Column:
+    return sum((F.col("p")[k] * F.lit(float(m)) for k, m in enumerate(weights)), F.lit(float(start)))
+
+
+def _bounded(level: Column, bound: float) -> Column:
+    return F.least(F.greatest(level, F.lit(0.0)), F.lit(float(bound)))
+
+
+def _weights(cells: DataFrame, goal: list[float], scale: list[float], start: float, bound: float, whole: float, steps: int, tolerance: float) -> list[float]:
+    """The domains' weights with the least squared misses, `NEAREST` times the squared distance from the start added."""
+    n = len(goal)
+    pairs = [(k, j) for k in range(n) for j in range(k + 1)]
+    g, own = np.array(goal), NEAREST * np.array(scale) ** 2 / whole
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, gradient and curvature of the dual."""
+        rows = cells.select("p", F.col("tokens").cast("double").alias("t"), _level(m, start).alias("x"))
+        rows = rows.select("p", "t", "x", _bounded(F.col("x"), bound).alias("r"))
+        # cells on a bound count as free, so that the first step has a curvature
+        rows = rows.withColumn("free", F.when((F.col("x") >= 0) & (F.col("x") <= F.lit(float(bound))), F.col("t")).otherwise(0.0))
+        value = F.sum(F.col("t") * F.col("r") * (F.col("x") - F.col("r") / 2))
+        p = [F.col("p")[k] for k in range(n)]
+        row = rows.agg(value, *[F.sum(p[k] * F.col("t") * F.col("r")) for k in range(n)], *[F.sum(p[k] * p[j] * F.col("free")) for k, j in pairs]).first()
+        curve = np.diag(own)
+        for (k, j), x in zip(pairs, row[1 + n :], strict=True):
+            curve[k, j] += x
+            if k != j:
+                curve[j, k] += x
+        return row[0] - g @ m + own @ m**2 / 2, np.array(row[1 : 1 + n]) - g + own * m, curve
+
+    m = np.zeros(n)
+    value, slope, curve = at(m)
+    for _ in range(steps):
+        if (np.abs(slope) < tolerance / 10 * np.array(scale)).all():
             break
-        before = miss
-        gradient = sum((F.col("p")[k] * F.lit(m) for k, m in enumerate(miss)), F.lit(0.0))
-        cells = cells.withColumn("rate", F.least(F.greatest(F.col("rate") - F.lit(eta) * gradient, F.lit(0.0)), F.lit(float(max_rate))))
-        if step % 10 == 9:
-            cells = cut(cells)
-    return cells
+        move, part = -np.linalg.solve(curve, slope), 1.0
+        tried = at(m + move)
+        while tried[0] > value + 1e-4 * part * (slope @ move) and part > 1e-9:
+            part /= 4
+            tried = at(m + part * move)
+        m, (value, slope, curve) = m + part * move, tried
+    else:
+        warnings.warn(f"mixing: no solution within {steps} steps", RuntimeWarning, stacklevel=2)
+    return m.tolist()
 
 
 def mix(

@@ -322,6 +322,24 @@ def test_mixing_reaches_the_targets(spark, odd, none):
     assert taken[0] == pytest.approx(25000, rel=0.02) and taken[1:] == (1, 2)
 
 
+def reached(fitted, k):
+    rows = fitted.select("p", "tokens", "rate").collect()
+    return sum(r["p"][k] * r["tokens"] * r["rate"] for r in rows) / sum(r["tokens"] * r["rate"] for r in rows)
+
+
+def hard_cells(spark, supply):
+    return spark.createDataFrame([([float(j == k) for j in range(len(supply))], x) for k, x in enumerate(supply)], "p array<double>, tokens long")
+
+
+@pytest.mark.parametrize("junk", [330_000, 400_000])
+def test_mixing_of_a_table_with_much_junk(spark, junk):
+    rest = 1_000_000 - junk
+    cells = hard_cells(spark, [int(rest * w / 0.99) for w in (0.63, 0.13, 0.14, 0.09)] + [junk])
+    fitted = mixing.fit_rates(cells, mixing.TARGETS)
+    for k, share in enumerate(mixing.TARGETS.values()):
+        assert reached(fitted, k) == pytest.approx(share, rel=0.01)
+
+
 # packing
 
 
