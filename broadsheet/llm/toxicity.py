@@ -1,7 +1,8 @@
 """Toxicity scores from a weighted lexicon.
 
 Texts are folded: lower case, look-alike letters of other scripts and digits written for letters become Latin letters
-(i, l and 1 are one letter), everything else that is no letter or digit becomes a space. The lexicon holds whole words and
+(i, l and 1 are one letter), combining marks and format characters (soft hyphens, zero-width characters) vanish, everything
+else that is no letter or digit becomes a space. The lexicon holds whole words and
 word beginnings with weights, learnt from labelled rows: the log odds of being met in a toxic rather than a harmless text,
 kept only where a likelihood ratio passes a Bonferroni bound over all candidates. Near copies (equal least shingle hash)
 teach once. Phrases around lexicon words that labelled rows know as harmless, and given ones, are exceptions: hits inside
@@ -18,6 +19,7 @@ never labelled; repeated rows are scored each; no rows give no rows; other colum
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -37,9 +39,30 @@ WRITTEN_FOR = {"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 EXCEPTIONS = ("trash can", "trash bin", "clown fish")
 BEGINNINGS = (4, 5, 6)
 
-_FULL_WIDTH = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
-_TABLE = {chr(k): " " for k in range(128) if not chr(k).isalnum()} | LOOK_ALIKE | WRITTEN_FOR
-_TABLE = str.maketrans({k: WRITTEN_FOR.get(v, v) for k, v in _TABLE.items()} | {k: _TABLE.get(v.lower(), v.lower()) for k, v in _FULL_WIDTH.items()})
+#: Decompositions of signs that are written as letters, unlike those of marks set beside a word.
+AS_LETTERS = ("<wide>", "<narrow>", "<circle>", "<font>")
+
+
+class _Table(dict):
+    """What each character becomes, filled as characters are met: marks and format characters vanish, letters and digits
+    lose their marks, all others become a space."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        category = unicodedata.category(c)
+        if category[0] == "M" or category == "Cf":
+            out = ""
+        elif not c.isalnum() and c not in WRITTEN_FOR and not unicodedata.decomposition(c).startswith(AS_LETTERS):
+            out = " "
+        else:
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x)[0] != "M")
+            letters = (LOOK_ALIKE.get(x, x) for x in unicodedata.normalize("NFKC", plain).lower())
+            out = "".join(WRITTEN_FOR.get(x, x if x.isalnum() else " ") for x in letters)
+        self[code] = out
+        return out
+
+
+_TABLE = _Table()
 
 
 def folded(text: str | None) -> str:

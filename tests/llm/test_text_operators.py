@@ -76,6 +76,17 @@ def test_folding_and_exceptions():
     assert lexicon.strength("moron " + "word " * 500) < lexicon.strength("moron word")
 
 
+def test_typographic_marks_do_not_hide_words():
+    lexicon = toxicity.Lexicon({" moron ": 3.0, f" {toxicity.folded('clown').strip()} ": 2.0})
+    for mark in "“”‘’«»„—–…¡¿\u00a0\u2009\u3000•™\ufffd":
+        for text in (f"{mark}moron", f"moron{mark}", f"you{mark}moron{mark}you"):
+            assert lexicon.strength(text) > 0, ascii(text)
+        assert lexicon.strength(f"a clown{mark}fish") == 0
+    for inside in "\u200b\u200d\u00ad\u2060\ufeff\u0301\ufe0f":
+        assert lexicon.strength(f"mo{inside}ron") > 0, ascii(inside)
+    assert lexicon.strength("mörón") > 0 and lexicon.strength("ｍｏｒｏｎ") > 0 and lexicon.strength("oxy\u200bmoron") == 0
+
+
 def test_toxicity_learns_and_handles_odd_rows(spark, odd, none):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices([f"w{k}ab" for k in range(80)], k=30)) + (" grumbol" if i % 5 == 0 else ""), i % 5 == 0) for i in range(400)]
