@@ -7,8 +7,9 @@ attempt's file; only files named by the finished attempt's manifest rows count.
 
 Reader: files are read in byte ranges; a range yields the records that start in it. At each position a record is checked
 in full (member checksum, header lines, Content-Length, end mark, payload digest). When a check fails the reader goes on
-at the next member magic or version line that passes all checks. Bytes that belong to no valid record are logged as gaps
-with the reason of the first failed check in them.
+at the next member magic or version line that passes all checks, whatever the file's name or first bytes. A member may hold
+several records, which share its place. Bytes that belong to no valid record, and members with an invalid one, are logged
+as gaps with the reason of the first failed check in them.
 
 Defined cases: a null payload is the empty payload; a null key is written as such and ranks below every other; rows equal
 in key and payload have the same role; an empty table gives no files, no records and no gaps; other columns are ignored.
@@ -33,8 +34,10 @@ from broadsheet.session import cut
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
+MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 STEP = 1 << 16
 END = b"\r\n\r\n"
+LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = (
     "path string, offset long, end long, record_id string, record_type string, target string, refers_to string, "
@@ -141,16 +144,16 @@ class Source:
             self.at, self.held = at, self.f.read(max(n, 16 * STEP))
         return self.held[at - self.at : at - self.at + n]
 
-    def find(self, mark: bytes, at: int, stop: int) -> int:
-        """The first place of the mark that starts in [at, stop), or -1."""
+    def find(self, mark: re.Pattern | bytes, at: int, stop: int) -> int:
+        """The first place of the mark, of no more bytes than VERSION, that starts in [at, stop), or -1."""
         while at < stop:
             piece = self.get(at, STEP)
-            k = piece.find(mark)
-            if k >= 0:
-                return at + k if at + k < stop else -1
+            found = re.search(mark, piece)
+            if found:
+                return at + found.start() if at + found.start() < stop else -1
             if len(piece) < STEP:
                 return -1
-            at += STEP - len(mark) + 1
+            at += STEP - len(VERSION) + 1
         return -1
 
 
@@ -185,8 +188,8 @@ def parsed(raw: bytes) -> tuple:
     return unquote(key("warc-record-id")), kind, fields.get("warc-target-uri", ""), refers, size, digest, payload if kind != "revisit" else None
 
 
-def member_at(src: Source, at: int) -> tuple[int, tuple]:
-    """End and fields of the compressed record at a place."""
+def member_at(src: Source, at: int) -> tuple[int, list[tuple], str | None]:
+    """End of the compressed member at a place, fields of its valid records, and the first failed check in it."""
     z, out, pos = zlib.decompressobj(31), [], at
     while not z.eof:
         piece = src.get(pos, STEP)
@@ -197,48 +200,72 @@ def member_at(src: Source, at: int) -> tuple[int, tuple]:
         except zlib.error as e:
             raise ValueError(f"member: {e}") from e
         pos += len(piece)
-    raw = b"".join(out)
-    if not raw.endswith(END):
+    raw, records, problem, start = b"".join(out), [], None, 0
+    while 0 <= start < len(raw):
+        try:
+            end = record_end(raw, start)
+            records.append(parsed(raw[start:end]))
+            start = end + len(END)
+        except ValueError as e:
+            problem = problem or str(e)
+            start = raw.find(VERSION, start + 1)
+    if not records:
+        raise ValueError(problem or "no version line")
+    return pos - len(z.unused_data), records, problem
+
+
+def record_end(raw: bytes, start: int) -> int:
+    """Where the end mark of the record at a place stands."""
+    if not raw.startswith(VERSION, start):
+        raise ValueError("no version line")
+    stop = raw.find(END, start)
+    if stop < 0:
+        raise ValueError("no end of the header")
+    n = LENGTH.search(raw[start:stop])
+    if not n:
+        raise ValueError("content length")
+    end = stop + len(END) + int(n[1])
+    if raw[end : end + len(END)] != END:
         raise ValueError("no end mark")
-    return pos - len(z.unused_data), parsed(raw[: -len(END)])
+    return end
 
 
-def plain_at(src: Source, at: int) -> tuple[int, tuple]:
-    """End and fields of the uncompressed record at a place."""
+def plain_at(src: Source, at: int) -> tuple[int, list[tuple], str | None]:
+    """End and fields of the uncompressed record at a place, as of a member."""
     if src.get(at, len(VERSION)) != VERSION:
         raise ValueError("no version line")
     stop = src.find(END, at, src.size)
     if stop < 0:
         raise ValueError("no end of the header")
-    n = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", src.get(at, stop - at))
+    n = LENGTH.search(src.get(at, stop - at))
     if not n:
         raise ValueError("content length")
     body = stop + len(END)
     end = body + int(n[1])
     if end + len(END) > src.size or src.get(end, len(END)) != END:
         raise ValueError("no end mark")
-    return end + len(END), parsed(src.get(at, end - at))
+    return end + len(END), [parsed(src.get(at, end - at))], None
 
 
 def records_in(path: str, lo: int, hi: int):
     """Rows of RECORD_SCHEMA for records that start in [lo, hi), and a row with a problem for each failed place."""
     src = Source(path)
-    packed = src.get(0, 3) == MAGIC or not path.endswith(".warc") and src.get(0, len(VERSION)) != VERSION
-    take, mark = (member_at, MAGIC) if packed else (plain_at, VERSION)
+    nothing = [None] * 7
     at, hi, sure = lo, min(hi, src.size), lo == 0
     while at < hi:
         try:
-            end, fields = take(src, at)
-            yield (path, at, end, *fields, None)
+            end, records, problem = (member_at if src.get(at, len(MAGIC)) == MAGIC else plain_at)(src, at)
+            for fields in records:
+                yield (path, at, end, *fields, None)
+            if problem:
+                yield (path, at, end, *nothing, problem)
             at, sure = end, True
             continue
         except ValueError as e:
             if sure:
-                yield (path, at, at, None, None, None, None, None, None, None, str(e))
+                yield (path, at, at, *nothing, str(e))
             sure = False
-        at = src.find(mark, at + 1, hi)
-        while not packed and at > 0 and src.get(at - 1, 1) != b"\n":
-            at = src.find(mark, at + 1, hi)
+        at = src.find(MARK, at + 1, hi)
         if at < 0:
             return
 
@@ -274,14 +301,16 @@ def read_archives(manifest: DataFrame, range_bytes: int = 8 << 20) -> tuple[Data
 
     found = map_arrow(ranges, run, RECORD_SCHEMA)
     earlier = Window.partitionBy("path").orderBy("offset", "end").rowsBetween(Window.unboundedPreceding, -1)
-    valid = found.filter("problem is null").withColumn("covered", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    before = Window.partitionBy("path").orderBy("offset").rangeBetween(Window.unboundedPreceding, -1)  # records of one member share its place
+    valid = found.filter("problem is null").withColumn("covered", F.coalesce(F.max("end").over(before), F.lit(0)))
     records = valid.filter(F.col("offset") >= F.col("covered")).drop("covered", "problem")
     ends = manifest.select("path", F.col("bytes").alias("offset"), F.col("bytes").alias("end"), F.lit(None).cast("string").alias("problem"))
     marked = found.select("path", "offset", "end", "problem").unionByName(ends)
     marked = marked.withColumn("covered", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    invalid = found.filter("problem is not null and end > offset").select("path", "offset", "end", F.col("problem").alias("reason"))
     gaps = (
         marked.withColumn("reason", F.last("problem", ignorenulls=True).over(earlier))
         .filter(F.col("problem").isNull() & (F.col("offset") > F.col("covered")))
         .select("path", F.col("covered").alias("offset"), F.col("offset").alias("end"), F.coalesce("reason", F.lit("unreadable")).alias("reason"))
     )
-    return records, gaps
+    return records, gaps.unionByName(invalid)

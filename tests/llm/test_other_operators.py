@@ -4,6 +4,7 @@ import glob
 import os
 import random
 import shutil
+import zlib
 
 import numpy as np
 import pytest
@@ -92,6 +93,30 @@ def test_salvage(spark, tmp_path, compress):
         assert all(r["reason"] for r in gaps.collect())
 
 
+def read_bytes(spark, path, data, step=1 << 20):
+    path.write_bytes(data)
+    records, gaps = warc.read_archives(spark.createDataFrame([(str(path), len(data))], "path string, bytes long"), range_bytes=step)
+    return sorted(int(r["record_id"]) for r in records.collect()), sorted((r["offset"], r["end"]) for r in gaps.collect())
+
+
+def test_salvage_whatever_stands_before_a_record(spark, tmp_path):
+    plain, packed = ([warc.record(str(i), "http://h/", f"payload {i} ".encode() * 30, None, c) for i in range(6)] for c in (False, True))
+    short = plain[2][:-200]
+    for k, noise in enumerate((b"", bytes(50), b"noise")):
+        data = b"".join([*plain[:2], short, noise, *plain[3:]])
+        start = len(plain[0] + plain[1])
+        assert read_bytes(spark, tmp_path / f"{k}.warc", data) == ([0, 1, 3, 4, 5], [(start, start + len(short + noise))])
+    for parts, name in ((packed, "a.warc"), (plain, "b.warc.gz"), (plain, "c")):
+        data = b"???" + b"".join(parts)[3:]
+        for step in (300, 1 << 20):
+            assert read_bytes(spark, tmp_path / name, data, step) == ([1, 2, 3, 4, 5], [(0, len(parts[0]))])
+    bad = plain[3].replace(b"payload 3", b"payload X", 1)
+    member = lambda raw: (lambda z: z.compress(raw) + z.flush())(zlib.compressobj(6, zlib.DEFLATED, 31))
+    data = packed[0] + member(plain[1] + plain[2]) + member(bad + plain[4]) + packed[5]
+    at = [len(packed[0] + member(plain[1] + plain[2])), len(data) - len(packed[5])]
+    assert read_bytes(spark, tmp_path / "d.warc.gz", data, 300) == ([0, 1, 2, 4, 5], [tuple(at)])
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """The smallest tables with odd rows added to documents."""
