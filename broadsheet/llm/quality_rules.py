@@ -1,10 +1,13 @@
 """Quality rules with thresholds learnt from the corpus, in DataFrame functions only.
 
-Each text is measured once. Per language and source a mergeable quantile sketch of every measure (percentile_approx, a
-Greenwald-Khanna summary that partial aggregates merge, so a hot group is summarised before the shuffle) gives the
-quartiles; a text fails where a measure lies beyond the quartile by more than `reach` interquartile ranges and by more
-than the measure's `least` distance, which keeps groups that hardly vary from rejecting harmless texts. Thresholds are
-joined back by language and source. A fixed floor (too few words, too much repetition) fails whatever the group.
+Each text is measured once. Per language and source, per language and over all rows a mergeable quantile sketch of every
+measure (percentile_approx, a Greenwald-Khanna summary that partial aggregates merge, so a hot group is summarised before
+the shuffle) gives the quartiles; a text fails where a measure lies beyond the quartile by more than `reach` interquartile
+ranges and by more than the measure's `least` distance, which keeps groups that hardly vary from rejecting harmless texts.
+The tightest of the three limits holds, so a group that is mostly junk does not excuse itself; a group or language of
+fewer than `enough` rows says nothing of its own. Measures that differ from language to language (`own`) leave out the
+limit over all rows, except where the language has too few rows. Limits are joined back by language and source. A fixed
+floor (too few words, too much repetition) fails whatever the group.
 
 Defined cases: a null or empty text has no words and fails; null language or source is a group of its own; repeated rows
 are judged each; no rows give no rows; other columns are ignored.
@@ -26,12 +29,14 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Measure:
-    """`least`: distance from the quartile that a text must exceed before it can fail; `low`: too little fails as well."""
+    """`least`: distance from the quartile that a text must exceed before it can fail; `low`: too little fails as well;
+    `own`: what is usual depends on the language."""
 
     name: str
     value: Column
     least: float
     low: bool = False
+    own: bool = False
 
 
 def measures() -> list[Measure]:
@@ -40,7 +45,7 @@ def measures() -> list[Measure]:
         Measure("symbol_ratio", F.col("n_symbols") / words, 0.25),
         Measure("dup_line_ratio", F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.5),
         Measure("repeat_ratio", F.col("n_repeat_words") / words, 0.5),
-        Measure("word_length", F.col("word_chars") / words, 4.0, low=True),
+        Measure("word_length", F.col("word_chars") / words, 4.0, low=True, own=True),
     ]
 
 
@@ -82,10 +87,10 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return again.withColumn("n_repeat_words", F.when(F.col("numbered").isNull(), F.lit(0)).otherwise(covered).cast("long")).drop("windows", "numbered")
 
 
-def thresholds(measured: DataFrame, reach: float = 6.0, accuracy: int = 1000) -> DataFrame:
-    """Per language and source: the highest and, where that counts, the lowest allowed value of each measure."""
-    sketches = measured.groupBy("lang", "source").agg(
-        *[F.percentile_approx(m.value, F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy)).alias(m.name) for m in measures()]
+def limits(measured: DataFrame, keys: list[str], reach: float, accuracy: int) -> DataFrame:
+    """Per combination of keys the number of rows and each measure's limits, named <measure>_high and <measure>_low."""
+    sketches = measured.groupBy(*keys).agg(
+        F.count("*").alias("n"), *[F.percentile_approx(m.value, F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy)).alias(m.name) for m in measures()]
     )
     bounds = []
     for m in measures():
@@ -94,7 +99,24 @@ def thresholds(measured: DataFrame, reach: float = 6.0, accuracy: int = 1000) ->
         bounds.append((q3 + slack).alias(f"{m.name}_high"))
         if m.low:
             bounds.append((q1 - slack).alias(f"{m.name}_low"))
-    return sketches.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *bounds)
+    return sketches.select(*keys, "n", *bounds)
+
+
+def thresholds(measured: DataFrame, reach: float = 6.0, accuracy: int = 1000, enough: int = 20) -> DataFrame:
+    """Per language and source: the highest and, where that counts, the lowest allowed value of each measure."""
+    group = limits(measured, ["lang", "source"], reach, accuracy).alias("g")
+    lang = limits(measured, ["lang"], reach, accuracy).alias("l")
+    every = limits(measured, [], reach, accuracy).alias("e")
+    joined = group.join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang"))).crossJoin(every)
+    group_counts, lang_counts = F.col("g.n") >= enough, F.col("l.n") >= enough
+    bounds = []
+    for m in measures():
+        for side, tightest in (("high", F.least), ("low", F.greatest)) if m.low else (("high", F.least),):
+            name = f"{m.name}_{side}"
+            wide = F.when(~lang_counts, F.col(f"e.{name}")) if m.own else F.col(f"e.{name}")
+            # nulls, of levels that say nothing, are left out of the comparison
+            bounds.append(tightest(F.when(group_counts, F.col(f"g.{name}")), F.when(lang_counts, F.col(f"l.{name}")), wide).alias(name))
+    return joined.select(F.col("g.lang").alias("t_lang"), F.col("g.source").alias("t_source"), *bounds)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat_pct: int = 30, reach: float = 6.0) -> DataFrame:

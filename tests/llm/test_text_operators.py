@@ -286,6 +286,14 @@ def test_quality_thresholds_adapt(spark):
     assert not got[5]["kept"] and got[5]["failed_measures"] == ["symbol_ratio"] and all(r["kept"] for i, r in got.items() if i != 5)
 
 
+def test_quality_thresholds_of_junk_and_tiny_sources(spark):
+    text = lambda i, junk: " ".join(f"w{(i * 7 + k) % 97}" for k in range(50)) + (" ## && ## %% " * 9 if junk else "")
+    rows = [(i, text(i, False), "xx", "clean") for i in range(200)] + [(1000 + i, text(i, i % 2), "xx", "half") for i in range(40)]
+    rows += [(2000, text(1, True), "xx", "alone"), (2001, text(2, False), "xx", "alone too"), (2002, text(3, True), "yy", None), (2003, text(4, False), None, None)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {i: "##" not in t for i, t, *_ in rows}
+
+
 # quality classifier
 
 
