@@ -11,17 +11,19 @@ weighted sum of a document's posteriors, cut at the bounds, so only a weight per
 convex dual, each a Spark aggregation whose one row (sums per domain and pair of domains) comes to the driver. It ends
 where the gradient vanishes; misses are left only where the rates' bounds hold them.
 
-The total is the largest that the shares allow without a rate above `max_rate`, whereby a domain that has less than
-`scarce` of the tokens its share of the whole table would be is taken whole and does not hold back the others. `copies`
-takes each document floor(rate) times and once more where a hash of its id falls below the rest.
+The caller names the total as a multiple of the table's tokens. Without `max_rate` scarce domains are met by rates above
+one. With it, a domain that holds less than its share of the total stays below its target, which `Fit.targets` says; if no
+total is named, it is the largest at which every domain holds its share. `copies` takes each document floor(rate) times
+and once more where a hash of its id falls below the rest.
 
 Defined cases: a null or empty text has no tokens, the buckets of zero and rate as fitted; without labels all posteriors
-are equal; a domain without labelled rows gets only the smoothing's share; repeated rows count as often as they stand, a
+are equal; a domain without labelled rows gets only the smoothing's share, one without tokens stays unmet and does not set the total; repeated rows count as often as they stand, a
 document labelled more than once teaches once for each label row; null ids are never labelled; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass
 
@@ -35,7 +37,7 @@ from broadsheet.session import cut
 TARGETS = {"en": 0.63, "de": 0.13, "fr": 0.14, "es": 0.09, "junk": 0.01}
 
 #: Weight of the distance from the starting rate; it only chooses among rates with about the same misses.
-NEAREST = 1e-7
+NEAREST = 1e-4
 
 
 def label_domain(quality: Column, lang: Column) -> Column:
@@ -106,25 +108,56 @@ def posteriors(cells: DataFrame, labelled: DataFrame, domains: list[str], smooth
     return rows.withColumn("p", F.transform("e", lambda x: x / sum_e)).drop("logs", "e")
 
 
-def fit_rates(cells: DataFrame, targets: dict[str, float], max_rate: float = 1.0, scarce: float = 0.5, steps: int = 40, tolerance: float = 0.01) -> DataFrame:
+@dataclass(frozen=True)
+class Target:
+    """Expected tokens of a domain: what the table holds, what was wanted, what the rates give."""
+
+    domain: str
+    supply: float
+    wanted: float
+    reached: float
+    met: bool
+
+
+@dataclass(frozen=True)
+class Fit:
+    rates: DataFrame
+    targets: list[Target]
+
+
+def fit_rates(cells: DataFrame, targets: dict[str, float], max_rate: float | None = 1.0, steps: int = 100, tolerance: float = 0.01, total: float | None = None) -> DataFrame:
     """Adds the rate to rows with p and tokens; minimises the squared relative misses of the domains' expected tokens."""
-    domains = list(targets)
+    return fitted(cells, targets, max_rate, steps, tolerance, total).rates
+
+
+def fitted(cells: DataFrame, targets: dict[str, float], max_rate: float | None = 1.0, steps: int = 100, tolerance: float = 0.01, total: float | None = None) -> Fit:
+    """The rates, and what they reach of each target. `total`: wanted tokens as a multiple of all tokens."""
+    domains, bound = list(targets), math.inf if max_rate is None else float(max_rate)
     share = [targets[d] / sum(targets.values()) for d in domains]
+    start = 1.0 if max_rate is None else bound
 
     def sums(weight: Column) -> list[float]:
         row = cells.agg(*[F.sum(F.col("p")[k] * weight).alias(f"s{k}") for k in range(len(domains))]).first()
         return [float(x or 0.0) for x in row]
 
     tokens = F.col("tokens").cast("double")
-    whole = sums(tokens)
-    ample = [(s, w) for s, w in zip(whole, share, strict=True) if w > 0 and s >= scarce * w * sum(whole)]
-    wanted = min((max_rate * s / w for s, w in ample), default=0.0)
-    if wanted <= 0:
-        return cells.withColumn("rate", F.lit(float(max_rate)))
+    supply = sums(tokens)
+    whole = sum(supply)
+    if total is not None:
+        wanted = total * whole
+    elif max_rate is None:
+        wanted = whole
+    else:
+        wanted = min((bound * s / w for s, w in zip(supply, share, strict=True) if s > 0 and w > 0), default=0.0)
     goal = [wanted * w for w in share]
-    scale = [g if g > 0 else wanted for g in goal]
-    weights = _weights(cells, goal, scale, max_rate, max_rate, sum(whole), steps, tolerance)
-    return cells.withColumn("rate", _bounded(_level(weights, max_rate), max_rate))
+    if wanted > 0:
+        weights = _weights(cells, goal, [g if g > 0 else wanted for g in goal], start, bound, whole, steps, tolerance)
+        cells = cells.withColumn("rate", _bounded(_level(weights, start), bound))
+    else:
+        cells = cells.withColumn("rate", F.lit(start))
+    got = sums(tokens * F.col("rate"))
+    met = [abs(x - g) <= tolerance * (g if g > 0 else wanted) for x, g in zip(got, goal, strict=True)]
+    return Fit(cells, [Target(*x) for x in zip(domains, supply, goal, got, met, strict=True)])
 
 
 def _level(weights: list[float], start: float) -> Column:
@@ -132,6 +165,7 @@ def _level(weights: list[float], start: float) -> Column:
 
 
 def _bounded(level: Column, bound: float) -> Column:
+    """The level within [0, bound]; an infinite bound leaves the upper side open."""
     return F.least(F.greatest(level, F.lit(0.0)), F.lit(float(bound)))
 
 
@@ -164,7 +198,8 @@ def _weights(cells: DataFrame, goal: list[float], scale: list[float], start: flo
             break
         move, part = -np.linalg.solve(curve, slope), 1.0
         tried = at(m + move)
-        while tried[0] > value + 1e-4 * part * (slope @ move) and part > 1e-9:
+        rounding = 1e-11 * (abs(value) + abs(g) @ abs(m) + whole)
+        while tried[0] > value + 1e-4 * part * (slope @ move) + rounding and part > 1e-9:
             part /= 4
             tried = at(m + part * move)
         m, (value, slope, curve) = m + part * move, tried
@@ -179,9 +214,23 @@ def mix(
     targets: dict[str, float] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_rate: float = 1.0,
+    max_rate: float | None = 1.0,
+    total: float | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, tokens, p_<domain>, rate. `labels` has doc_id and domain (null: not labelled)."""
+    return mixed(docs, labels, targets, id_col, text_col, max_rate, total).rates
+
+
+def mixed(
+    docs: DataFrame,
+    labels: DataFrame,
+    targets: dict[str, float] | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_rate: float | None = 1.0,
+    total: float | None = None,
+) -> Fit:
+    """The rows of mix(), and what the rates reach of each target."""
     targets = targets or TARGETS
     domains = list(targets)
     names = [f.name for f in features()]
@@ -189,9 +238,9 @@ def mix(
     known = labels.filter(F.col("domain").isin(domains)).select(F.col("doc_id").alias("l_id"), "domain")
     labelled = rows.join(known, F.col("doc_id") == F.col("l_id")).select("domain", *names)
     cells = posteriors(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), labelled, domains)
-    fitted = fit_rates(cut(cells), targets, max_rate).select(*names, "p", "rate")
-    out = rows.join(fitted, names)
-    return out.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], "rate")
+    fit = fitted(cut(cells), targets, max_rate, total=total)
+    out = rows.join(fit.rates.select(*names, "p", "rate"), names)
+    return Fit(out.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], "rate"), fit.targets)
 
 
 def copies(key: Column, rate: Column) -> Column:

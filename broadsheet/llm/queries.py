@@ -96,7 +96,7 @@ def domains_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rates = mixing.mix(docs, domains_of(docs, table(spark, sf_dir, "labels")))
+    rates = mixing.mix(docs, domains_of(docs, table(spark, sf_dir, "labels")), max_rate=None, total=1.0)
     return rates.withColumn("copies", mixing.copies(F.col("doc_id"), F.col("rate")))
 
 

@@ -359,6 +359,18 @@ def test_mixing_of_a_table_with_much_junk(spark, junk):
         assert reached(fitted, k) == pytest.approx(share, rel=0.01)
 
 
+def test_mixing_of_scarce_domains(spark):
+    cells = hard_cells(spark, [800_000, 60_000, 65_000, 40_000, 30_000])
+    free = mixing.fitted(cells, mixing.TARGETS, max_rate=None, total=1.0)
+    for k, share in enumerate(mixing.TARGETS.values()):
+        assert reached(free.rates, k) == pytest.approx(share, rel=0.01) and free.targets[k].met
+    once = mixing.fitted(cells, mixing.TARGETS, max_rate=1.0, total=1.0)
+    assert [t.domain for t in once.targets if not t.met] == ["de", "fr", "es"]
+    assert [round(t.reached) for t in once.targets[1:4]] == [60_000, 65_000, 40_000]
+    below, above = (reached(mixing.fit_rates(hard_cells(spark, [600_000, x, 140_000, 90_000, 40_000]), mixing.TARGETS), 1) for x in (60_000, 70_000))
+    assert below == pytest.approx(0.13, rel=0.01) and above == pytest.approx(0.13, rel=0.01)  # no jump at half a share
+
+
 # packing
 
 
