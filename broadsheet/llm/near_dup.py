@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broadsheet.llm._common import map_arrow, type_of
 from broadsheet.llm._graph import components
@@ -86,6 +87,23 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, k: int
     return map_arrow(source, run, f"id {type_of(docs, id_col)}, n long, mark binary, {name} array<bigint>")
 
 
+def standing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """Of rows with the same id the one that stands for the document, with all columns; of equal sets the greatest text."""
+    k = docs.columns.index(text_col)
+    fields = [T.StructField("_n", T.LongType()), T.StructField("_mark", T.BinaryType())]
+
+    def run(batches):
+        shingler = Shingler(words)
+        for batch in batches:
+            sets = [shingler(t) for t in batch.column(k).to_pylist()]
+            marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary())], [*batch.schema.names, "_n", "_mark"])
+
+    marked = map_arrow(docs, run, T.StructType([*docs.schema.fields, *fields]))
+    best = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max_by(F.struct(*docs.columns), F.struct("_n", "_mark", text_col)).alias("_row"))
+    return best.select("_row.*")
+
+
 def least_overlap(k: int, threshold: float) -> int:
     """Overlap of two k-sketches that a pair at the threshold falls short of with a probability below one in a million."""
     below, chance = 0.0, 0

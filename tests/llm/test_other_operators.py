@@ -12,7 +12,7 @@ from compare import compare
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from broadsheet.llm import queries, secrets, vectors, warc
+from broadsheet.llm import near_dup, queries, secrets, vectors, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -159,6 +159,15 @@ def test_pipeline_stages(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() > 0
 
 
+def test_pipeline_keeps_the_judged_row_of_a_repeated_id(spark):
+    copied, long = (" ".join(f"{word}{k}" for k in range(n)) for word, n in (("copied", 30), ("only", 60)))
+    texts = [None, "", copied, long, None, copied]
+    rows = [(1, copied, "first")] + [(i, t, str(k)) for i, order in ((2, texts), (3, [*texts[::-1], "x " + long])) for k, t in enumerate(order)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    left = corpus_pipeline.near_dup_stage(spark, docs.filter("doc_id < 3"), "").unionByName(near_dup.standing(docs.filter("doc_id = 3")))
+    assert sorted((r["doc_id"], r["text"], r["source"]) for r in left.collect()) == [(1, copied, "first"), (2, long, "3"), (3, "x " + long, "6")]
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
