@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import lm, mixing, near_dup, packing, quality_classifier, quality_rules, secrets, toxicity, vectors, warc
+from broadsheet.llm import divergence, hard_negatives, language_id, lm, mixing, near_dup, packing, quality_classifier, quality_rules, secrets, toxicity, vectors, warc
 from broadsheet.llm._common import fold_of
 from broadsheet.llm.checks import CHECKS  # noqa: F401
 
@@ -112,3 +112,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     key = F.when(F.col("record_id") != "", F.col("record_id")).cast(kind)
     return records.select(key.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.filter(~held_out_fold(0)))
+    judged = language_id.identify(docs, model)
+    return judged.select("doc_id", held_out_fold(0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=shifted)
