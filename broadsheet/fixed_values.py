@@ -180,6 +180,20 @@ ARTICLE_TYPES = ["Article", "NewsArticle", "BlogPosting", "ScholarlyArticle"]
 VISIBLE_DATE_CLASSES = [
     "date", "time", "publish-time", "article-info", "releaseTime", "detail-info",
 ]
+# Hosts that state the publication day in one known class.
+HOST_DATE_CLASSES = {
+    "www.stcn.com": "detail-info",
+    "www.chinaventure.com.cn": "releaseTime",
+    "chinaventure.com.cn": "releaseTime",
+}
+FINANCE_HOST_SUFFIX = ".eastmoney.com"
+FINANCE_DATE_CLASSES = ["infos", "date", "publish-time"]
+FINANCE_DATE_ITEM = ("time-source", "item")
+PAGE_CHROME = ["script", "style", "nav", "footer", "header", "aside"]
+LISTING_CHROME = ["script", "style", "nav", "footer", "header"]
+ARTICLE_TAGS = ["article", "main"]
+ARTICLE_CLASSES = ["article-content", "TRS_Editor"]
+ACCOUNT_SILENT = ["script", "style", "noscript", "img", "video", "audio"]
 BLOCKED_PAGES = ["正在进行安全检测", "Just a moment...", "您访问的网址有误"]
 
 # --- reports --------------------------------------------------------------------

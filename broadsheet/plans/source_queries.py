@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from broadsheet.functions import text
 from broadsheet.plans.registry import query
 from broadsheet.plans.tables import ARTICLES, articles, load, with_sql
+from broadsheet.sources import elements as el
 from broadsheet.sources import feeds, pages, payloads, repositories
 
 BOX = 8  # entries per generated feed, listing or payload
@@ -133,9 +134,7 @@ def paper_entries(spark, sf_dir):
     return rows.select("url", "title", "published", "first_submitted", "version")
 
 
-_PAGE_BODY = r"""regexp_extract(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
-   '(?is)(<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<nav\b[^>]*>.*?</nav\s*>|<footer\b[^>]*>.*?</footer\s*>|<header\b[^>]*>.*?</header\s*>|<aside\b[^>]*>.*?</aside\s*>)', '', 'g'),
-   '(?is)<article\b[^>]*>(.*?)</article>', 1)"""
+_PAGE_BODY = r"""regexp_extract(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<article\b[^>]*>(.*?)</article>', 1)"""
 
 
 def _sql_entities(column: str) -> str:
@@ -150,82 +149,144 @@ def _sql_entities(column: str) -> str:
 @query(
     "page_titles_bodies",
     f"""SELECT page_id, trim(regexp_replace({_sql_entities("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS title,
-      list_aggregate(list_filter(list_transform(string_split({_sql_entities("regexp_replace(" + _PAGE_BODY + ", '(?s)<[^>]*>', chr(10), 'g')")}, chr(10)), lambda s: trim(s)), lambda s: s <> ''), 'string_agg', chr(10)) AS body,
+      list_aggregate(list_concat(
+          list_filter(list_transform(string_split({_sql_entities("regexp_replace(" + _PAGE_BODY + ", '(?s)<[^>]*>', chr(10), 'g')")}, chr(10)), lambda s: trim(s)), lambda s: s <> ''),
+          [['nested', 'last'], ['nested', 'last'], []][page_id % 3 + 1]), 'string_agg', chr(10)) AS body,
       'no_date_hint' AS date_evidence FROM pages""",
 )
 def page_titles_bodies(spark, sf_dir):
-    return pages.read_pages(load(spark, sf_dir, "pages"), ["page_id"]).select("page_id", "title", "body", "date_evidence")
+    """Pages as they are, and with their article in nested elements of one name, chrome among them, by residue."""
+    tail = "<div><nav>chrome</nav><div>nested</div></div><aside>more <div>chrome</div></aside><div>last</div>"
+    k = F.col("page_id") % 3
+    opening = F.when(k == 0, F.lit("<div class='wide article-content'><div><div>")).when(k == 1, F.lit("<main><div class='TRS_Editor'>")).otherwise(F.lit("<article>"))
+    closing = F.when(k == 0, F.lit(f"</div></div>{tail}</div><div>outside</div>")).when(k == 1, F.lit(f"{tail}</div></main>outside")).otherwise(F.lit("</article>outside"))
+    html = F.replace(F.replace(F.col("html"), F.lit("<article>"), opening), F.lit("</article>"), closing)
+    return pages.read_pages(load(spark, sf_dir, "pages").withColumn("html", html), ["page_id"]).select("page_id", "title", "body", "date_evidence")
 
 
 @query(
     "page_dates",
-    """SELECT page_id, CASE WHEN page_id % 6 = 5 THEN NULL ELSE DATE '2024-01-01' + (page_id % 28)::INT END AS published,
-      ['article_meta', 'article_meta', 'article_visible', 'article_visible', 'url', 'no_date_hint'][page_id % 6 + 1] AS date_evidence,
-      CASE page_id % 6 WHEN 0 THEN 'stated summary' WHEN 1 THEN 'graph summary' ELSE '' END AS summary FROM pages""",
+    """SELECT page_id, CASE WHEN page_id % 9 IN (7, 8) THEN NULL ELSE DATE '2024-01-01' + (page_id % 28)::INT END AS published,
+      ['article_meta', 'article_meta', 'article_visible', 'article_visible', 'url', 'article_visible', 'article_visible', 'hint_unparsed', 'no_date_hint'][page_id % 9 + 1] AS date_evidence,
+      CASE page_id % 9 WHEN 0 THEN 'stated summary' WHEN 1 THEN 'graph summary' ELSE '' END AS summary FROM pages""",
 )
 def page_dates(spark, sf_dir):
-    """The sample pages with one kind of date evidence added to each, by residue."""
+    """The sample pages with one kind of date evidence added to each, by residue; some hosts have elements of their own."""
     day = F.date_format(F.date_add(_day("2024-01-01"), (F.col("page_id") % 28).cast("int")), "yyyy-MM-dd")
-    k = F.col("page_id") % 6
+    slashed = F.replace(day, F.lit("-"), F.lit("/"))
+    k = F.col("page_id") % 9
     added = (
         F.when(k == 0, F.concat(F.lit('<meta property="article:published_time" content="'), day, F.lit('T08:00:00Z"><meta name="description" content="stated summary">')))
         .when(k == 1, F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "WebSite"}, {"@type": "ScholarlyArticle", "datePublished": "'), day, F.lit('", "description": "graph summary"}]}</script>')))
         .when(k == 2, F.concat(F.lit('<header><time datetime="'), day, F.lit('">x</time></header>')))
-        .when(k == 3, F.concat(F.lit('<div class="meta releaseTime">'), F.replace(day, F.lit("-"), F.lit("/")), F.lit("</div>")))
+        .when(k == 3, F.concat(F.lit('<div class="meta releaseTime"><div>by <b>someone</b></div><div>'), slashed, F.lit("</div></div>")))
+        # the host states the day in one class; another day stands before it
+        .when(k == 5, F.concat(F.lit('<time datetime="2001-01-01">x</time><div class="detail-info"><p>by x</p><p>'), slashed, F.lit("</p></div>")))
+        .when(k == 6, F.concat(F.lit('<div class="item">2001-01-01</div><div class="time-source"><div class="x"><div class="item">'), slashed, F.lit("</div></div></div>")))
+        .when(k == 7, F.lit('<div class="time-source"><div class="item">2001-01-01</div></div>'))
         .otherwise(F.lit(""))
     )
     compact = F.replace(day, F.lit("-"), F.lit(""))
-    url = F.when(k == 4, F.concat(F.lit("https://www.chinaventure.com.cn/news/80-"), compact, F.lit("-1.html"))).otherwise(F.col("url"))
+    url = (
+        F.when(k == 4, F.concat(F.lit("https://www.chinaventure.com.cn/news/80-"), compact, F.lit("-1.html")))
+        .when(k == 5, F.lit("https://www.stcn.com/article/x"))
+        .when(k == 6, F.lit("https://finance.eastmoney.com/x"))
+        .otherwise(F.lit("https://pages.example.org/x"))
+    )
     html = F.regexp_replace("html", "<body>", F.concat(F.lit("<body>"), added))
     rows = load(spark, sf_dir, "pages").select("page_id", url.alias("url"), html.alias("html"))
     return pages.read_pages(rows, ["page_id"]).select("page_id", "published", "date_evidence", "summary")
 
 
+@query(
+    "product_page_texts",
+    f"""SELECT page_id, coalesce(nullif(concat_ws(' ', nullif(t, ''), nullif(t, '')), ''), ' ') AS headings FROM (
+      SELECT page_id, trim({_sql_entities("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS t FROM pages)""",
+)
+def product_page_texts(spark, sf_dir):
+    """Headings read from markup: the sample pages repeat their title as first heading."""
+    rows = load(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
+    return pages.product_page_texts(rows).select(F.col("url").cast("long").alias("page_id"), "headings")
+
+
+LISTING_SOURCES = [
+    {"source_id": "plain"},
+    {"source_id": "cards", "links": [el.selector(tag="a", attribute="href", how="starts", value="/news/")], "containers": [el.selector(class_="card")]},
+    {"source_id": "stated", "links": [el.selector(tag="a", attribute="href", how="contains", value="/article/detail/")], "date_rule": "stated"},
+    {"source_id": "grouped", "links": [el.selector(tag="a", inside_class="bw-card__title")], "date_rule": "grouped"},
+    {"source_id": "dated", "links": [el.selector(tag="a", attribute="href")], "dated_urls_only": True},
+]
+
+
 def listing_documents(spark, sf_dir):
-    doc = F.col("doc_id")
-    day = F.date_format("seen_day", "yyyy-MM-dd")
-    date_part = F.when(doc % 3 == 0, F.concat(F.lit('<time datetime="'), day, F.lit('">then</time>'))).when(
-        doc % 3 == 1, F.concat(F.lit("<span>"), day, F.lit("</span>"))
-    ).otherwise(F.lit(""))
-    item = F.concat(
-        F.lit('<article class="card"><a href="/news/'), (doc - doc % 2).cast("string"), F.lit('?utm_source=list"><h3>'),
-        _word_text(F.substring("title", 1, 280)), F.lit("</h3></a>"), date_part, F.lit("<p>short</p><p>"), F.regexp_replace(_word_text(F.col("summary")), r"\d", ""), F.lit("</p></article>"),
+    """Listings of five sources, by box: each article is a card with two links, its day and its summary."""
+    doc, box = F.col("doc_id"), F.expr(f"doc_id div {BOX}")
+    kind = box % 5
+    day, n = F.date_format("seen_day", "yyyy-MM-dd"), (doc - doc % 2).cast("string")
+    title, told = _word_text(F.col("title")), F.regexp_replace(_word_text(F.col("summary")), r"\d", "")
+    dated = F.when(doc % 3 == 0, F.concat(F.lit('<time datetime="'), day, F.lit('">then</time>'))).when(doc % 3 == 1, F.concat(F.lit("<span>"), day, F.lit("</span>"))).otherwise(F.lit(""))
+    paragraphs = F.concat(F.lit("<p>short</p><p>"), told, F.lit("</p>"))
+    second = F.concat(F.lit('/more/'), doc.cast("string"), F.lit('">More about number '), doc.cast("string"), F.lit("</a>"))
+    card = F.concat(
+        F.lit('<div class="inner"><a href="/news/'), n, F.lit('?utm_source=list"><h3>'), title, F.lit("</h3></a><div>"), dated, F.lit("</div><div>"), paragraphs, F.lit("</div></div>"),
+    )
+    compact = F.replace(day, F.lit("-"), F.lit(""))
+    item = (
+        F.when(kind == 0, F.concat(F.lit('<article class="card">'), card, F.lit('<a href="'), second, F.lit("</article>")))
+        .when(kind == 1, F.concat(F.lit('<div class="card">'), card, F.lit('<a href="/news'), second, F.lit("</div>")))
+        .when(kind == 2, F.concat(F.lit('<li><a href="/article/detail/'), n, F.lit('">'), title, F.lit("</a><p>on 2001-01-01</p>"), F.when(doc % 3 < 2, F.concat(F.lit('<i class="date">'), day, F.lit("</i>"))).otherwise(F.lit("")), F.lit("</li>")))
+        .when(kind == 3, F.concat(
+            F.lit('<div class="bw-group">'), F.date_format("seen_day", "yyyy 年 M 月"), F.lit('</div><article class="bw-card"><div class="bw-card__meta"><span>'), F.date_format("seen_day", "MM-dd"),
+            F.lit('</span></div><h3 class="bw-card__title"><a href="/p/'), n, F.lit('">'), title, F.lit('</a></h3><p class="bw-card__summary">'), told, F.lit("</p><p>2001-01-01 is a longer line than the summary</p></article>"),
+        ))
+        .otherwise(F.concat(F.lit('<div><a href="https://finance.eastmoney.com/a/'), compact, n, F.lit('.html">'), title, F.lit('</a> 2001-01-01 <a href="'), second, F.lit("</div>")))
     )
-    rows = _boxed(spark, sf_dir, item, "cards")
+    # few bytes, much work: a share for every core
+    rows = _boxed(spark, sf_dir, item, "cards").repartition(spark.sparkContext.defaultParallelism, "box")
+    names = F.array(*[F.lit(r["source_id"]) for r in LISTING_SOURCES])
     return rows.select(
-        "box", F.lit("https://list.example.org/front/").alias("url"),
-        F.concat(F.lit("<html><nav><a href='/x'>navigation entry</a></nav>"), "cards", F.lit("</html>")).alias("html"),
+        "box", F.lit("https://list.example.org/front/").alias("url"), F.element_at(names, (F.col("box") % 5 + 1).cast("int")).alias("source_id"),
+        F.concat(F.lit("<html><nav><a href='/news/x'>navigation entry</a></nav><main>"), "cards", F.lit("</main></html>")).alias("html"),
     )
 
 
 @query(
     "listing_articles",
     with_sql(ARTICLES)
-    + f"""SELECT box, 'https://list.example.org/news/' || even AS href, (list(title ORDER BY doc_id))[1] AS title,
-      arg_min(seen_day, doc_id) FILTER (WHERE doc_id % 3 <> 2) AS published,
-      (list(CASE WHEN len(s) > 5 THEN substr(s, 1, 2000) ELSE 'short' END ORDER BY len(CASE WHEN len(s) > 5 THEN substr(s, 1, 2000) ELSE 'short' END) DESC, doc_id))[1] AS summary
-    FROM (SELECT doc_id, doc_id // 8 AS box, doc_id - doc_id % 2 AS even, seen_day, {sql_word("substr(title, 1, 280)")} AS title,
-        trim(regexp_replace(regexp_replace({sql_word("summary")}, '\\d', '', 'g'), '\\s+', ' ', 'g')) AS s FROM articles)
-    WHERE len(title) BETWEEN 8 AND 300 GROUP BY box, even""",
+    + f""", cards AS (SELECT doc_id, doc_id // 8 AS box, (doc_id // 8) % 5 AS kind, doc_id - doc_id % 2 AS n, seen_day, {sql_word("title")} AS title,
+        trim(regexp_replace({sql_word("summary")}, '\\d', '', 'g')) AS told FROM articles),
+      links AS (
+        SELECT box, 2 * doc_id AS place, title, 'https://list.example.org' || ['/news/', '/news/', '/article/detail/', '/p/'][kind + 1] || n AS href,
+          CASE WHEN kind = 3 OR doc_id % 3 <> 2 THEN seen_day END AS published, 'listing' AS proof,
+          CASE kind WHEN 2 THEN 'on 2001-01-01' WHEN 3 THEN told ELSE CASE WHEN len(told) > 5 THEN told ELSE 'short' END END AS summary FROM cards WHERE kind < 4
+        UNION ALL SELECT box, 2 * doc_id, title, 'https://finance.eastmoney.com/a/' || strftime(seen_day, '%Y%m%d') || n || '.html', seen_day, 'url', '' FROM cards WHERE kind = 4
+        UNION ALL SELECT box, 2 * doc_id + 1, 'More about number ' || doc_id, 'https://list.example.org' || ['', '/news'][kind + 1] || '/more/' || doc_id, NULL, NULL, '' FROM cards WHERE kind < 2)
+    SELECT box, href, arg_min(title, place) AS title, arg_min(published, place) FILTER (WHERE published IS NOT NULL) AS published,
+      substr((list(summary ORDER BY len(substr(summary, 1, 2000)) DESC, place))[1], 1, 2000) AS summary,
+      coalesce(arg_min(proof, place) FILTER (WHERE published IS NOT NULL), CASE WHEN bool_or((box % 5) = 2) THEN 'hint_unparsed' ELSE 'no_date_hint' END) AS date_evidence
+    FROM links WHERE len(title) BETWEEN 8 AND 300 GROUP BY box, href""",
 )
 def listing_articles(spark, sf_dir):
-    return pages.listing_articles(listing_documents(spark, sf_dir), ["box"]).select("box", "href", "title", "published", "summary")
+    sources = pages.listing_sources(spark, LISTING_SOURCES)
+    return pages.listing_articles(listing_documents(spark, sf_dir), ["box"], sources).select("box", "href", "title", "published", "summary", "date_evidence")
 
 
 @query(
     "account_pages",
     with_sql(ARTICLES)
-    + f"""SELECT doc_id, {sql_word("title")} AS title, source, seen_day AS published, {sql_word("body")} AS body FROM articles
-      WHERE doc_id % 10 = 5 AND {sql_word("title")} <> '' AND len({sql_word("body")}) >= 30""",
+    + f"""SELECT doc_id, {sql_word("title")} AS title, source, seen_day AS published, {sql_word("body")} || chr(10) || 'nested' || chr(10) || 'last' AS body FROM articles
+      WHERE doc_id % 10 = 5 AND {sql_word("body")} <> '' AND len({sql_word("body")}) >= 18""",
 )
 def account_pages(spark, sf_dir):
+    """Account pages whose body lies in nested elements of one name."""
     doc = F.col("doc_id")
     dated = F.when(doc % 3 == 0, F.concat(F.lit('<em id="publish_time">'), F.date_format("seen_day", "yyyy-MM-dd"), F.lit(" 08:00</em>"))).otherwise(
         F.concat(F.lit('<script>var create_time = "'), (F.unix_timestamp(F.col("seen_day").cast("timestamp")) + 3600).cast("string"), F.lit('";</script>'))
     )
     html = F.concat(
         F.lit('<html><h1 class="t" id="activity-name"> '), _word_text(F.col("title")), F.lit('</h1><a id="js_name">'), F.col("source"), F.lit("</a>"), dated,
-        F.lit('<div class="rich" id="js_content"><p>'), _word_text(F.col("body")), F.lit("</p></div></html>"),
+        F.lit('<div class="rich" id="js_content"><div><p>'), _word_text(F.col("body")),
+        F.lit("</p><div>nested</div><script>no</script></div><video>no</video><div>last</div></div><div>outside</div></html>"),
     )
     rows = articles(spark, sf_dir).select("doc_id", "url", html.alias("html"))
     return pages.account_pages(rows, ["doc_id"]).select("doc_id", "title", "source", "published", "body")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from broadsheet import fixed_values as fixed
 from broadsheet.functions import dates, scores, text, urls
 from broadsheet.operators import gates, matching, repositories
-from broadsheet.sources import feeds, pages
+from broadsheet.sources import feeds
 from broadsheet.sources import repositories as repo_source
 from broadsheet.sources import tables
 
@@ -133,16 +133,6 @@ def test_rank_change(spark):
     assert [r[0] for r in rows.select(repositories.rank_change(F.col("p"), F.col("r"))).collect()] == ["↑3", "↓3", "—", "NEW"]
 
 
-def test_grouped_listing(spark):
-    html = (
-        '<div class="bw-group">2026 年 9 月</div><article class="bw-card"><div class="bw-card__meta"><span>09-22</span></div><a href="/p/1">t</a>'
-        '<p class="bw-card__summary">2025-01-01 noise</p></article>'
-    )
-    rows = spark.createDataFrame([(1, "https://list.example.org/", html)], "page int, url string, html string")
-    got = pages.grouped_listing_days(rows, ["page"]).first()
-    assert (got.href, got.published) == ("https://list.example.org/p/1", D(2026, 9, 22))
-
-
 def test_launch_rules(spark):
     rows = spark.createDataFrame([("Nova Band 2", "Acme Nova Band 2 launched"), ("产品", "产品发布"), ("Ghost", "nothing")], "n string, e string")
     got = rows.select(gates.confirmed_launch(F.lit(True), F.col("n"), F.lit("Acme"), F.lit("Acme"), F.col("e"))).collect()
