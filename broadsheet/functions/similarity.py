@@ -5,9 +5,15 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.functions import text
+
+#: Bins that a title's characters are counted in.
+BINS = 64
+
 
 def _score(floor: float, earlier: str, later: str) -> float:
     matcher = SequenceMatcher(None, earlier, later)
@@ -29,3 +35,14 @@ def ratio_at_least(floor: float):
         return pd.Series([_score(floor, a, b) for a, b in zip(earlier, later)], dtype="float64")
 
     return ratio.asNondeterministic()
+
+
+def letters(title_key: Column) -> Column:
+    """Characters of a title counted in bins by their code."""
+    bins = F.transform(F.regexp_extract_all(title_key, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.ascii(c) % BINS)
+    return text.given(bins, lambda b: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: F.size(F.filter(b, lambda x: x == k))))
+
+
+def in_common(a: Column, b: Column) -> Column:
+    """At most so many characters of two titles can be matched with each other."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)

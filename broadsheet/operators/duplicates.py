@@ -14,9 +14,11 @@ not the size of the groups. A title or address shared by a third of all rows is
 side, and the probing side of the join is split by adaptive skew handling.
 
 Similar titles are found by pigeonhole: at the required similarity fewer than k characters of a title differ,
-so one of its first k + 1 disjoint four-character pieces occurs verbatim in the other title. Only titles of
-current representatives look for partners, a bounded number per block and round, so a family of near copies
-costs one comparison per member rather than one per pair.
+so one of any k + 1 disjoint four-character pieces of it occurs verbatim in the other title. The k + 1 pieces that
+are rarest among the titles of that day are asked for, so a phrase that many titles share is not. Pairs must then
+pass bounds on length, on the pieces' places and on the characters in common before their similarity is computed.
+Only titles of current representatives look for partners, and of those in one block a growing number per round,
+so a family of near copies costs about one comparison per member rather than one per pair.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from broadsheet.functions import similarity, text, urls
 from broadsheet.session import cut
 
 PIECE = 4
-LEADERS, LEADER_GROWTH = 32, 8
+#: Representatives of a block that look for partners in the first round, and how that number grows.
+LEADERS, LEADER_GROWTH = 32, 2
 # Unmatched characters of a pair are at most (1 - s) * (a + b), and the longer is at most (2 - s) / s times the shorter.
 _LOOSE = 1 - fixed.TITLE_SIMILARITY
 DIFFERING = _LOOSE * (1 + (2 - fixed.TITLE_SIMILARITY) / fixed.TITLE_SIMILARITY)
@@ -50,16 +53,27 @@ def prepare(items: DataFrame) -> DataFrame:
     ).withColumn("key", F.sha2("title_key", 256))
 
 
-def _disjoint(title_key: Column) -> Column:
-    """The leading disjoint pieces of a title, one more than can be spoilt; one pass over the text."""
-    budget = (F.floor(F.length(title_key) * DIFFERING) + 1).cast("int")
-    return F.slice(F.regexp_extract_all(title_key, F.lit("(.{%d})" % PIECE), F.lit(1)), 1, budget)
+def _budget(title_key: Column) -> Column:
+    """Pieces of which one at least survives in any similar title."""
+    return (F.floor(F.length(title_key) * DIFFERING) + 1).cast("int")
 
 
-def _pieces(titles: DataFrame) -> DataFrame:
-    """Disjoint pieces of each title with their offset."""
-    rows = titles.select("*", F.posexplode(_disjoint(F.col("title_key"))).alias("i", "piece"))
-    return rows.withColumn("at", F.col("i") * PIECE)
+def _rarest(leaders: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """The rarest disjoint pieces of each title with their offset, one more than can be spoilt.
+
+    leaders: kind, title_key, day, numbers. A title has few pieces, so ranking them is a small window."""
+    pieces = F.regexp_extract_all("title_key", F.lit("(.{%d})" % PIECE), F.lit(1))
+    rows = leaders.select("kind", "title_key", "day", "numbers", F.posexplode(pieces).alias("i", "piece"))
+    counted = rows.join(frequencies, ["piece", "day", "numbers"], "left")
+    w = Window.partitionBy("kind").orderBy(F.coalesce("titles", F.lit(0)), "i")
+    return counted.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= _budget(F.col("title_key"))).select(
+        "kind", "title_key", "day", "numbers", "piece", (F.col("i") * PIECE).alias("at")
+    )
+
+
+def piece_frequencies(titles: DataFrame) -> DataFrame:
+    """How many places of a day's titles hold each piece."""
+    return _windows(titles.select("title_key", "day", "numbers")).groupBy("piece", "day", "numbers").agg(F.count(F.lit(1)).alias("titles"))
 
 
 def _windows(titles: DataFrame) -> DataFrame:
@@ -72,12 +86,9 @@ def _kind(key: Column, day: Column, numbers: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", key, day.cast("string"), numbers), 256)
 
 
-def similar_titles(leaders: DataFrame, titles: DataFrame) -> DataFrame:
-    """(leader kind, kind) where the later title is similar enough to the leader's.
-
-    Both sides: kind, key, title_key, day, numbers. The order of comparison is leader first.
-    """
-    probe = _pieces(leaders.select("kind", "title_key", "day", "numbers")).select(
+def candidate_pairs(leaders: DataFrame, titles: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(leader, kind) pairs of titles that share a rare piece at about the same place and could be similar by length."""
+    probe = _rarest(leaders, frequencies).select(
         "piece", "day", "numbers", "at", F.col("kind").alias("leader"), F.length("title_key").alias("leader_length")
     )
     offered = _windows(titles.select("kind", "title_key", "day", "numbers")).select(
@@ -86,12 +97,22 @@ def similar_titles(leaders: DataFrame, titles: DataFrame) -> DataFrame:
     a, b = F.col("leader_length"), F.col("length")
     near = (F.least(a, b) * 2 >= (a + b) * fixed.TITLE_SIMILARITY) & (F.abs(F.col("at") - F.col("found_at")) <= F.ceil((a + b) * _LOOSE))
     pairs = probe.join(offered, ["piece", "day", "numbers"]).filter((F.col("leader") != F.col("kind")) & near)
-    distinct = pairs.select("leader", "kind").distinct()
-    named = distinct.join(leaders.select(F.col("kind").alias("leader"), F.col("title_key").alias("a")), "leader").join(
-        titles.select("kind", F.col("title_key").alias("b")), "kind"
+    return pairs.select("leader", "kind").distinct()
+
+
+def similar_titles(leaders: DataFrame, titles: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(leader kind, kind) where the later title is similar enough to the leader's.
+
+    Both sides: kind, title_key, day, numbers; titles also letters. The order of comparison is leader first.
+    """
+    asked = leaders.select(F.col("kind").alias("leader"), F.col("title_key").alias("a"), similarity.letters(F.col("title_key")).alias("letters_a"))
+    named = candidate_pairs(leaders, titles, frequencies).join(asked, "leader").join(
+        titles.select("kind", F.col("title_key").alias("b"), "letters"), "kind"
     )
+    whole = F.length("a") + F.length("b")
+    possible = named.filter(2 * similarity.in_common(F.col("letters_a"), F.col("letters")) >= whole * fixed.TITLE_SIMILARITY)
     ratio = similarity.ratio_at_least(fixed.TITLE_SIMILARITY)
-    return named.withColumn("r", ratio(F.col("a"), F.col("b"))).filter(F.col("r") >= fixed.TITLE_SIMILARITY).select("leader", "kind")
+    return possible.withColumn("r", ratio(F.col("a"), F.col("b"))).filter(F.col("r") >= fixed.TITLE_SIMILARITY).select("leader", "kind")
 
 
 def _segments(keys: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -168,7 +189,9 @@ def assign_representatives(items: DataFrame) -> DataFrame:
     eligible = keys.filter(F.col("day").isNotNull() & (F.length("title_key") >= shortest)).withColumn(
         "kind", _kind(F.col("key"), F.col("day"), F.col("numbers"))
     )
-    titles = cut(eligible.groupBy("kind").agg(*[F.first(c).alias(c) for c in ("key", "title_key", "day", "numbers")]))
+    titles = eligible.groupBy("kind").agg(*[F.first(c).alias(c) for c in ("key", "title_key", "day", "numbers")])
+    titles = cut(titles.withColumn("letters", similarity.letters(F.col("title_key"))))
+    frequencies = cut(piece_frequencies(titles))
     names = cut(keys.filter(F.length("title_key") >= fixed.MIN_TITLE_KEY).groupBy("key").agg(F.first("title_key").alias("title_key")))
     item_kinds = eligible.select("pos", "kind")
     addresses = keys.select("pos", F.explode("addresses").alias("address"))
@@ -187,11 +210,11 @@ def assign_representatives(items: DataFrame) -> DataFrame:
             .join(names, "key")
             .join(expanded, "kind", "left_anti")
         )
-        turn = cut(_turn(wanted, leaders_per_block))
+        turn = cut(_turn(wanted, frequencies, leaders_per_block))
         asked = turn.filter("ready")
         waiting = not turn.isEmpty()
         if waiting:
-            edges = edges.unionByName(cut(similar_titles(asked, titles)))
+            edges = edges.unionByName(cut(similar_titles(asked, titles, frequencies)))
             expanded = expanded.unionByName(asked.select("kind"))
             waiting = not turn.filter("NOT ready").isEmpty()
         leaders_per_block *= LEADER_GROWTH
@@ -220,10 +243,11 @@ def assign_representatives(items: DataFrame) -> DataFrame:
             return assigned
 
 
-def _turn(wanted: DataFrame, leaders_per_block: int) -> DataFrame:
+def _turn(wanted: DataFrame, frequencies: DataFrame, leaders_per_block: int) -> DataFrame:
     """Mark the representatives that may look for partners now: among the first few in all of their blocks."""
-    pieces = F.array_distinct(_disjoint(F.col("title_key")))
-    blocks = wanted.select("kind", "since", "day", "numbers", F.size(pieces).alias("total"), F.explode(pieces).alias("piece"))
+    pieces = _rarest(wanted, frequencies).select("kind", "day", "numbers", "piece").distinct()
+    sizes = pieces.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
+    blocks = pieces.join(sizes, "kind").join(wanted.select("kind", "since"), "kind")
     w = Window.partitionBy("day", "numbers", "piece").orderBy("since", "kind")
     early = blocks.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= leaders_per_block)
     ready = early.groupBy("kind", "total").agg(F.count(F.lit(1)).alias("within")).filter("within = total").select(

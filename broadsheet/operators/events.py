@@ -72,31 +72,56 @@ def name_list(companies: Column, subject: Column) -> Column:
     return F.transform(F.filter(both, lambda n: F.length(n) >= 3), text.fold_case)
 
 
+def _since(day: Column, days: int) -> Column:
+    return F.floor(F.datediff(day, F.to_date(F.lit(fixed.ORDINAL_ORIGIN))) / days).cast("int")
+
+
 def possible_priors(candidates: DataFrame, history: DataFrame, limit: int = fixed.PRIOR_LIMIT,
                     days: int = fixed.HISTORY_DAYS) -> DataFrame:
     """Up to five earlier sent items a candidate may repeat, newest first.
 
     candidates: edition_day, profile_id, id, event_day, title_key, document, names. history: profile_id, day,
-    sent_id, title_key, document, names, category. They meet by equality on the profile; one profile's history is
-    bounded by its deliveries (at most MAX_ITEMS a day inside the window, plus policy), not by the corpus.
+    sent_id, title_key, document, names, category.
+
+    A sent item that is remembered for some days is offered to the two periods of that length in which it counts, one
+    that is remembered for ever to all, so a candidate meets only its profile's items of about twice the window and the
+    profile's policies; equality joins on identity, document and names find the sure ones, and bounds on length and
+    characters stand before the similarity.
     """
     c = F.col
     old = history.select(
         "profile_id", c("day").alias("sent_day"), "sent_id", c("title_key").alias("old_key"), c("document").alias("old_document"),
         c("names").alias("old_names"), (c("category") == fixed.POLICY).alias("forever"),
-    )
-    pairs = candidates.join(old, "profile_id").filter(
-        (c("sent_day") < c("edition_day")) & (c("forever") | (c("sent_day") >= F.date_sub("edition_day", days)))
-    )
-    overlap = F.exists("names", lambda a: F.exists("old_names", lambda b: a.contains(b) | b.contains(a)))
-    sure = (c("id") == c("sent_id")) | ((c("document") != "") & (c("document") == c("old_document"))) | overlap
+    ).distinct()
+    new = candidates.select("edition_day", "profile_id", "id", "event_day", "title_key", "document", "names").distinct()
+    remembered = (c("sent_day") < c("edition_day")) & (c("forever") | (c("sent_day") >= F.date_sub("edition_day", days)))
+    key = ["edition_day", "profile_id", "id", "event_day", "sent_id", "sent_day", "document", "old_document"]
+
+    by_identity = new.join(old, (new["profile_id"] == old["profile_id"]) & (c("id") == c("sent_id"))).drop(old["profile_id"])
+    by_document = new.filter("document != ''").join(old.filter("old_document != ''"), (new["profile_id"] == old["profile_id"]) & (c("document") == c("old_document"))).drop(old["profile_id"])
+    sure = by_identity.unionByName(by_document).filter(remembered).select(*key)
+
+    new_names = new.select("profile_id", "edition_day", F.explode("names").alias("name")).distinct()
+    old_names = old.select("profile_id", "sent_day", "forever", F.explode("old_names").alias("old_name")).distinct()
+    matched = _name_matches(new_names.select("profile_id", "name").distinct(), old_names.select("profile_id", "old_name").distinct())
+    by_name = (
+        new.withColumn("name", F.explode("names")).join(matched, ["profile_id", "name"])
+        .join(old.withColumn("old_name", F.explode("old_names")), ["profile_id", "old_name"]).filter(remembered).select(*key)
+    )
+
+    period = _since(c("edition_day"), days)
+    first = _since(F.date_add("sent_day", 1), days)
+    offered = old.filter(~c("forever")).withColumn("period", F.explode(F.array(first, first + 1))).withColumn("letters", similarity.letters(c("old_key")))
+    asking = new.withColumn("period", period).withColumn("own_letters", similarity.letters(c("title_key")))
+    lasting = old.filter("forever").withColumn("letters", similarity.letters(c("old_key")))
+    pairs = asking.join(offered, ["profile_id", "period"]).drop("period").unionByName(asking.drop("period").join(lasting, "profile_id")).filter(remembered)
     a, b = F.length("title_key"), F.length("old_key")
-    close = 2 * F.least(a, b) >= (a + b) * F.lit(fixed.PRIOR_SIMILARITY)
+    floor = (a + b) * F.lit(fixed.PRIOR_SIMILARITY)
+    possible = pairs.filter((2 * F.least(a, b) >= floor) & (2 * similarity.in_common(c("own_letters"), c("letters")) >= floor))
     ratio = similarity.ratio_at_least(fixed.PRIOR_SIMILARITY)
-    likely = pairs.withColumn("sure", sure).filter(c("sure") | close)
-    blank = lambda col: F.when(c("sure"), F.lit("")).otherwise(c(col))
-    scored = likely.withColumn("ratio", ratio(blank("title_key"), blank("old_key")))
-    kept = scored.filter(c("sure") | (c("ratio") >= fixed.PRIOR_SIMILARITY))
+    by_likeness = possible.withColumn("ratio", ratio(c("title_key"), c("old_key"))).filter(c("ratio") >= fixed.PRIOR_SIMILARITY).select(*key)
+
+    kept = sure.unionByName(by_name).unionByName(by_likeness).distinct()
     w = Window.partitionBy("edition_day", "profile_id", "id").orderBy(F.desc("sent_day"), "sent_id")
     return kept.withColumn("n", F.row_number().over(w)).filter(c("n") <= limit).select(
         "edition_day", "profile_id", "id", "event_day", "sent_id", "sent_day",
@@ -104,6 +129,14 @@ def possible_priors(candidates: DataFrame, history: DataFrame, limit: int = fixe
     )
 
 
+def _name_matches(names: DataFrame, old_names: DataFrame) -> DataFrame:
+    """(profile_id, name, old_name) where one contains the other: joins by equality on the longer one's pieces."""
+    c = F.col
+    inside = names.withColumn("old_name", F.explode(text.pieces_of(c("name")))).join(old_names, ["profile_id", "old_name"], "left_semi")
+    around = old_names.withColumn("name", F.explode(text.pieces_of(c("old_name")))).join(names, ["profile_id", "name"], "left_semi")
+    return inside.select("profile_id", "name", "old_name").unionByName(around.select("profile_id", "name", "old_name")).distinct()
+
+
 def coverage_verdicts(priors: DataFrame, decisions: DataFrame) -> DataFrame:
     """Covered when a policy document repeats, else as decided; an undecided candidate counts as covered.
 

@@ -57,18 +57,11 @@ def official_domains(companies: DataFrame, sources: DataFrame) -> DataFrame:
         text.fold_case(F.col("company")).alias("listed"), urls.root_domain(urls.host(F.col("url"))).alias("domain")
     ).filter("domain != ''").distinct()
     named = companies.select("company").distinct().withColumn("name", text.fold_case(F.col("company"))).filter("name != ''")
-    inside = named.select("company", F.explode(_pieces(F.col("name"))).alias("listed")).join(listed, "listed")
-    around = listed.select("domain", F.explode(_pieces(F.col("listed"))).alias("name")).join(named, "name")
+    inside = named.select("company", F.explode(text.pieces_of(F.col("name"))).alias("listed")).join(listed, "listed")
+    around = listed.select("domain", F.explode(text.pieces_of(F.col("listed"))).alias("name")).join(named, "name")
     return inside.select("company", "domain").unionByName(around.select("company", "domain")).distinct()
 
 
-def _pieces(name: Column) -> Column:
-    """All substrings of a name that is not empty."""
-    ends = lambda i: F.sequence(F.lit(1), F.length(name) - i + 1)
-    starts = F.sequence(F.lit(1), F.length(name))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda n: F.substring(name, i, n)))))
-
-
 def looks_official(host: Column, company: Column, domains: Column, media: Column) -> Column:
     """Known domain of the company, else a distinct Latin brand in the host, else an official media label."""
     root = urls.root_domain(host)

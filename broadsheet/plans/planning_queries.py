@@ -285,9 +285,13 @@ def prior_coverage(spark, sf_dir):
         events.name_list(F.col("companies"), F.lit("")).alias("names"), F.lit(None).cast("date").alias("event_day"),
     )
     history = facts.withColumnRenamed("edition_day", "day").withColumnRenamed("id", "sent_id")
-    priors = events.possible_priors(facts, history)
-    undecided = spark.createDataFrame([], "id string, event_day date, prior_key string, duplicate boolean")
-    return events.coverage_verdicts(priors, undecided)
+    priors = cut(events.possible_priors(facts, history))
+    # every third candidate was decided before: as new where its number is even
+    keyed = priors.groupBy("id", "event_day", "edition_day", "profile_id").agg(F.array_sort(F.collect_list(F.struct("prior_rank", "sent_id"))).alias("p"))
+    decided = keyed.filter("cast(id as long) % 3 = 0").select(
+        "id", "event_day", F.array_join(F.transform("p", lambda r: r["sent_id"]), ":").alias("prior_key"), (F.col("id").cast("long") % 2 == 1).alias("duplicate")
+    ).distinct()
+    return events.coverage_verdicts(priors, decided)
 
 
 @query(

@@ -99,11 +99,6 @@ def tree(html: pa.Array) -> pa.Array:
     return pa.array([_Places().tree(h or "") for h in html.to_pylist()], TREE)
 
 
-def given(value: Column, use) -> Column:
-    """An expression of a value that is computed once, however often the expression names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def inside(inner: Column, outer: Column) -> Column:
     """Does an element lie below another?"""
     return (inner["first"] > outer["first"]) & (inner["first"] <= outer["last"])

@@ -196,9 +196,9 @@ def _card_day(page: Column, card: Column, rule: Column) -> Column:
         el.below(page, card, lambda n: (n["tag"] == "span") & F.exists(page["nodes"], lambda a: el.inside(n, a) & el.classed("bw-card__meta")(a))), F.lit(1)
     )
     return (
-        F.when(rule == "grouped", el.given(el.text_of(page, month), lambda m: el.given(el.text_of(page, label), lambda d: dates.grouped_card_date(m, d))))
+        F.when(rule == "grouped", text.given(el.text_of(page, month), lambda m: text.given(el.text_of(page, label), lambda d: dates.grouped_card_date(m, d))))
         .when(rule == "stated", last(stated))
-        .otherwise(F.coalesce(F.try_element_at(by_attribute, F.lit(-1)), el.given(el.text_of(page, card), dates.date_text)))
+        .otherwise(F.coalesce(F.try_element_at(by_attribute, F.lit(-1)), text.given(el.text_of(page, card), dates.date_text)))
     )
 
 
@@ -218,7 +218,7 @@ def listing_articles(listings: DataFrame, keep: list[str], sources: DataFrame |
     read, page = el.pruned(read.filter(~blocked), "page", el.tagged(*fixed.LISTING_CHROME))
     found = F.transform(
         el.chosen(page["nodes"], F.col("links")),
-        lambda n: F.struct(n.alias("node"), el.given(el.given(el.attribute(n, "href"), lambda h: absolute(url, h)), urls.canonical).alias("href")),
+        lambda n: F.struct(n.alias("node"), text.given(text.given(el.attribute(n, "href"), lambda h: absolute(url, h)), urls.canonical).alias("href")),
     )
     read = read.withColumn("found", found).withColumn("boxes", F.transform(el.chosen(page["nodes"], F.col("containers")), lambda n: n["first"]))
     rows = read.select(*keep, "url", "page_nodes", "page_texts", "found", "boxes", "date_rule", "dated_urls_only", F.posexplode("found").alias("position", "link"))
@@ -231,7 +231,7 @@ def listing_articles(listings: DataFrame, keep: list[str], sources: DataFrame |
 
     def step(card: Column, parent: Column) -> Column:
         shared = F.exists(F.col("found"), lambda x: el.inside(x["node"], parent) & (x["href"] != href))
-        closed = F.array_contains(F.col("boxes"), parent["first"]) | el.given(el.text_of(page, parent), dates.date_text).isNotNull()
+        closed = F.array_contains(F.col("boxes"), parent["first"]) | text.given(el.text_of(page, parent), dates.date_text).isNotNull()
         return F.when(card["done"], card).when(shared, place(card, F.lit(True))).otherwise(place(parent, closed))
 
     climbed = F.aggregate(around, place(link, F.lit(False)), step)

@@ -3,11 +3,17 @@
 import datetime as dt
 import random
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
+from broadsheet.functions import similarity
 from broadsheet.operators import duplicates
+from broadsheet.plans import catalog, duplicate_queries
+
+SF = "/root/testdata/sf0.001"
 
 SCHEMA = (
     "pos long, id string, title string, url string, source string, category string, published date, "
@@ -95,3 +101,34 @@ def test_hot_family_of_near_copies(spark, monkeypatch):
         rows.append((i, str(i), title, f"https://e.org/{i}", "s", "行业", dt.date(2024, 1, 1), None, "", "", []))
     frame = spark.createDataFrame(rows, SCHEMA)
     assert {r.rep for r in duplicates.assign_representatives(frame).collect()} == {0}
+
+
+def test_shared_phrase_makes_no_pairs(spark):
+    """Titles that share a long phrase and nothing else are hardly ever candidates, however many there are."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    titles = [f"the market today {' '.join(word() for _ in range(6))}" for _ in range(2000)]
+    keys = spark.createDataFrame([(str(i), key(t), dt.date(2024, 1, 1), "") for i, t in enumerate(titles)], "kind string, title_key string, day date, numbers string")
+    # fewer than one pair a title, and those by chance; by the phrase there would be four millions
+    assert duplicates.candidate_pairs(keys, keys, duplicates.piece_frequencies(keys)).count() < 2000
+
+
+def test_bound_on_characters_is_safe(spark):
+    rnd = random.Random(8)
+    pairs = [("".join(rnd.choices("abcé数", k=rnd.randint(0, 30))), "".join(rnd.choices("abcé数", k=rnd.randint(0, 30)))) for _ in range(200)]
+    rows = spark.createDataFrame([(a, b) for a, b in pairs], "a string, b string")
+    got = rows.select("a", "b", similarity.in_common(similarity.letters(F.col("a")), similarity.letters(F.col("b"))).alias("n")).collect()
+    for r in got:
+        exact = sum((Counter(r.a) & Counter(r.b)).values())
+        assert exact <= r.n and (r.n == exact or len(set(r.a + r.b)) < 5 or r.n >= exact)
+        assert 2 * r.n >= (len(r.a) + len(r.b)) * SequenceMatcher(None, r.a, r.b).ratio() - 1e-9
+
+
+def test_registered_queries_against_sequential_merge(spark):
+    rows = [r.asDict() for r in duplicate_queries.reports(spark, SF).orderBy("pos").collect()]
+    expected, reps = sequential(rows)
+    assert {r.pos: r.rep for r in catalog.PLANS["report_assignments"](spark, SF).collect()} == expected
+    merged = {r.rep: r for r in catalog.PLANS["merged_articles"](spark, SF).collect()}
+    assert {g["pos"]: (g["title"], g["url"], g["published"], g["n"], len(g["urls"])) for g in reps} == {
+        k: (m.title, m.url, m.published, m.members, m.n_sources) for k, m in merged.items()
+    }

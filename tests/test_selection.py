@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from difflib import SequenceMatcher
 
 import pytest
 
@@ -112,3 +113,31 @@ def test_priors_keep_the_newest_five(spark):
     for day, covered in ((None, False), (DAY, True)):  # a decision about another event day does not count
         verdict = events.coverage_verdicts(priors, spark.createDataFrame([("new", day, "o2:o4:o6:o8:o10", False)], decided))
         assert verdict.first().covered is covered
+
+
+def test_priors_against_all_pairs(spark):
+    """Identity, document, names and similarity, over several editions and profiles, against a plain double loop."""
+    rnd = random.Random(4)
+    words = ["neural", "band", "sleep", "study", "funding", "round", "headset", "launch", "脑机", "接口"]
+    names = ["acme", "acmelabs", "nova", "novabrain", "脑虎科技", "abc"]
+    kinds = [fixed.INDUSTRY, fixed.POLICY]
+
+    def facts(i, day):
+        return (day, rnd.choice("pq"), f"i{rnd.randrange(30)}", None, rnd.choice(kinds), "".join(rnd.choices(words, k=rnd.randint(1, 5))), rnd.choice(["", "", "", "doc1", "doc2"]),
+                rnd.sample(names, rnd.choice([0, 0, 0, 1, 2])))
+
+    new = [facts(i, DAY + dt.timedelta(days=rnd.choice([0, 1, 40]))) for i in range(40)]
+    old = [(d, p, i, c, t, doc, n) for d, p, i, _, c, t, doc, n in (facts(i, DAY - dt.timedelta(days=rnd.randrange(-20, 130))) for i in range(120))]
+    got = events.possible_priors(
+        spark.createDataFrame(new, "edition_day date, profile_id string, id string, event_day date, category string, title_key string, document string, names array<string>"),
+        spark.createDataFrame(old, "day date, profile_id string, sent_id string, category string, title_key string, document string, names array<string>"), limit=10_000,
+    ).collect()
+    want = set()
+    for day, p, i, _, _, title, doc, own in new:
+        for sent, q, j, category, other, old_doc, theirs in old:
+            if p != q or sent >= day or not (category == fixed.POLICY or sent >= day - dt.timedelta(days=fixed.HISTORY_DAYS)):
+                continue
+            overlap = any(a in b or b in a for a in own for b in theirs)
+            if i == j or (doc and doc == old_doc) or overlap or SequenceMatcher(None, title, other).ratio() >= 0.58:
+                want.add((day, p, i, j, sent))
+    assert {(r.edition_day, r.profile_id, r.id, r.sent_id, r.sent_day) for r in got} == want and len(want) > 100
