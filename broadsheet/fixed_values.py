@@ -35,6 +35,9 @@ NON_PRODUCT_PATH = (
 )
 
 # --- dates ---------------------------------------------------------------------
+# Search topics whose one-group rules are narrowed by the topic's intent, and what a policy query ends with.
+NARROWED_TOPICS = ["企业", "眼镜可穿戴"]
+POLICY_QUERY_SUFFIX = " 中国"
 BEIJING = "Asia/Shanghai"
 NUMERIC_DATE = r"(20\d{2})[-/.年](\d{1,2})[-/.月](\d{1,2})"
 MONTH_FIRST_DATE = r"\b[A-Za-z]{3,9} \d{1,2}, \d{4}\b"

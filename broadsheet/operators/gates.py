@@ -95,10 +95,17 @@ def signal_tier(title: Column, summary: Column, body: Column, url: Column, explo
     )
 
 
-def fresh_collection(items: DataFrame, today: Column, days: Column) -> DataFrame:
-    """Drop what is known to be old; undated rows wait for a date. Papers need a proven version date."""
-    recent = F.col("published").isNull() | dates.in_window(today, F.col("published"), days)
-    return items.filter(recent)
+def fresh_collection(items: DataFrame, today: Column, days: Column, strict: bool = False) -> DataFrame:
+    """Drop what is known to be old; undated rows wait for a date.
+
+    With ``strict`` the event's day, else its first report, counts before the publication day. Where items carry
+    first_submitted and last_revised, papers need the proof of their version date.
+    """
+    counted = dates.news_day(F.col("event_day"), F.col("first_reported"), F.col("published")) if strict else F.col("published")
+    kept = F.col("published").isNull() | dates.in_window(today, counted, days)
+    if {"first_submitted", "last_revised"} <= set(items.columns):
+        kept = kept & proven_paper_date(F.col("url"), F.col("published"), F.col("first_submitted"), F.col("last_revised"))
+    return items.filter(kept)
 
 
 def proven_paper_date(url: Column, published: Column, first: Column, revised: Column) -> Column:
@@ -326,13 +333,14 @@ def first_seen_proxy(items: DataFrame, trusted: DataFrame) -> DataFrame:
     )
 
 
-def summary_evidence(items: DataFrame, rules: list[dict], limit: int = 6000) -> DataFrame:
-    """Add ``evidence``: a usable source summary, else the first four paragraphs and later ones that match a rule."""
-    keep = matching.paragraph_matches(F.col("body"), rules, 4)
-    text_of = F.array_join(keep, "\n")
-    usable = text.usable_summary(F.col("summary"), F.col("title"))
-    chosen = F.when(usable, F.col("summary")).otherwise(text_of)
-    return items.withColumn("evidence", F.substring(chosen, 1, limit))
+def summary_evidence(items: DataFrame, rules: list[dict], lead: int = 4, limit: int | None = 6000) -> DataFrame:
+    """Add ``evidence``: a usable source summary, else the first paragraphs and later ones that match one of the item's own rules.
+
+    items: title, summary, body, rule_ids (the rules that the item as a whole matches).
+    """
+    paragraphs = F.array_join(matching.paragraph_matches(F.col("body"), rules, lead, F.col("rule_ids")), "\n")
+    evidence = F.when(text.usable_summary(F.col("summary"), F.col("title")), F.col("summary")).otherwise(paragraphs)
+    return items.withColumn("evidence", evidence if limit is None else F.substring(evidence, 1, limit))
 
 
 def evidence_signature(*parts: Column) -> Column:

@@ -89,8 +89,8 @@ def _substrings(normal: Column, n: int) -> Column:
     return F.filter(F.transform(starts, lambda i: F.substring(normal, i, F.lit(n))), text.has_ideograph)
 
 
-def paragraph_matches(body: Column, rules: list[dict], always: int) -> Column:
-    """Lines of a body: the first ``always`` ones, later ones only when a rule holds within the line."""
+def paragraph_matches(body: Column, rules: list[dict], always: int, own: Column | None = None) -> Column:
+    """Lines of a body: the first ``always`` ones, later ones only when a rule, of the ``own`` ids if given, holds within the line."""
 
     def holds(line: Column) -> Column:
         normal = text.normalize(F.substring(line, 1, PARAGRAPH_WINDOW))
@@ -99,7 +99,8 @@ def paragraph_matches(body: Column, rules: list[dict], always: int) -> Column:
         for rule in rules:
             groups = [_terms(g) for g in rule["groups"]]
             if groups and all(groups):
-                any_rule = any_rule | reduce(lambda a, b: a & b, [text.any_term(normal, spaced, g) for g in groups])
+                found = reduce(lambda a, b: a & b, [text.any_term(normal, spaced, g) for g in groups])
+                any_rule = any_rule | (found if own is None else F.array_contains(own, rule["id"]) & found)
         return any_rule
 
     return F.filter(F.split(body, "\n"), lambda line, i: (i < always) | holds(line))

@@ -147,14 +147,35 @@ def round_robin(queue: DataFrame, order: list, size: int) -> DataFrame:
     return turned.withColumn("analysis_order", F.row_number().over(every)).filter(F.col("analysis_order") <= size)
 
 
+def scarce_topics(rules: DataFrame, topics: dict[str, str], fixed_count: int = fixed.FIXED_QUERIES_PER_TOPIC) -> list[str]:
+    """Searched topics with too few searchable rules for the fixed queries and a rotating one; topics are few."""
+    counted = rules.filter("search_enabled").select(F.explode("topics").alias("topic")).groupBy("topic").count().filter(F.col("count") > fixed_count)
+    enough = {r["topic"] for r in counted.filter(F.col("topic").isin(*topics)).collect()}
+    return [t for t in topics if t != fixed.ACADEMIC and t not in enough]
+
+
+def query_text(query: Column, n_groups: Column, topic: Column, topics: dict[str, str]) -> Column:
+    """What is typed: one-group rules of some topics are narrowed by the topic's first intent word, policies by the country."""
+    intents = F.create_map(*[F.lit(x) for name, intent in topics.items() for x in (name, intent.split()[0])])
+    words = F.trim(query)
+    narrowed = F.when((n_groups == 1) & topic.isin(*fixed.NARROWED_TOPICS), F.concat(words, F.lit(" "), F.try_element_at(intents, topic))).otherwise(words)
+    return F.when(topic == fixed.POLICY, F.concat(narrowed, F.lit(fixed.POLICY_QUERY_SUFFIX))).otherwise(narrowed)
+
+
 def query_calendar(days: DataFrame, rules: DataFrame, topics: dict[str, str], fixed_count: int = fixed.FIXED_QUERIES_PER_TOPIC,
                    exploration_ratio: float = fixed.EXPLORATION_RATIO) -> DataFrame:
     """Search queries of every day and topic: the heaviest rules plus one that rotates with the calendar.
 
-    rules: id, position, weight, topics, query, exploration, groups. Every tenth day rotates through the
-    exploratory rules. Days meet rules by equality on topic, pool and turn.
+    rules: id, position, weight, topics, query, exploration, search_enabled, groups; those not enabled and the academic
+    topic are left out, and a topic with too few rules is an error. Every tenth day rotates through the exploratory
+    rules. Days meet rules by equality on topic, pool and turn.
     """
-    by_topic = rules.select("id", "position", "weight", "query", "exploration", F.size("groups").alias("n_groups"), F.explode("topics").alias("topic"))
+    scarce = scarce_topics(rules, topics, fixed_count)
+    if scarce:
+        raise ValueError(f"too few searchable rules for {', '.join(scarce)}")
+    searched = [t for t in topics if t != fixed.ACADEMIC]
+    by_topic = rules.filter("search_enabled").select("id", "position", "weight", "query", "exploration", F.size("groups").alias("n_groups"), F.explode("topics").alias("topic"))
+    by_topic = by_topic.withColumn("query", query_text(F.col("query"), F.col("n_groups"), F.col("topic"), topics))
     heaviest = Window.partitionBy("topic").orderBy(F.desc("weight"), "position")
     ranked = by_topic.withColumn("n", F.row_number().over(heaviest))
     anchors = ranked.filter(F.col("n") <= fixed_count)
@@ -163,7 +184,7 @@ def query_calendar(days: DataFrame, rules: DataFrame, topics: dict[str, str], fi
     sizes = pool.groupBy("topic").agg(
         F.count_if(~F.col("exploration")).alias("regular"), F.count_if("exploration").alias("exploratory")
     )
-    calendar = days.select("day", F.explode(F.array(*[F.lit(t) for t in topics])).alias("topic")).join(sizes, "topic")
+    calendar = days.select("day", F.explode(F.array(*[F.lit(t) for t in searched])).alias("topic")).join(sizes, "topic")
     number = dates.ordinal(F.col("day"))
     explore = (F.col("exploratory") > 0) & F.lit(exploration_ratio > 0) & (number % 10 == 0)
     kind = explore | (F.col("regular") == 0)

@@ -93,15 +93,27 @@ def _days(spark, sf_dir):
     return observations(spark, sf_dir).select("day").distinct()
 
 
+#: The sample rules under the topics of a deployment; one rule is not searched, and the academic topic never is.
+_TOPICS = {"企业": "new product", "眼镜可穿戴": "glasses", fixed.POLICY: "standards", fixed.ACADEMIC: "papers"}
+_TOPIC_NAMES = {"core": ["企业", "眼镜可穿戴", fixed.ACADEMIC], "funding": ["眼镜可穿戴"], "policy": [fixed.POLICY]}
+
+
+def _search_rules():
+    for i, r in enumerate(dim.RULES):
+        names = list(dict.fromkeys(n for t in r["topics"] for n in _TOPIC_NAMES[t]))
+        yield i, r["id"], r["weight"], r["groups"], names, f" {r['query']} ", r["exploration"], r["id"] != "r03"
+
+
 def _rules_table(spark):
     return spark.createDataFrame(
-        [(i, r["id"], r["weight"], r["groups"], r["topics"], r["query"], r["exploration"]) for i, r in enumerate(dim.RULES)],
-        "position int, id string, weight int, groups array<array<string>>, topics array<string>, query string, exploration boolean",
+        list(_search_rules()),
+        "position int, id string, weight int, groups array<array<string>>, topics array<string>, query string, exploration boolean, search_enabled boolean",
     )
 
 
 _RULE_VALUES = ", ".join(
-    f"({i}, '{r['id']}', {r['weight']}, {r['topics']}, {str(r['exploration']).upper()})" for i, r in enumerate(dim.RULES)
+    f"({i}, '{name}', {weight}, {topics}, {str(exploration).upper()}, '{words}', {len(groups)})"
+    for i, name, weight, groups, topics, words, exploration, enabled in _search_rules() if enabled
 )
 
 
@@ -109,19 +121,20 @@ _RULE_VALUES = ", ".join(
     "query_plan_calendar",
     with_sql(
         OBSERVATIONS,
-        f"rules AS (SELECT position, id, weight, unnest(topics) AS topic, exploration FROM (VALUES {_RULE_VALUES}) v(position, id, weight, topics, exploration))",
-        "ranked AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, position) AS n FROM rules)",
+        f"rules AS (SELECT position, id, weight, unnest(topics) AS topic, exploration, trim(words) AS words, n FROM (VALUES {_RULE_VALUES}) v(position, id, weight, topics, exploration, words, n))",
+        """ranked AS (SELECT * EXCLUDE (n), words || CASE WHEN n = 1 AND topic = '企业' THEN ' new' WHEN n = 1 AND topic = '眼镜可穿戴' THEN ' glasses' WHEN topic = '政策' THEN ' 中国' ELSE '' END AS query,
+          row_number() OVER (PARTITION BY topic ORDER BY weight DESC, position) AS n FROM rules WHERE topic <> '学术')""",
         "pool AS (SELECT *, row_number() OVER (PARTITION BY topic, exploration ORDER BY n) - 1 AS turn FROM ranked WHERE n > 4)",
         "sizes AS (SELECT topic, count(*) FILTER (WHERE NOT exploration) AS regular, count(*) FILTER (WHERE exploration) AS exploratory FROM pool GROUP BY topic)",
         "days AS (SELECT DISTINCT day, (day - DATE '0001-01-01') + 1 AS o FROM observations)",
         "cal AS (SELECT day, o, s.*, exploratory > 0 AND o % 10 = 0 AS explore FROM days CROSS JOIN sizes s)",
     )
-    + """SELECT day, c.topic, r.id, FALSE AS rotating FROM cal c JOIN ranked r ON r.topic = c.topic AND r.n <= 4
-    UNION ALL SELECT day, c.topic, p.id, TRUE FROM cal c JOIN pool p ON p.topic = c.topic AND p.exploration = (explore OR regular = 0)
+    + """SELECT day, c.topic, r.id, query, FALSE AS rotating, len(query) > 70 AS too_long FROM cal c JOIN ranked r ON r.topic = c.topic AND r.n <= 4
+    UNION ALL SELECT day, c.topic, p.id, query, TRUE, len(query) > 70 FROM cal c JOIN pool p ON p.topic = c.topic AND p.exploration = (explore OR regular = 0)
       AND p.turn = CASE WHEN explore THEN (o // 10) % exploratory WHEN regular = 0 THEN o % exploratory ELSE o % regular END""",
 )
 def query_plan_calendar(spark, sf_dir):
-    return planning.query_calendar(_days(spark, sf_dir), _rules_table(spark), dim.TOPICS).select("day", "topic", "id", "rotating")
+    return planning.query_calendar(_days(spark, sf_dir), _rules_table(spark), _TOPICS).select("day", "topic", "id", "query", "rotating", "too_long")
 
 
 @query(

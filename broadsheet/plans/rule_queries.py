@@ -34,6 +34,10 @@ RULE_ROWS = "hits AS (" + " UNION ".join(
 ) + ")"
 
 
+#: A summary that may be shown as it is.
+_TOLD = "研究团队发布了新的可穿戴设备，并说明了试验的结果和上市时间。"
+
+
 @query("rule_matches", with_sql(ARTICLES, PLACES, RULE_ROWS) + "SELECT doc_id, rule_id, weight FROM hits")
 def rule_matches(spark, sf_dir):
     matched = matching.match_rules(articles(spark, sf_dir), dim.RULES)
@@ -332,13 +336,37 @@ def first_seen_proxy(spark, sf_dir):
 
 @query(
     "summary_evidence",
-    with_sql(ARTICLES)
-    + f"""SELECT doc_id, (SELECT count(*) FROM (SELECT unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS i)
-        WHERE i < 4 OR {" OR ".join(_sql_rule(r, sql_normal("substr(line, 1, 800)")) for r in dim.RULES)}) AS lines FROM articles""",
+    with_sql(ARTICLES, PLACES, RULE_ROWS)
+    + f""", own AS (SELECT doc_id, list(rule_id) AS ids FROM hits GROUP BY doc_id),
+      lines AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, unnest(range(len(string_split(body, chr(10))))) AS i FROM articles),
+      seen AS (SELECT *, {sql_normal("substr(line, 1, 800)")} AS w FROM lines LEFT JOIN own USING (doc_id))
+    SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN '{_TOLD}' ELSE substr(coalesce(string_agg(line, chr(10) ORDER BY i), ''), 1, 6000) END) AS evidence
+    FROM seen WHERE doc_id % 3 = 0 OR i < 4 OR {" OR ".join(f"(list_contains(ids, '{r['id']}') AND {_sql_rule(r)})" for r in dim.RULES)} GROUP BY doc_id""",
 )
 def summary_evidence(spark, sf_dir):
-    kept = matching.paragraph_matches(F.col("body"), dim.RULES, 4)
-    return articles(spark, sf_dir).select("doc_id", F.size(kept).cast("long").alias("lines"))
+    """Evidence texts, compared by digest; every third item comes with a usable summary."""
+    told = F.when(F.col("doc_id") % 3 == 0, F.lit(_TOLD)).otherwise(F.lit(""))
+    matched = matching.match_rules(articles(spark, sf_dir), dim.RULES)
+    items = matched.withColumn("rule_ids", F.transform("matches", lambda m: m["id"])).withColumn("summary", told)
+    return gates.summary_evidence(items, dim.RULES).select("doc_id", F.sha2("evidence", 256).alias("evidence"))
+
+
+@query(
+    "strict_freshness",
+    with_sql(ARTICLES)
+    + """, dated AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN seen_day - 3 END AS event_day, CASE WHEN doc_id % 4 = 1 THEN seen_day - 5 END AS first_reported,
+        CASE WHEN doc_id % 20 = 1 THEN seen_day + 4 WHEN doc_id % 30 <> 11 THEN seen_day - 4 END AS first_submitted, seen_day AS last_revised FROM articles)
+    SELECT doc_id FROM dated WHERE (published IS NULL OR DATE '2024-02-05' - coalesce(event_day, first_reported, published) BETWEEN 0 AND 6)
+      AND (doc_id % 10 <> 1 OR coalesce(first_submitted <= last_revised AND published = last_revised, FALSE))""",
+)
+def strict_freshness(spark, sf_dir):
+    """Collection under strict dates: event day before first report before publication, papers by their proven version date."""
+    doc, day = F.col("doc_id"), F.col("seen_day")
+    rows = articles(spark, sf_dir).withColumns({
+        "event_day": F.when(doc % 4 == 0, F.date_sub(day, 3)), "first_reported": F.when(doc % 4 == 1, F.date_sub(day, 5)),
+        "first_submitted": F.when(doc % 20 == 1, F.date_add(day, 4)).when(doc % 30 != 11, F.date_sub(day, 4)), "last_revised": day,
+    })
+    return gates.fresh_collection(rows, F.to_date(F.lit("2024-02-05")), F.lit(7), strict=True).select("doc_id")
 
 
 @query(
