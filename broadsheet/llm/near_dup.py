@@ -9,7 +9,9 @@ union estimates the similarity and filters, the full sets decide.
 A list of near copies would propose all pairs in it, and components need far fewer. So in the first rounds each member of
 a list meets only the list's leader (drawn by hash, so leaders differ from list to list), each head verifies its best
 proposal, and confirmed links merge components. After that, members of different components that still share a list meet
-directly, inside one join that lets only links through; pairs inside one component are never formed. No list, set of links or component is ever gathered in one place.
+directly, in a join of sketches that lets only pairs through whose union sketch allows the threshold; pairs inside one
+component are never formed. Only ids and sketches travel to candidates; the two texts of a surviving pair are fetched once
+and their full sets compared on the spot. No list, set of links or component is ever gathered in one place.
 
 With more than k shingles the required overlap is a bound that a pair at the threshold misses with a probability below
 one in a million; smaller sets are compared without loss.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -69,39 +72,42 @@ class Shingler:
         return np.unique(mixed.view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, k: int, with_set: bool) -> DataFrame:
-    """id, n, the set's fingerprint, and either the whole set (full) or its k smallest values (sketch)."""
+def _mark(values: np.ndarray) -> bytes:
+    """Fingerprint of a set."""
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
-    name = "full" if with_set else "sketch"
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int) -> DataFrame:
+    """id, n, the set's fingerprint and its k smallest values."""
 
     def run(batches):
         shingler = Shingler(words)
         for batch in batches:
             sets = [shingler(t) for t in batch.column(1).to_pylist()]
             n = pa.array([len(s) for s in sets], pa.int64())
-            marks = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
-            values = pa.array(sets if with_set else [s[:k] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, marks, values], ["id", "n", "mark", name])
+            marks = pa.array([_mark(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, marks, pa.array([s[:k] for s in sets], pa.list_(pa.int64()))], ["id", "n", "mark", "sketch"])
 
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(source, run, f"id {type_of(docs, id_col)}, n long, mark binary, {name} array<bigint>")
+    return map_arrow(source, run, f"id {type_of(docs, id_col)}, n long, mark binary, sketch array<bigint>")
 
 
 def standing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """Of rows with the same id the one that stands for the document, with all columns; of equal sets the greatest text."""
     k = docs.columns.index(text_col)
-    fields = [T.StructField("_n", T.LongType()), T.StructField("_mark", T.BinaryType())]
+    added = [f"standing_{uuid.uuid4().hex}_{name}" for name in ("n", "mark", "id", "row")]
+    fields = [T.StructField(added[0], T.LongType()), T.StructField(added[1], T.BinaryType())]
 
     def run(batches):
         shingler = Shingler(words)
         for batch in batches:
             sets = [shingler(t) for t in batch.column(k).to_pylist()]
-            marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary())], [*batch.schema.names, "_n", "_mark"])
+            marks = [_mark(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary())], [*batch.schema.names, *added[:2]])
 
     marked = map_arrow(docs, run, T.StructType([*docs.schema.fields, *fields]))
-    best = marked.groupBy(F.col(id_col).alias("_id")).agg(F.max_by(F.struct(*docs.columns), F.struct("_n", "_mark", text_col)).alias("_row"))
-    return best.select("_row.*")
+    best = marked.groupBy(F.col(id_col).alias(added[2])).agg(F.max_by(F.struct(*docs.columns), F.struct(*added[:2], text_col)).alias(added[3]))
+    return best.select(f"{added[3]}.*")
 
 
 def least_overlap(k: int, threshold: float) -> int:
@@ -121,7 +127,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     overlap = least_overlap(k, threshold / 100)
     small = k * threshold // 100  # a partner of such a set fits into the sketch, so shared values are counted in full
-    hashed = shingle_sets(docs, id_col, text_col, words, k, False)
+    hashed = sketches(docs, id_col, text_col, words, k)
     hashed = cut(hashed.groupBy("id").agg(F.max(F.struct("n", "mark", "sketch")).alias("x")).select("id", "x.*"))
     classes = hashed.filter("n > 0").groupBy("mark").agg(F.min("id").alias("head"))
     heads = cut(hashed.filter("n > 0").join(classes, "mark").filter("id = head").select("head", "n", "mark", "sketch"))
@@ -142,29 +148,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = heads.select(F.col("head").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = heads.select(F.col("head").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
+    def allowed(na, nb, sa, sb):
+        """The share of the union sketch that both retain, null where it rules the threshold out."""
+        union = F.slice(F.sort_array(F.array_union(sa, sb)), 1, k)
+        both = F.size(F.array_intersect(F.array_intersect(union, sa), sb))
+        exact = (F.greatest(na, nb) <= k) & (F.size(F.array_union(sa, sb)) <= k)
+        fits = F.when(exact, both * 100 >= F.size(union) * threshold).otherwise(both >= F.least(F.lit(overlap), F.ceil(F.least(na, nb) * threshold / 100)))
+        return F.when((F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold) & fits, both / F.size(union))
+
     def estimated(pairs: DataFrame) -> DataFrame:
         """Pairs whose union sketch allows the threshold, with the share of it that both retain."""
-        rows = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold)
-        union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
-        rows = rows.withColumn("u", union).withColumn("both", F.size(F.array_intersect(F.array_intersect("u", "sa"), F.col("sb"))))
-        exact = (F.greatest("na", "nb") <= k) & (F.size(F.array_union("sa", "sb")) <= k)
-        fits = F.when(exact, F.col("both") * 100 >= F.size("u") * threshold).otherwise(F.col("both") >= F.least(F.lit(overlap), F.ceil(F.least("na", "nb") * threshold / 100)))
-        return rows.filter(fits).select("a", "b", (F.col("both") / F.size("u")).alias("share"))
-
-    def full_sets(wanted: DataFrame) -> DataFrame:
-        """id and full set of the heads w. Only their texts are read again into sets."""
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id") == F.col("w"), "left_semi")
-        full = shingle_sets(texts, "id", "text", words, k, True)
-        return cut(full.join(heads.select(F.col("head").alias("id"), "mark"), ["id", "mark"], "left_semi").select("id", "full"))
+        rows = pairs.join(left, "a").join(right, "b").withColumn("share", allowed(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb")))
+        return rows.filter("share is not null").select("a", "b", "share")
+
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    marks = heads.select(F.col("head").alias("id"), "mark")
+
+    def compare(batches):
+        """Pairs of texts whose full sets reach the threshold; a text that does not stand for its id fails by its mark."""
+        shingler = Shingler(words)
+        last = None  # rows come in the order of b
+        for batch in batches:
+            a, b, text_a, mark_a, text_b, mark_b = (c.to_pylist() for c in batch.columns)
+            good = []
+            for i in range(len(a)):
+                if last is None or last[0] != (b[i], text_b[i]):
+                    one = shingler(text_b[i])
+                    last = (b[i], text_b[i]), one, _mark(one)
+                other = shingler(text_a[i])
+                both = len(np.intersect1d(other, last[1], assume_unique=True))
+                enough = both * 100 >= (len(other) + len(last[1]) - both) * threshold
+                good.append(enough and _mark(other) == mark_a[i] and last[2] == mark_b[i])
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets reach the threshold."""
         pairs = cut(pairs.select("a", "b").distinct())
-        wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-        full = full_sets(wanted)
-        rows = pairs.join(full.select(F.col("id").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("id").alias("b"), F.col("full").alias("fb")), "b")
-        both = F.size(F.array_intersect("fa", "fb"))
-        return cut(rows.withColumn("both", both).filter(F.col("both") * 100 >= (F.size("fa") + F.size("fb") - F.col("both")) * threshold).select("a", "b").distinct())
+        one = texts.join(pairs, F.col("id") == F.col("a")).join(marks.withColumnRenamed("mark", "mark_a"), "id").select("a", "b", F.col("text").alias("text_a"), "mark_a")
+        two = texts.join(pairs.select(F.col("b").alias("id")).distinct(), "id").join(marks, "id").select("id", F.col("text").alias("text_b"), F.col("mark").alias("mark_b"))
+        rows = one.join(two, F.col("b") == F.col("id")).select("a", "b", "text_a", "mark_a", "text_b", "mark_b")
+        return cut(map_arrow(rows, compare, f"a {head_type}, b {head_type}").distinct())
 
     def rooted(rows: DataFrame) -> DataFrame:
         if roots is None:
@@ -183,24 +206,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         best = estimated(proposals).groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
         linked = linked.unionByName(verified(best))
         roots = cut(components(linked))
-    # what is left meets directly: each pair once, in the first list that it shares, and only links leave the join
+    # what is left meets directly: each pair once, in the first list that it shares, and only ids leave the join
     active = cut(open_lists(rooted(entries)))
-    full = full_sets(active.select(F.col("head").alias("w")).distinct())
-    parts = full.select("id", F.explode("full").alias("g"))
-    met_twice = parts.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    held = parts.join(met_twice, "g", "left_semi").groupBy("id").agg(F.count("*").alias("held"))
-    # a head that has too much of its own cannot reach the threshold with any other
-    able = cut(full.join(held, "id").filter(F.col("held") * 100 >= F.size("full") * threshold).select("id", "full"))
-    active = cut(open_lists(active.join(able.select(F.col("id").alias("head")), "head", "left_semi")))
     own = active.groupBy("head", "root").agg(F.sort_array(F.collect_list("v")).alias("own"))
-    rich = active.select("head", "v").join(own.join(able, F.col("head") == F.col("id")).drop("id"), "head")
-    one = rich.select("v", F.col("head").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("full").alias("fa"))
-    two = rich.select("v", F.col("head").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("full").alias("fb"))
-    na, nb = F.size("fa"), F.size("fb")
-    first = F.array_min(F.array_intersect("oa", "ob")) == one["v"]
-    alike = F.size(F.array_intersect("fa", "fb")) * (100 + threshold) >= (na + nb) * threshold
-    met = (one["v"] == two["v"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold) & first & alike
-    linked = linked.unionByName(cut(one.join(two, met).select("a", "b")))
+    rich = cut(own.join(heads.select("head", "n", "sketch"), "head")).select("head", "root", "own", "n", "sketch", F.explode("own").alias("v"))
+    one, two = (rich.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("head", "root", "own", "n", "sketch")]) for side in "ab")
+    first = F.array_min(F.array_intersect("own_a", "own_b")) == one["v"]
+    fits = allowed(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b")).isNotNull()
+    met = (one["v"] == two["v"]) & (F.col("head_a") < F.col("head_b")) & (F.col("root_a") != F.col("root_b")) & first & fits
+    linked = linked.unionByName(verified(one.join(two, met).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))))
     roots = cut(components(linked))
 
     members = hashed.filter("n > 0").join(classes, "mark").select("id", "head", "n")

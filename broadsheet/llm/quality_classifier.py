@@ -115,7 +115,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-4,
 
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grades: int = 3, sample_rows: int = 1500, dim: int = DIM) -> Ordinal | None:
     """The model from documents and ratings (doc_id, grade), or None without two grades."""
-    rated = ratings.filter(F.col("grade").between(0, grades - 1)).groupBy(F.col("doc_id").alias("r_id")).agg(F.min("grade").cast("int").alias("grade"))
+    rated = ratings.select("doc_id", "grade").filter(F.col("grade").between(0, grades - 1)).groupBy(F.col("doc_id").alias("r_id")).agg(F.min("grade").cast("int").alias("grade"))
     counts = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -124,19 +124,27 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
         share = F.when(F.col("grade") == g, min(1.0, sample_rows / n)).otherwise(share)
     rated = rated.filter(F.pmod(F.xxhash64("r_id", F.lit("quality")), F.lit(1 << 30)) < share * (1 << 30))
     # the ratings left are about grades x sample_rows at most, whatever the size of either table, so texts need no shuffle
-    rows = docs.join(F.broadcast(rated), F.col(id_col) == F.col("r_id")).select(F.col(text_col).cast("string").alias("text"), "grade")
+    texts = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(rated), F.col("d_id") == F.col("r_id")).select("text", "grade")
 
     def run(batches):
         features = Features(dim)
         for batch in batches:
-            x = [features(t).astype(np.float32).tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], ["x", "grade"])
-
-    sample = map_arrow(rows, run, "x binary, grade int").collect()  # grades x sample_rows x dim numbers
-    if len({r["grade"] for r in sample}) < 2:
+            found = [features(t).astype(np.float32) for t in batch.column(0).to_pylist()]
+            places = [np.flatnonzero(x).astype(np.int32) for x in found]
+            x = [v[p].tobytes() for v, p in zip(found, places, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in places], pa.binary()), pa.array(x, pa.binary()), batch.column(1)], ["places", "x", "grade"])
+
+    # grades x sample_rows rows of the numbers that are not 0; the driver holds one dense matrix of them
+    sample = map_arrow(rows, run, "places binary, x binary, grade int").collect()
+    grade = np.array([r["grade"] for r in sample], dtype=np.int64)
+    if len(set(grade.tolist())) < 2:
         return None
-    x = np.frombuffer(b"".join(r["x"] for r in sample), dtype=np.float32).reshape(len(sample), dim)
-    return fit_ordinal(x, np.array([r["grade"] for r in sample]), grades)
+    x = np.zeros((len(sample), dim), dtype=np.float32)
+    for i, r in enumerate(sample):
+        x[i, np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["x"], np.float32)
+    del sample
+    return fit_ordinal(x, grade, grades)
 
 
 def score(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_col: str = "text", at_least: int = 1, grades: int = 3, dim: int = DIM) -> DataFrame:
