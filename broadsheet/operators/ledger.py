@@ -7,11 +7,14 @@ third of the input is reduced to one row per task first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
 from broadsheet.functions import dates, text
+from broadsheet.session import cut
 
 
 def exploded_aliases(items: DataFrame, key: str, source_urls: str = "source_urls") -> DataFrame:
@@ -197,6 +200,38 @@ def roll_back(current: DataFrame, prior: DataFrame, key: str) -> DataFrame:
     return current.join(prior.select(key).distinct(), key, "left_semi")
 
 
+#: Delivery tables of a roll-back and their keys.
+DELIVERY_KEYS = {"delivered": "alias", "policy_delivered": "alias", "reports": "key", "sent_events": "id"}
+
+
+def delivery_changes(current: dict[str, DataFrame], prior: dict[str, DataFrame]) -> DataFrame:
+    """The change set between two versions of the delivery tables: (table, key) of all that was added since."""
+    added = [
+        added_since(current[name], prior[name], key).select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"))
+        for name, key in DELIVERY_KEYS.items()
+    ]
+    return reduce(DataFrame.unionByName, added)
+
+
+def roll_back_deliveries(current: dict[str, DataFrame], prior: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The delivery tables without what was added after an earlier version, and how much of each went.
+
+    Rows known to the earlier version stay as they are now; the one-row table ``counts`` is taken from it. Unconfirmed
+    deliveries forbid a roll-back. The change set is computed once and drives both results.
+    """
+    refuse_while_pending(current["delivered"], current["policy_delivered"])
+    changes = cut(delivery_changes(current, prior))
+    tables = dict(current)
+    for name, key in DELIVERY_KEYS.items():
+        gone = changes.filter(F.col("table") == name).select(F.col("key").alias(key))
+        tables[name] = current[name].join(gone, current[name][key].cast("string") == gone[key], "left_anti")
+    tables["counts"] = prior["counts"]
+    named = F.explode(F.array(*[F.lit(n) for n in DELIVERY_KEYS])).alias("table")
+    names = changes.sparkSession.range(1).select(named)
+    removed = changes.groupBy("table").agg(F.count(F.lit(1)).alias("removed"))
+    return tables, names.join(removed, "table", "left").fillna(0, ["removed"])
+
+
 def refuse_while_pending(*ledgers: DataFrame) -> None:
     """Resets and rollbacks stop while any delivery is unconfirmed."""
     for ledger in ledgers:

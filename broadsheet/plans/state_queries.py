@@ -215,6 +215,36 @@ def rolled_back_ledger(spark, sf_dir):
     return ledger.roll_back(delivered, prior, "alias").select("alias", "status")
 
 
+@query(
+    "rolled_back_tables",
+    with_sql(OBSERVATIONS)
+    + """, marks AS (SELECT item_id::VARCHAR AS k, day, status, CASE status WHEN 'purchase' THEN 'policy_delivered' WHEN 'click' THEN 'reports' WHEN 'view' THEN 'delivered' ELSE 'sent_events' END AS t FROM observations),
+      rows AS (SELECT t, k, count(*) AS n, min(day) < DATE '2024-01-12' AS early FROM marks GROUP BY t, k),
+      names AS (SELECT unnest(['delivered', 'policy_delivered', 'reports', 'sent_events']) AS t)
+    SELECT t AS table_name, k AS key, n, NULL AS removed FROM rows WHERE early
+    UNION ALL SELECT t, NULL, NULL, (SELECT count(*) FROM rows WHERE rows.t = names.t AND NOT early) FROM names
+    UNION ALL SELECT 'counts', NULL, (SELECT count(*) FROM observations WHERE day < DATE '2024-01-12'), NULL""",
+)
+def rolled_back_tables(spark, sf_dir):
+    """Four delivery tables taken back to an earlier day, what went from each, and the counts of that day."""
+    kind = F.when(F.col("status") == "purchase", F.lit("policy_delivered")).when(F.col("status") == "click", F.lit("reports")).when(F.col("status") == "view", F.lit("delivered")).otherwise(F.lit("sent_events"))
+    marks = observations(spark, sf_dir).select(F.col("item_id").cast("string").alias("k"), "day", kind.alias("t"))
+
+    def version(rows):
+        tables = {
+            name: rows.filter(F.col("t") == name).groupBy(F.col("k").alias(key)).agg(F.count(F.lit(1)).alias("n")).withColumn("status", F.lit("sent"))
+            for name, key in ledger.DELIVERY_KEYS.items()
+        }
+        return tables | {"counts": rows.agg(F.count(F.lit(1)).alias("n"))}
+
+    tables, removed = ledger.roll_back_deliveries(version(marks), version(marks.filter("day < '2024-01-12'")))
+    nothing = F.lit(None).cast("long")
+    out = removed.select(F.col("table").alias("table_name"), F.lit(None).cast("string").alias("key"), nothing.alias("n"), "removed")
+    for name, key in ledger.DELIVERY_KEYS.items():
+        out = out.unionByName(tables[name].select(F.lit(name).alias("table_name"), F.col(key).alias("key"), "n", nothing.alias("removed")))
+    return out.unionByName(tables["counts"].select(F.lit("counts").alias("table_name"), F.lit(None).cast("string").alias("key"), "n", nothing.alias("removed")))
+
+
 @query(
     "assessment_cache",
     with_sql(ARTICLES, ASSESSMENTS)

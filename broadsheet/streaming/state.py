@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from broadsheet.operators import ledger
 from broadsheet.sources import tables
@@ -62,3 +66,98 @@ def candidate_stream(observed: DataFrame, root: str, checkpoint: str, trigger: d
 def retained_stream(observed: DataFrame, root: str, checkpoint: str, days: int) -> StreamingQuery:
     """Candidate table fed with rows still inside the window."""
     return candidate_stream(drop_late(observed, days), root, checkpoint)
+
+
+#: What is kept of a candidate between batches; a grave keeps nothing but its id.
+HELD = (
+    "seq long, first_seen date, last_seen date, summary string, excerpt string, published date, first_reported date, released date, "
+    "date_evidence string, grave boolean"
+)
+_FIELDS = [c.split()[0] for c in HELD.split(", ")]
+KEPT, DROPPED, BURIED = "keep", "drop", "tombstone"
+
+
+def _merge(held: dict | None, row) -> dict:
+    """One more sighting of a candidate, in order of arrival: see ledger.upsert_candidates."""
+    if held is None:
+        held = dict.fromkeys(_FIELDS) | {"first_seen": row.day, "last_seen": row.day, "summary": "", "excerpt": "", "grave": False}
+    held["seq"] = int(row.seq)
+    held["first_seen"], held["last_seen"] = min(held["first_seen"], row.day), max(held["last_seen"], row.day)
+    if len(row.summary) >= len(held["summary"]):
+        held["summary"] = row.summary
+    held["excerpt"] = row.excerpt or held["excerpt"]
+    if row.published is not None or held["published"] is None:
+        held["published"], held["date_evidence"] = row.published, row.date_evidence
+    held["first_reported"] = row.first_reported or held["first_reported"]
+    held["released"] = min(x for x in (held["released"], row.released, dt.date.max) if x is not None)
+    held["released"] = None if held["released"] == dt.date.max else held["released"]
+    return held
+
+
+def _ends(held: dict, days: int) -> dt.date:
+    """First day on which a candidate is too old: dated ones count from publication, others from their first sighting."""
+    undated = held["published"] is None or held["date_evidence"] == "recent_first_seen"
+    return (held["first_seen"] if undated else held["published"]) + dt.timedelta(days=days)
+
+
+def expiring_candidates(observed: DataFrame, graves: DataFrame, days: int, late_days: int = 1) -> DataFrame:
+    """Changes of the candidate table: id, the candidate's fields and its fate, for changed candidates only.
+
+    observed: the columns of a sighting; graves: id, day of removed candidates. State is kept by id. A removed candidate
+    and one that grew too old by its publication day leave a grave, and later sightings are refused; an undated one that
+    grew too old is forgotten and may come back. Time is the day of the sightings, less `late_days`.
+    """
+    columns = ["id", "seq", "day", "published", "date_evidence", "first_reported", "summary", "excerpt", "released"]
+    rows = observed.select(*columns, F.lit(False).alias("grave")).unionByName(graves.select("id", "day", F.lit(True).alias("grave")), allowMissingColumns=True)
+    rows = rows.withColumn("seen_at", F.to_timestamp("day")).withWatermark("seen_at", f"{late_days} days")
+
+    def out(key, held: dict, fate: str) -> pd.DataFrame:
+        return pd.DataFrame([[*key, *(held[c] for c in _FIELDS[:-1]), fate]], columns=["id", *_FIELDS[:-1], "fate"])
+
+    def step(key, frames, state: GroupState):
+        held = dict(zip(_FIELDS, state.get, strict=True)) if state.exists else None
+        today = dt.date(1970, 1, 1) + dt.timedelta(milliseconds=max(state.getCurrentWatermarkMs(), 0))
+        bury = dict.fromkeys(_FIELDS) | {"grave": True}
+        changed = held if held is not None and not held["grave"] else None
+        fate = None
+        if changed is not None and _ends(held, days) <= today:
+            fate = DROPPED if held["published"] is None or held["date_evidence"] == "recent_first_seen" else BURIED
+            held = None if fate == DROPPED else bury
+        if not state.hasTimedOut:
+            arrived = pd.concat(list(frames)).astype(object)
+            arrived = arrived.where(arrived.notna(), None).sort_values(["grave", "seq"], kind="stable")
+            for row in arrived.itertuples(index=False):
+                if row.grave:
+                    fate, held = BURIED, bury
+                elif held is None or not held["grave"]:
+                    held = _merge(held, row)
+                    changed, fate = held, KEPT
+        if held is None:
+            state.remove()
+        else:
+            state.update(tuple(held[c] for c in _FIELDS))
+            if not held["grave"]:
+                end = dt.datetime.combine(_ends(held, days), dt.time(), dt.timezone.utc)
+                state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        if fate is not None and (changed is not None or fate == BURIED):
+            yield out(key, changed or bury, fate)
+
+    schema = "id string, " + HELD.removesuffix(", grave boolean") + ", fate string"
+    return rows.groupBy("id").applyInPandasWithState(step, schema, HELD, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def logged(changes: DataFrame, log: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Writes each batch's changes to its own folder; a batch that is run again rewrites its folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    return changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def candidate_table(spark: SparkSession, log: str) -> DataFrame:
+    """The candidates as the logged changes leave them: the latest change of each id, if it keeps it."""
+    rows = spark.read.schema("id string, " + HELD.removesuffix(", grave boolean") + ", fate string, batch long").parquet(log)
+    fields = [c for c in rows.columns if c not in ("id", "batch")]
+    latest = rows.groupBy("id").agg(F.max_by(F.struct(*fields), "batch").alias("r")).select("id", "r.*")
+    return latest.filter(F.col("fate") == KEPT).drop("fate")
