@@ -138,7 +138,8 @@ def expiring_candidates(observed: DataFrame, graves: DataFrame, days: int, late_
             state.update(tuple(held[c] for c in _FIELDS))
             if not held["grave"]:
                 end = dt.datetime.combine(_ends(held, days), dt.time(), dt.timezone.utc)
-                state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+                # a timer goes off once the watermark has passed it
+                state.setTimeoutTimestamp(max(int(end.timestamp() * 1000) - 1, state.getCurrentWatermarkMs() + 1))
         if fate is not None and (changed is not None or fate == BURIED):
             yield out(key, changed or bury, fate)
 
