@@ -200,13 +200,17 @@ def query_calendar(days: DataFrame, rules: DataFrame, topics: dict[str, str], fi
 
 
 def site_calendar(days: DataFrame, sites: DataFrame, limit: int = 4) -> DataFrame:
-    """Sites to search on a day: the rotation group of the day's number, official sources first."""
+    """Sites to search on a day: the rotation group of the day's number, official sources first.
+
+    Only a group's first ``limit`` sites are ranked, once for all days; all others of the group are deferred.
+    """
     turn = days.select("day", (dates.ordinal(F.col("day")) % 2).cast("int").alias("rotation_group"))
-    w = Window.partitionBy("day").orderBy(F.desc("official"), "position")
-    return (
-        turn.join(sites, "rotation_group").withColumn("n", F.row_number().over(w))
-        .withColumn("status", F.when(F.col("n") <= limit, F.lit("scheduled")).otherwise(F.lit("deferred"))).drop("n")
-    )
+    w = Window.partitionBy("rotation_group").orderBy(F.desc("official"), "position")
+    leading = sites.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit).select("rotation_group", "position", F.lit(True).alias("_due"))
+    # a handful of rows for each of the two groups
+    marked = sites.join(F.broadcast(leading), ["rotation_group", "position"], "left")
+    status = F.when(F.col("_due"), F.lit("scheduled")).otherwise(F.lit("deferred"))
+    return marked.withColumn("status", status).drop("_due").join(turn, "rotation_group")
 
 
 def widened_search(rows: DataFrame, group: list[str], enough: int = 2, widen: int = 2) -> DataFrame:

@@ -356,6 +356,17 @@ def search_articles(spark, sf_dir):
     return payloads.search_articles(search_rows(spark, sf_dir), ["doc_id"]).drop("summary")
 
 
+@query(
+    "distinct_links",
+    with_sql(ARTICLES)
+    + """SELECT link, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM (
+      SELECT doc_id, source, CASE WHEN doc_id % 13 = 0 THEN 'https://www.oed.com/view' ELSE url END AS link FROM articles) GROUP BY link""",
+)
+def distinct_links(spark, sf_dir):
+    """The first hit of every address among all search results."""
+    return payloads.distinct_links(search_rows(spark, sf_dir).select("link", "doc_id", "source"), "link", "doc_id")
+
+
 @query(
     "unwrapped_news",
     with_sql(ARTICLES)

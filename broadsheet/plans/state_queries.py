@@ -395,3 +395,29 @@ def candidate_union(spark, sf_dir):
         rows.filter("published >= '2024-02-01'"), rows.filter("published IS NULL"), ledger.recent_articles(rows, _today(), 30)
     )
     return union.select("provenance", "doc_id")
+
+
+@query(
+    "recent_history",
+    with_sql(ARTICLES) + "SELECT doc_id, seen_day AS day, category FROM articles WHERE seen_day >= DATE '2024-03-20' - 60 OR category = '政策'",
+)
+def recent_history(spark, sf_dir):
+    """Sent items that still count on a day: those of the history window, and policies for ever."""
+    sent = articles(spark, sf_dir).select("doc_id", F.col("seen_day").alias("day"), "category")
+    return ledger.recent_history(sent, F.to_date(F.lit("2024-03-20")))
+
+
+@query(
+    "new_editions",
+    with_sql(ARTICLES)
+    + """, editions AS (SELECT DISTINCT seen_day AS edition_day, title AS body FROM articles),
+      held AS (SELECT DISTINCT seen_day, title FROM articles WHERE doc_id % 4 < 2)
+    SELECT edition_day, sha256(body) AS body FROM editions e WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.seen_day = e.edition_day AND h.title = e.body)""",
+)
+def new_editions(spark, sf_dir):
+    """Editions not handed over before; half of them are sent or pending, an eighth failed and may go again."""
+    rows = articles(spark, sf_dir).select("doc_id", F.col("seen_day").alias("edition_day"), F.col("title").alias("body"))
+    status = F.when(F.col("doc_id") % 4 == 0, F.lit("sent")).when(F.col("doc_id") % 4 == 1, F.lit("pending")).when(F.col("doc_id") % 8 == 2, F.lit("failed"))
+    key = F.concat(F.col("edition_day").cast("string"), F.lit(":"), text.digest(F.col("body")))
+    handed = rows.select(key.alias("delivery_key"), status.alias("status")).filter("status is not null")
+    return ledger.new_editions(rows.select("edition_day", "body").distinct(), handed).select("edition_day", F.sha2("body", 256).alias("body"))

@@ -34,11 +34,10 @@ def account_articles(payloads: DataFrame, keep: list[str]) -> DataFrame:
     ).filter("title != '' AND url != '' AND published_at IS NOT NULL")
 
 
-def distinct_links(rows: DataFrame, key: str, order: str, limit: int | None = None) -> DataFrame:
-    """Rows with the first occurrence of every link; optionally only the first links of the table."""
+def distinct_links(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows with the first occurrence of every link."""
     first = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r"))
-    out = first.select(key, "r.*")
-    return out if limit is None else out.orderBy(order).limit(limit)
+    return first.select(key, "r.*")
 
 
 def policy_list(payloads: DataFrame, keep: list[str], per_payload: int = 100) -> DataFrame:
