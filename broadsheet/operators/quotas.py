@@ -103,10 +103,10 @@ def greedy_in_order(rows: DataFrame, keys: list[str], limit: int, relaxed: int,
 
     found = None
     while True:
-        w = Window.partitionBy(*EDITION).orderBy(*_order(names))
-        # One row beyond the chunk only tells that more are waiting.
-        head = pending.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= CHUNK + 1)
-        head = head.select(*EDITION, "id", "category", "companies", "n")
+        w = Window.partitionBy(*EDITION).orderBy(*_order([*names, "id"]))
+        # One row beyond the chunk only tells that more are waiting. Only these leading rows are ever ranked.
+        leading = pending.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= CHUNK + 1)
+        head = leading.select(*EDITION, "id", "category", "companies", "n")
         step = cut(
             head.groupBy(*EDITION)
             .cogroup(taken.groupBy(*EDITION))
@@ -118,8 +118,10 @@ def greedy_in_order(rows: DataFrame, keys: list[str], limit: int, relaxed: int,
         if open_editions.isEmpty():
             return found
         taken = taken.unionByName(fresh.drop("place"))
-        ranked = pending.withColumn("n", F.row_number().over(w)).filter(F.col("n") > CHUNK + 1).drop("n")
-        pending = cut(ranked.join(open_editions, EDITION, "left_semi"))
+        # the key of the last row handed over is the threshold for the next round: one row for each open edition
+        place = F.struct(*names, "id")
+        last = leading.filter(F.col("n") == CHUNK + 1).select(*EDITION, place.alias("_last")).join(open_editions, EDITION, "left_semi")
+        pending = cut(pending.join(cut(last), EDITION).filter(place < F.col("_last")).drop("_last"))
 
 
 def shortlist(rows: DataFrame, keys: list[str], caps: dict = DEFAULT_CAPS) -> DataFrame:
