@@ -1,16 +1,20 @@
 """Quality rules with thresholds learnt from the corpus, in DataFrame functions only.
 
-Each text is measured once. Per language and source, per language and over all rows a mergeable quantile sketch of every
-measure (percentile_approx, a Greenwald-Khanna summary that partial aggregates merge, so a hot group is summarised before
-the shuffle) gives the quartiles; a text fails where a measure lies beyond the quartile by more than `reach` interquartile
-ranges and by more than the measure's `least` distance, which keeps groups that hardly vary from rejecting harmless texts.
-The tightest of the three limits holds, so a group that is mostly junk does not excuse itself; a group or language of
-fewer than `enough` rows says nothing of its own. Measures that differ from language to language (`own`) leave out the
-limit over all rows, except where the language has too few rows. Limits are joined back by language and source. A fixed
-floor (too few words, too much repetition) fails whatever the group.
-
-Defined cases: a null or empty text has no words and fails; null language or source is a group of its own; repeated rows
-are judged each; no rows give no rows; other columns are ignored.
+Each text is measured once. One rolled-up aggregation makes, per language and source, per language and over all rows, a
+mergeable quantile sketch of every measure (percentile_approx, a Greenwald-Khanna summary that partial aggregates merge,
+so a hot group is summarised before the shuffle). A level's limit is read from its sketch: of the quantiles above the
+median, the cut that separates them best (largest variance between the two sides), if the sides' means lie more than
+`reach` deviations of the near side apart, so that there are two kinds of texts and not one long tail; otherwise the upper
+quartile and `reach` interquartile ranges; a measure that does not vary at all says nothing. No limit is a constant.
+
+A group's limit is drawn towards its language's, and that towards the corpus's, by row count (`enough` rows weigh as much
+as the wider level), so small groups borrow and large ones decide: a source with other habits gets other limits. A source
+that is junk for the most part is judged by its own habits too, but for the fixed floor. `events` occurrences never fail a
+text, however short it is. Limits are joined back by language and source. The fixed floor (too few words, too much
+repetition) fails whatever the group.
+
+Defined cases: a null or empty text has no words and fails; null language or source is a group of its own; a very long
+text is measured whole inside its row; repeated rows are judged each; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,25 +31,28 @@ NO_SPACE = r"[^\x20\x09-\x0D]"
 WINDOW = 8
 
 
+#: The sketch is read at i / GRID for i from 1 to GRID.
+GRID = 200
+
+
 @dataclass(frozen=True)
 class Measure:
-    """`least`: distance from the quartile that a text must exceed before it can fail; `low`: too little fails as well;
-    `own`: what is usual depends on the language."""
+    """`count`: the occurrences behind the value, if it counts any; `low`: too little fails as well."""
 
     name: str
     value: Column
-    least: float
+    count: str | None = None
     low: bool = False
-    own: bool = False
 
 
 def measures() -> list[Measure]:
+    """Shares of counts are taken by their square roots, whose spread does not grow with the share."""
     words = F.greatest(F.col("n_words"), F.lit(1))
     return [
-        Measure("symbol_ratio", F.col("n_symbols") / words, 0.25),
-        Measure("dup_line_ratio", F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.5),
-        Measure("repeat_ratio", F.col("n_repeat_words") / words, 0.5),
-        Measure("word_length", F.col("word_chars") / words, 4.0, low=True, own=True),
+        Measure("symbol_level", F.sqrt(F.col("n_symbols") / words), "n_symbols"),
+        Measure("dup_line_level", F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))), "n_dup_lines"),
+        Measure("repeat_level", F.sqrt(F.col("n_repeat_words") / words), "n_repeat_words"),
+        Measure("word_length", F.col("word_chars") / words, low=True),
     ]
 
 
@@ -87,39 +94,68 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return again.withColumn("n_repeat_words", F.when(F.col("numbered").isNull(), F.lit(0)).otherwise(covered).cast("long")).drop("windows", "numbered")
 
 
-def limits(measured: DataFrame, keys: list[str], reach: float, accuracy: int) -> DataFrame:
-    """Per combination of keys the number of rows and each measure's limits, named <measure>_high and <measure>_low."""
-    sketches = measured.groupBy(*keys).agg(
-        F.count("*").alias("n"), *[F.percentile_approx(m.value, F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy)).alias(m.name) for m in measures()]
+def split(values: Column, reach: float) -> Column:
+    """The cut of an ascending array that separates its two sides best; null if they are not `reach` deviations apart."""
+    size = F.size(values)
+
+    def moments(part: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+        return F.aggregate(part, zero, lambda a, x: F.struct((a["n"] + 1).alias("n"), (a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
+
+    def cut_at(k: Column) -> Column:
+        near, far = moments(F.slice(values, 1, k)), moments(F.slice(values, k + 1, size - k))
+        mean, apart = near["s"] / near["n"], far["s"] / far["n"] - near["s"] / near["n"]
+        spread = F.sqrt(F.greatest(near["q"] / near["n"] - mean * mean, F.lit(0.0)))
+        return F.struct(
+            (near["n"] * far["n"] * apart * apart).alias("between"),
+            ((F.get(values, k - 1) + F.get(values, k)) / 2).alias("at"),
+            (apart > spread * reach).alias("clear"),
+        )
+
+    places = F.filter(F.sequence(F.lit(1), size - 1), lambda k: F.get(values, k - 1) < F.get(values, k))
+    best = F.array_max(F.transform(places, cut_at))
+    return F.when(best["clear"], best["at"])
+
+
+def level_limits(measured: DataFrame, reach: float, accuracy: int) -> DataFrame:
+    """lang, source, level (0 group, 1 language, 3 corpus), n, and each measure's own limits <measure>_high and <measure>_low."""
+    points = F.array(*[F.lit(i / GRID) for i in range(1, GRID + 1)])
+    sketches = measured.rollup("lang", "source").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("n"), *[F.percentile_approx(m.value, points, F.lit(accuracy)).alias(m.name) for m in measures()]
     )
+    half, quarter = GRID // 2, GRID // 4
     bounds = []
     for m in measures():
-        q1, q3 = F.col(m.name)[0], F.col(m.name)[1]
-        slack = F.greatest((q3 - q1) * reach, F.lit(m.least))
-        bounds.append((q3 + slack).alias(f"{m.name}_high"))
+        q = F.col(m.name)
+        q1, q3 = F.get(q, F.lit(quarter - 1)), F.get(q, F.lit(3 * quarter - 1))
+        slack = F.when(q3 > q1, (q3 - q1) * reach)
+        bounds.append(F.coalesce(split(F.slice(q, half, GRID - half + 1), reach), q3 + slack).alias(f"{m.name}_high"))
         if m.low:
-            bounds.append((q1 - slack).alias(f"{m.name}_low"))
-    return sketches.select(*keys, "n", *bounds)
+            mirrored = F.transform(F.reverse(F.slice(q, 1, half)), lambda x: -x)
+            bounds.append(F.coalesce(-split(mirrored, reach), q1 - slack).alias(f"{m.name}_low"))
+    return sketches.select("lang", "source", "level", "n", *bounds)
+
+
+def thresholds(measured: DataFrame, reach: float = 8.0, accuracy: int = 1000, enough: int = 20) -> DataFrame:
+    """Per language and source: the highest and, where that counts, the lowest allowed value of each measure; null: none."""
+    levels = cut(level_limits(measured, reach, accuracy))
+    group, lang = levels.filter("level = 0").alias("g"), levels.filter("level = 1").alias("l")
+    every = levels.filter("level = 3").first()  # one row
+    joined = group.join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang")))
 
+    def drawn(level: str, name: str, wider: Column) -> Column:
+        own, n = F.col(f"{level}.{name}"), F.col(f"{level}.n")
+        return F.coalesce((own * n + wider * enough) / (n + enough), F.when(n >= enough, own), wider)
 
-def thresholds(measured: DataFrame, reach: float = 6.0, accuracy: int = 1000, enough: int = 20) -> DataFrame:
-    """Per language and source: the highest and, where that counts, the lowest allowed value of each measure."""
-    group = limits(measured, ["lang", "source"], reach, accuracy).alias("g")
-    lang = limits(measured, ["lang"], reach, accuracy).alias("l")
-    every = limits(measured, [], reach, accuracy).alias("e")
-    joined = group.join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang"))).crossJoin(every)
-    group_counts, lang_counts = F.col("g.n") >= enough, F.col("l.n") >= enough
     bounds = []
     for m in measures():
-        for side, tightest in (("high", F.least), ("low", F.greatest)) if m.low else (("high", F.least),):
-            name = f"{m.name}_{side}"
-            wide = F.when(~lang_counts, F.col(f"e.{name}")) if m.own else F.col(f"e.{name}")
-            # nulls, of levels that say nothing, are left out of the comparison
-            bounds.append(tightest(F.when(group_counts, F.col(f"g.{name}")), F.when(lang_counts, F.col(f"l.{name}")), wide).alias(name))
+        for name in (f"{m.name}_high", f"{m.name}_low") if m.low else (f"{m.name}_high",):
+            corpus = F.lit(every[name] if every else None).cast("double")
+            bounds.append(drawn("g", name, drawn("l", name, corpus)).alias(name))
     return joined.select(F.col("g.lang").alias("t_lang"), F.col("g.source").alias("t_source"), *bounds)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat_pct: int = 30, reach: float = 6.0) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_words: int = 20, max_repeat_pct: int = 30, reach: float = 8.0, events: int = 2) -> DataFrame:
     """The counts of every text, base_failed, the measures it failed, and kept."""
     measured = cut(text_measures(docs, id_col, text_col, lang_col, source_col))
     bounds = thresholds(measured, reach)
@@ -127,6 +163,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = []
     for m in measures():
         beyond = m.value > F.col(f"{m.name}_high")
+        if m.count:
+            beyond = beyond & (F.col(m.count) > events)
         if m.low:
             beyond = beyond | (m.value < F.col(f"{m.name}_low"))
         failed.append(F.when(beyond, F.lit(m.name)))
