@@ -6,10 +6,13 @@ least squares so that the expected tokens of each domain (posterior x tokens x r
 documents) come in the target shares. Documents in the same buckets have the same posterior and so the same rate: the
 fit runs on one row per bucket combination, which one aggregation over the documents makes.
 
-Of all rates with the least squared misses those nearest to the starting rate are taken. They are the starting rate plus a
-weighted sum of a document's posteriors, cut at the bounds, so only a weight per domain is sought: by Newton steps on the
-convex dual, each a Spark aggregation whose one row (sums per domain and pair of domains) comes to the driver. It ends
-where the gradient vanishes; misses are left only where the rates' bounds hold them.
+The fit is an accelerated projected gradient descent on the rates: each step moves a rate against the gradient, scaled by
+what its posteriors' domains ask for (goal squared over supply, which makes the domains equally steep), and projects it
+onto the bounds. The gradient with respect to a document is its posteriors' product with one number per domain, so a step
+is one Spark aggregation whose row (a sum per domain, and the length of the projected step) comes to the driver, and the
+whole descent is told by those few numbers: a row's rate is the fold of the steps over its posteriors, an expression
+that needs no join and no table of rates. Momentum restarts when the misses grow. It starts from an even rate and ends
+when every miss is small or the projected step vanishes; misses are left only where the bounds hold them.
 
 The caller names the total as a multiple of the table's tokens. Without `max_rate` scarce domains are met by rates above
 one. With it, a domain that holds less than its share of the total stays below its target, which `Fit.targets` says; if no
@@ -24,8 +27,7 @@ document labelled more than once teaches once for each label row; null ids are n
 from __future__ import annotations
 
 import math
-import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -36,9 +38,6 @@ from broadsheet.session import cut
 #: Shares of all tokens wanted of the domains that `label_domain` names.
 TARGETS = {"en": 0.63, "de": 0.13, "fr": 0.14, "es": 0.09, "junk": 0.01}
 
-#: Weight of the distance from the starting rate; it only chooses among rates with about the same misses.
-NEAREST = 1e-4
-
 
 def label_domain(quality: Column, lang: Column) -> Column:
     """Domain of a labelled row: its language, or junk if it is rated bad; null where the rating is unknown."""
@@ -82,16 +81,18 @@ def bucketed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "tokens", *[f.bucket() for f in features()])
 
 
-def posteriors(cells: DataFrame, labelled: DataFrame, domains: list[str], smoothing: float = 1.0) -> DataFrame:
-    """Adds p, an array of posteriors in the order of the domains, to rows with buckets.
-
-    The counts come from an aggregation of all labelled rows; the model has domains x measures x buckets numbers.
-    """
+def bucket_counts(labelled: DataFrame) -> dict[tuple[str, int, int], int]:
+    """Labelled rows by domain, measure and bucket: one aggregation, whose rows are domains x measures x buckets."""
     named = features()
     longs = labelled.select(
         "domain", F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f.name).alias("bucket")) for i, f in enumerate(named)])).alias("x")
     )
-    counts = {(r["domain"], r["feature"], r["bucket"]): r["n"] for r in longs.groupBy("domain", "x.feature", "x.bucket").agg(F.count("*").alias("n")).collect()}
+    return {(r["domain"], r["feature"], r["bucket"]): r["n"] for r in longs.groupBy("domain", "x.feature", "x.bucket").agg(F.count("*").alias("n")).collect()}
+
+
+def posteriors(cells: DataFrame, counts: dict[tuple[str, int, int], int], domains: list[str], smoothing: float = 1.0) -> DataFrame:
+    """Adds p, an array of posteriors in the order of the domains, to rows with buckets."""
+    named = features()
     total = {d: sum(n for (e, i, _), n in counts.items() if e == d and i == 0) for d in domains}
     everything = sum(total.values())
     logs = []
@@ -119,18 +120,52 @@ class Target:
     met: bool
 
 
+@dataclass(frozen=True)
+class Descent:
+    """Start, bounds, the domains' scaling and, per step, a number per domain and the momentum after it."""
+
+    start: float
+    bound: float
+    ask: list[float] = field(default_factory=list)
+    steps: list[tuple[list[float], float]] = field(default_factory=list)
+
+    def pull(self, p: Column) -> Column:
+        return sum((p[k] * F.lit(float(a)) for k, a in enumerate(self.ask)), F.lit(0.0))
+
+    def fold(self, p: Column) -> Column:
+        """The rate after all steps and the last projected step's length, of a row with posteriors p."""
+        told = ", ".join(f"named_struct('u', array({', '.join(f'{float(v)!r}D' for v in u)}), 'beta', {float(beta)!r}D)" for u, beta in self.steps)
+        table = F.expr(f"array({told})")
+        n = len(self.ask)
+
+        def step(acc: Column, x: Column) -> Column:
+            against = sum((p[k] * x["u"][k] for k in range(n)), F.lit(0.0))
+            raised = acc["ahead"] - acc["pull"] * against
+            rate = F.least(F.greatest(raised, F.lit(0.0)), F.lit(float(self.bound)))
+            return F.struct(
+                rate.alias("rate"), (rate + x["beta"] * (rate - acc["rate"])).alias("ahead"), (rate - acc["ahead"]).alias("move"), acc["pull"].alias("pull")
+            )
+
+        first = F.lit(float(self.start))
+        return F.aggregate(table, F.struct(first.alias("rate"), first.alias("ahead"), F.lit(0.0).alias("move"), self.pull(p).alias("pull")), step)
+
+    def rate(self, p: Column) -> Column:
+        return self.fold(p)["rate"] if self.steps else F.lit(float(self.start))
+
+
 @dataclass(frozen=True)
 class Fit:
     rates: DataFrame
     targets: list[Target]
+    path: Descent
 
 
-def fit_rates(cells: DataFrame, targets: dict[str, float], max_rate: float | None = 1.0, steps: int = 100, tolerance: float = 0.01, total: float | None = None) -> DataFrame:
+def fit_rates(cells: DataFrame, targets: dict[str, float], max_rate: float | None = 1.0, steps: int = 400, tolerance: float = 0.01, total: float | None = None) -> DataFrame:
     """Adds the rate to rows with p and tokens; minimises the squared relative misses of the domains' expected tokens."""
     return fitted(cells, targets, max_rate, steps, tolerance, total).rates
 
 
-def fitted(cells: DataFrame, targets: dict[str, float], max_rate: float | None = 1.0, steps: int = 100, tolerance: float = 0.01, total: float | None = None) -> Fit:
+def fitted(cells: DataFrame, targets: dict[str, float], max_rate: float | None = 1.0, steps: int = 400, tolerance: float = 0.01, total: float | None = None) -> Fit:
     """The rates, and what they reach of each target. `total`: wanted tokens as a multiple of all tokens."""
     domains, bound = list(targets), math.inf if max_rate is None else float(max_rate)
     share = [targets[d] / sum(targets.values()) for d in domains]
@@ -150,62 +185,47 @@ def fitted(cells: DataFrame, targets: dict[str, float], max_rate: float | None =
     else:
         wanted = min((bound * s / w for s, w in zip(supply, share, strict=True) if s > 0 and w > 0), default=0.0)
     goal = [wanted * w for w in share]
-    if wanted > 0:
-        weights = _weights(cells, goal, [g if g > 0 else wanted for g in goal], start, bound, whole, steps, tolerance)
-        cells = cells.withColumn("rate", _bounded(_level(weights, start), bound))
-    else:
-        cells = cells.withColumn("rate", F.lit(start))
+    path = _descent(cells, goal, [g if g > 0 else wanted for g in goal], supply, start, bound, steps, tolerance) if wanted > 0 else Descent(start, bound)
+    cells = cells.withColumn("rate", path.rate(F.col("p")))
     got = sums(tokens * F.col("rate"))
     met = [abs(x - g) <= tolerance * (g if g > 0 else wanted) for x, g in zip(got, goal, strict=True)]
-    return Fit(cells, [Target(*x) for x in zip(domains, supply, goal, got, met, strict=True)])
+    return Fit(cells, [Target(*x) for x in zip(domains, supply, goal, got, met, strict=True)], path)
 
 
-def _level(weights: list[float], start: float) -> Column:
-    return sum((F.col("p")[k] * F.lit(float(m)) for k, m in enumerate(weights)), F.lit(float(start)))
-
-
-def _bounded(level: Column, bound: float) -> Column:
-    """The level within [0, bound]; an infinite bound leaves the upper side open."""
-    return F.least(F.greatest(level, F.lit(0.0)), F.lit(float(bound)))
-
-
-def _weights(cells: DataFrame, goal: list[float], scale: list[float], start: float, bound: float, whole: float, steps: int, tolerance: float) -> list[float]:
-    """The domains' weights with the least squared misses, `NEAREST` times the squared distance from the start added."""
-    n = len(goal)
+def _descent(cells: DataFrame, goal: list[float], scale: list[float], supply: list[float], start: float, bound: float, steps: int, tolerance: float) -> Descent:
+    """Projected gradient steps that minimise the sum over domains of (misses / scale) squared."""
+    n, g, s = len(goal), np.array(goal), np.array(scale)
+    p, t = [F.col("p")[k] for k in range(n)], F.col("tokens").cast("double")
     pairs = [(k, j) for k in range(n) for j in range(k + 1)]
-    g, own = np.array(goal), NEAREST * np.array(scale) ** 2 / whole
-
-    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Value, gradient and curvature of the dual."""
-        rows = cells.select("p", F.col("tokens").cast("double").alias("t"), _level(m, start).alias("x"))
-        rows = rows.select("p", "t", "x", _bounded(F.col("x"), bound).alias("r"))
-        # cells on a bound count as free, so that the first step has a curvature
-        rows = rows.withColumn("free", F.when((F.col("x") >= 0) & (F.col("x") <= F.lit(float(bound))), F.col("t")).otherwise(0.0))
-        value = F.sum(F.col("t") * F.col("r") * (F.col("x") - F.col("r") / 2))
-        p = [F.col("p")[k] for k in range(n)]
-        row = rows.agg(value, *[F.sum(p[k] * F.col("t") * F.col("r")) for k in range(n)], *[F.sum(p[k] * p[j] * F.col("free")) for k, j in pairs]).first()
-        curve = np.diag(own)
-        for (k, j), x in zip(pairs, row[1 + n :], strict=True):
-            curve[k, j] += x
-            if k != j:
-                curve[j, k] += x
-        return row[0] - g @ m + own @ m**2 / 2, np.array(row[1 : 1 + n]) - g + own * m, curve
-
-    m = np.zeros(n)
-    value, slope, curve = at(m)
+    # what a domain asks of its documents; one without tokens moves nothing
+    own = np.array([float(x or 0.0) for x in cells.agg(*[F.sum(t * p[k] * p[k]) for k in range(n)]).first()])
+    ask = np.where(own > 0, s**2 / np.maximum(own, 1e-300), 0.0)
+    path = Descent(start, bound, ask.tolist(), [])
+    pull = path.pull(F.col("p"))
+    row = cells.agg(*[F.sum(t * pull * p[k] * p[j]) for k, j in pairs]).first()
+    curve = np.zeros((n, n))
+    for (k, j), x in zip(pairs, row, strict=True):
+        curve[k, j] = curve[j, k] = float(x or 0.0) / (s[k] * s[j])
+    steep = max(float(np.linalg.eigvalsh(curve)[-1]), 1e-300)
+    here = there = np.array(supply) * start
+    value, speed = math.inf, 1.0
     for _ in range(steps):
-        if (np.abs(slope) < tolerance / 10 * np.array(scale)).all():
-            break
-        move, part = -np.linalg.solve(curve, slope), 1.0
-        tried = at(m + move)
-        rounding = 1e-11 * (abs(value) + abs(g) @ abs(m) + whole)
-        while tried[0] > value + 1e-4 * part * (slope @ move) + rounding and part > 1e-9:
-            part /= 4
-            tried = at(m + part * move)
-        m, (value, slope, curve) = m + part * move, tried
-    else:
-        warnings.warn(f"mixing: no solution within {steps} steps", RuntimeWarning, stacklevel=2)
-    return m.tolist()
+        path.steps.append((((there - g) / s**2 / steep).tolist(), 0.0))
+        at = path.fold(F.col("p"))
+        moves = cells.select("p", t.alias("tokens"), at.alias("x")).select("p", "tokens", F.col("x")["rate"].alias("rate"), F.col("x")["move"].alias("move"))
+        row = moves.agg(F.sum(F.col("tokens") * F.abs("move")), F.sum("tokens"), *[F.sum(F.col("tokens") * p[k] * F.col("rate")) for k in range(n)]).first()
+        new = np.array([float(x or 0.0) for x in row[2:]])
+        misses = (new - g) / s
+        if (np.abs(misses) <= tolerance / 10).all() or float(row[0]) <= tolerance * 1e-3 * float(row[1]) * max(start, float(g.sum()) / float(row[1])):
+            return path
+        if misses @ misses > value:
+            beta, speed = 0.0, 1.0
+        else:
+            faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+            beta, speed = (speed - 1) / faster, faster
+        path.steps[-1] = (path.steps[-1][0], beta)
+        value, there, here = misses @ misses, new + beta * (new - here), new
+    raise RuntimeError(f"mixing: the projected step did not vanish within {steps} steps")
 
 
 def mix(
@@ -237,10 +257,11 @@ def mixed(
     rows = cut(bucketed(docs, id_col, text_col))
     known = labels.filter(F.col("domain").isin(domains)).select(F.col("doc_id").alias("l_id"), "domain")
     labelled = rows.join(known, F.col("doc_id") == F.col("l_id")).select("domain", *names)
-    cells = posteriors(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), labelled, domains)
+    counts = bucket_counts(labelled)
+    cells = posteriors(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), counts, domains)
     fit = fitted(cut(cells), targets, max_rate, total=total)
-    out = rows.join(fit.rates.select(*names, "p", "rate"), names)
-    return Fit(out.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], "rate"), fit.targets)
+    out = posteriors(rows, counts, domains).withColumn("rate", fit.path.rate(F.col("p")))
+    return Fit(out.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], "rate"), fit.targets, fit.path)
 
 
 def copies(key: Column, rate: Column) -> Column:
