@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,6 +385,23 @@ def test_mixing_of_scarce_domains(spark):
     assert below == pytest.approx(0.13, rel=0.01) and above == pytest.approx(0.13, rel=0.01)  # no jump at half a share
 
 
+def test_mixing_solves_the_bounded_least_squares(spark):
+    rng = np.random.default_rng(4)
+    p, t = rng.dirichlet([0.4] * 3, size=30), rng.integers(0, 90, size=30)
+    cells = spark.createDataFrame([([float(x) for x in row], int(n)) for row, n in zip(p, t, strict=True)], "p array<double>, tokens long")
+    for targets, total in [({"a": 5, "b": 3, "c": 2}, 0.9)]:
+        goal = np.array(list(targets.values())) / 10 * total * t.sum()
+        a, rates = (p * t[:, None] / goal).T, np.ones(30)
+        for _ in range(300):  # coordinate descent, a rate at a time
+            for i in np.flatnonzero(t):
+                rest = 1 - a @ rates + a[:, i] * rates[i]
+                rates[i] = np.clip(a[:, i] @ rest / (a[:, i] @ a[:, i]), 0, 1)
+        fit = mixing.fitted(cells, targets, max_rate=1.0, total=total)
+        got = np.array([x.reached for x in fit.targets])
+        assert np.abs(got / goal - a @ rates).max() < 0.01
+        assert all(0 <= r["rate"] <= 1 for r in fit.rates.collect())
+
+
 # packing
 
 
