@@ -3,16 +3,18 @@
 A vector's components become floor(scale * x), and a score is the integer inner product with the anchor. Scores are
 computed as matrix products modulo several primes in single precision: residues lie between -p/2 and p/2 and the inner
 dimension is cut so that no sum reaches 2^24, which keeps every product exact; mixed-radix Chinese remaindering gives the
-signed score back. As many primes are taken as the longest vectors of a block ask for.
+signed score back. As many primes are taken as the longest vectors of a block ask for. Vectors whose integer components have
+a squared length of 2^56 or more are multiplied modulo 2^64 instead; double precision with a bound on its error tells which
+of those scores fit 64 bits, and the few it cannot tell are summed as Python integers.
 
 All rows meet all anchors in blocks of bounded size, twice: the first pass keeps the best positives of an anchor, the
 second, which knows their scores, the best negatives inside each positive's window. A task returns at most `positives`
 (times `negatives`) rows for an anchor, and windows over those choose the final ones, so no anchor's candidates are ever
 gathered. Blocks are dealt by a hash of the id, so neither labels nor equal vectors make one larger than others.
 
-Defined cases: rows without id, label or vector, with a null or non-finite component or an empty vector take no part, nor do
-vectors whose integer components have a squared length of 2^56 or more (their scores would leave 64 bits); vectors of
-different lengths have no score and never meet; of rows with the same id the smallest (label, vector) counts; ties go to
+Defined cases: rows without id, label or vector or with a null or non-finite component (also after scaling) take no part;
+a score that does not fit 64 bits is none, its two rows still meet all others; empty vectors score 0 with each other;
+vectors of different lengths have no score and never meet; of rows with the same id the smallest (label, vector) counts; ties go to
 the smaller id; an anchor with fewer partners gets fewer; no rows give no rows; other columns are ignored.
 """
 
@@ -85,15 +87,55 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(value > weight // 2, value - weight, value)
 
 
+def _wrapped(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in doubles, modulo 2^64."""
+    small = np.abs(x) < 2.0**62
+    out = np.where(small, x, 0).astype(np.int64)
+    out[~small] = [(int(v) + (1 << 63)) % (1 << 64) - (1 << 63) for v in x[~small]]
+    return out
+
+
+def long_scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of the rows of two matrices of whole doubles, exact where the second result, that they fit 64 bits, holds."""
+    values = _wrapped(a) @ _wrapped(b).T
+    with np.errstate(all="ignore"):
+        near, slack = a @ b.T, (np.abs(a) @ np.abs(b).T) * ((a.shape[1] + 8) * 2.0**-51)
+        fits = np.abs(near) + slack < 2.0**63
+        unsure = ~fits & ~(np.abs(near) - slack > 2.0**63)
+    for i, k in zip(*np.nonzero(unsure), strict=True):
+        exact = sum(int(x) * int(y) for x, y in zip(a[i], b[k], strict=True))
+        fits[i, k] = -(1 << 63) <= exact < 1 << 63
+    return values, fits
+
+
+def all_scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like long_scores; only what meets a long vector takes the slower way."""
+    with np.errstate(over="ignore"):
+        plain_a, plain_b = ((x**2).sum(1) < LONGEST for x in (a, b))
+    values, fits = np.zeros((len(a), len(b)), dtype=np.int64), np.ones((len(a), len(b)), dtype=bool)
+    values[np.ix_(plain_a, plain_b)] = scores(a[plain_a].astype(np.int64), b[plain_b].astype(np.int64))
+    for of_a, of_b in ((~plain_a, np.ones_like(plain_b)), (plain_a, ~plain_b)):
+        if of_a.any() and of_b.any():
+            values[np.ix_(of_a, of_b)], fits[np.ix_(of_a, of_b)] = long_scores(a[of_a], b[of_b])
+    return values, fits
+
+
 def _components(vector: list | None, scale: float) -> bytes | None:
-    if not vector or None in vector:
+    """Whole components, four bytes each, or as doubles if one needs more."""
+    if vector is None or None in vector:
+        return None
+    with np.errstate(over="ignore"):
+        x = np.floor(scale * np.array(vector, dtype=np.float64))
+    if not np.isfinite(x).all():
         return None
-    x = np.floor(scale * np.array(vector, dtype=np.float64))
-    return x.astype(np.int32).tobytes() if np.isfinite(x).all() and (x**2).sum() < LONGEST else None
+    return (x.astype(np.int32) if (np.abs(x) < 2.0**31).all() else x).tobytes()
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.int32).reshape(len(column), -1).astype(np.int64)
+def _matrix(column, dim: int) -> np.ndarray:
+    out = np.zeros((len(column), dim))
+    for i, v in enumerate(column):
+        out[i] = np.frombuffer(v, dtype=np.int32 if len(v) == 4 * dim else np.float64) if dim else 0.0
+    return out
 
 
 def _best(values: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
@@ -102,22 +144,24 @@ def _best(values: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
     if len(at) > k:
         least = np.partition(values[at], len(at) - k)[len(at) - k]
         at = at[values[at] >= least]
-    return at[np.argsort(-values[at], kind="stable")][:k]
+    return at[np.argsort(~values[at], kind="stable")][:k]
 
 
 def prepared(table: DataFrame, id_col: str, vec_col: str, label: Column, scale: float) -> DataFrame:
-    """id, label and integer components (4 bytes each) of the rows that take part."""
+    """id, label, integer components and their number of the rows that take part."""
     kind = type_of(table, id_col)
     rows = table.select(F.col(id_col).alias("id"), label.alias("label"), F.col(vec_col).cast("array<double>").alias("vector"))
+    rows = rows.withColumn("dim", F.size("vector"))
     rows = rows.filter("id is not null and label is not null and vector is not null")
 
     def run(batches):
         for batch in batches:
             vectors = [_components(v, scale) for v in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary())], ["id", "label", "v"])
+            columns = [batch.column(0), batch.column(1), pa.array(vectors, pa.binary()), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "v", "dim"])
 
-    whole = map_arrow(rows, run, f"id {kind}, label {rows.schema['label'].dataType.simpleString()}, v binary").filter("v is not null")
-    return whole.groupBy("id").agg(F.min(F.struct("label", "v")).alias("x")).select("id", "x.label", "x.v")
+    whole = map_arrow(rows, run, f"id {kind}, label {rows.schema['label'].dataType.simpleString()}, v binary, dim int").filter("v is not null")
+    return whole.groupBy("id").agg(F.min(F.struct("label", "v", "dim")).alias("x")).select("id", "x.label", "x.v", "x.dim")
 
 
 def mine(
@@ -138,7 +182,6 @@ def mine(
     `anchor` is a condition on the column `id`; negatives lie between least_percent of the positive's score and the score itself."""
     rows = cut(prepared(table, id_col, vec_col, F.col("label") if label is None else label, scale))
     kind, of = type_of(rows, "id"), type_of(rows, "label")
-    rows = rows.withColumn("dim", F.octet_length("v"))
     anchors = rows.filter(anchor)
     row_blocks = max(1, -(-rows.count() // row_block))
     anchor_blocks = max(1, -(-anchors.count() // anchor_block))
@@ -157,11 +200,12 @@ def mine(
             out: list[tuple] = []
             if len(members) and len(anchors):
                 members = members.sort_values("id", kind="stable")
-                ids, labels, m = members["id"].to_numpy(), members["label"].to_numpy(), _matrix(members["v"])
+                ids, labels, dim = members["id"].to_numpy(), members["label"].to_numpy(), int(members["dim"].iloc[0])
+                m = _matrix(members["v"], dim)
                 for at in range(0, len(anchors), 256):
                     part = anchors.iloc[at : at + 256]
-                    for row, values in zip(part.itertuples(index=False), scores(_matrix(part["v"]), m), strict=True):
-                        choose(row, ids, labels, values, out)
+                    for row, values, fits in zip(part.itertuples(index=False), *all_scores(_matrix(part["v"], dim), m), strict=True):
+                        choose(row, ids, labels, values, fits, out)
             names = [c.split()[0] for c in schema.split(", ")]
             columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
             kinds = {c: members["id"].dtype if c in ("anchor_id", "id", "positive_id") else "int64" for c in names}
@@ -170,13 +214,14 @@ def mine(
         sides = asked.withColumn("anchor_block", block("anchor", anchor_blocks)).withColumn("row_block", every(row_blocks))
         return dealt.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(run, schema)
 
-    def choose_positives(row, ids, labels, values, out):
-        for k in _best(values, (labels == row.label) & (ids != row.id), positives):
+    def choose_positives(row, ids, labels, values, fits, out):
+        for k in _best(values, fits & (labels == row.label) & (ids != row.id), positives):
             out.append((row.id, ids[k], values[k]))
 
-    def choose_negatives(row, ids, labels, values, out):
+    def choose_negatives(row, ids, labels, values, fits, out):
         for positive, score in zip(row.positive_ids, row.positive_scores, strict=True):
-            window = (labels != row.label) & (values <= score) & (100 * values >= least_percent * score)
+            least = -(-least_percent * int(score) // 100)  # of whole numbers; 100 times a score may leave 64 bits
+            window = fits & (labels != row.label) & (values <= score) & (values >= least)
             for k in _best(values, window, negatives):
                 out.append((row.id, positive, ids[k], score, values[k]))
 

@@ -245,3 +245,24 @@ def test_mining_against_plain_code(spark, row_block, anchor_block):
     assert sorted(tuple(r) for r in got.collect()) == plain_mine(rows, lambda i: i % 10 == 0)
     assert hard_negatives.mine(table.limit(0), F.col("id") % 10 == 0).count() == 0
     assert hard_negatives.mine(table, F.col("id") == 7777).count() == 0
+
+
+def test_long_vectors_are_mined_exactly(spark):
+    """Scores up to 64 bits; longer ones are none, without taking their rows out."""
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.integers(3)), [float(x) for x in rng.integers(-5, 200_000, 6) * 10.0 ** rng.integers(-1, 2, 6)]) for i in range(60)]
+    rows += [(60 + i, i % 2, [float(10**k), 0.0, 0.0, -1.0, float(-(10**k)), 3.5]) for i, k in enumerate((6, 9, 12, 15, 20, 200))]
+    rows += [(70 + i, i % 2, [0.0, 1.5, 0.0, 2.0, 0.0, float(i)]) for i in range(10)] + [(80 + i, i % 2, []) for i in range(8)]
+    whole = {i: (label, [int(np.floor(256.0 * x)) for x in v]) for i, label, v in rows}
+    want = []
+    for a in range(0, 90, 10):
+        if a in whole:
+            found = [(-sum(x * y for x, y in zip(whole[a][1], w, strict=True)), i, label) for i, (label, w) in whole.items() if i != a and len(w) == len(whole[a][1])]
+            found = sorted(x for x in found if -(1 << 63) <= -x[0] < 1 << 63)
+            for s, p, _ in [x for x in found if x[2] == whole[a][0]][:5]:
+                window = [x for x in found if x[2] != whole[a][0] and 80 * -s <= 100 * -x[0] <= 100 * -s][:5]
+                want += [(a, p, k + 1, n, -s, -t) for k, (t, n, _) in enumerate(window)]
+    assert max(abs(r[4]) for r in want) > 1 << 57 and any(r[0] >= 80 for r in want)
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = hard_negatives.mine(table.repartition(3), F.col("id") % 10 == 0, row_block=20, anchor_block=3)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
