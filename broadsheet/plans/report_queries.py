@@ -15,6 +15,9 @@ from broadsheet.plans.selection_queries import (
 from broadsheet.plans.tables import ARTICLES, ASSESSMENTS, articles, first_word, with_sql
 
 _STARS = """repeat('★', (h // 2)::INT) || CASE WHEN h % 2 = 1 THEN '☆' ELSE '' END"""
+# the line of the summary, which a title without a word does not have
+_WORD = r"regexp_extract(a.title, '(\p{L}{3,})', 1)"
+_FIRST_WORD = f"CASE WHEN {_WORD} = '' THEN '' WHEN length({_WORD}) <= 100 THEN {_WORD} || chr(10) ELSE left({_WORD}, 99) || '…' || chr(10) END"
 _ESCAPED = r"replace(regexp_replace(title, '([\\`*_\[\]<>])', '\\\1', 'g'), chr(10), ' ')"
 
 
@@ -24,7 +27,7 @@ _ESCAPED = r"replace(regexp_replace(title, '([\\`*_\[\]<>])', '\\\1', 'g'), chr(
     + f""", ranked AS (SELECT edition_day, profile_id, x.id AS id, x.category AS category, x.published AS published, greatest(0, least(10, floor(x.ranking / 10 + 0.5)))::INT AS h,
         row_number() OVER (PARTITION BY edition_day, profile_id ORDER BY x.ranking DESC, x.shortlist DESC, x.identity DESC) AS n FROM picks),
       blocks AS (SELECT r.edition_day, r.profile_id, n, '**' || n || '. [' || r.category || '] ' || {_ESCAPED} || '**' || chr(10) || '推荐指数：' || {_STARS} || chr(10)
-        || r.published || ' · ' || a.source || chr(10) || regexp_extract(a.title, '(\\p{{L}}{{3,}})', 1) || chr(10) || '（来源：' || a.source || '）[原文](' || a.url || ')' AS block
+        || r.published || ' · ' || a.source || chr(10) || {_FIRST_WORD} || '（来源：' || a.source || '）[原文](' || a.url || ')' AS block
         FROM ranked r JOIN articles a ON a.doc_id = r.id::BIGINT)
     SELECT edition_day, profile_id, 'Daily | ' || edition_day || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY n) AS body FROM blocks GROUP BY edition_day, profile_id""",
 )

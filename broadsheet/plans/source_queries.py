@@ -146,11 +146,21 @@ def _sql_entities(column: str) -> str:
     return column
 
 
+def _sql_references(column: str) -> str:
+    """Entities as an HTML parser reads them: those older than HTML 5 also without their semicolon."""
+    for name, value in (
+        ("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "''"), ("&apos;", "''"),
+        ("&middot;?", "·"), ("&copy;?", "©"), ("&hellip;", "…"), ("&amp;?", "&"),
+    ):
+        column = f"regexp_replace({column}, '{name}', '{value}', 'g')"
+    return column
+
+
 @query(
     "page_titles_bodies",
-    f"""SELECT page_id, trim(regexp_replace({_sql_entities("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS title,
+    f"""SELECT page_id, trim(regexp_replace({_sql_references("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS title,
       list_aggregate(list_concat(
-          list_filter(list_transform(string_split({_sql_entities("regexp_replace(" + _PAGE_BODY + ", '(?s)<[^>]*>', chr(10), 'g')")}, chr(10)), lambda s: trim(s)), lambda s: s <> ''),
+          list_filter(list_transform(string_split({_sql_references("regexp_replace(" + _PAGE_BODY + ", '(?s)<[^>]*>', chr(10), 'g')")}, chr(10)), lambda s: trim(s)), lambda s: s <> ''),
           [['nested', 'last'], ['nested', 'last'], []][page_id % 3 + 1]), 'string_agg', chr(10)) AS body,
       'no_date_hint' AS date_evidence FROM pages""",
 )
@@ -201,7 +211,7 @@ def page_dates(spark, sf_dir):
 @query(
     "product_page_texts",
     f"""SELECT page_id, coalesce(nullif(concat_ws(' ', nullif(t, ''), nullif(t, '')), ''), ' ') AS headings FROM (
-      SELECT page_id, trim({_sql_entities("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS t FROM pages)""",
+      SELECT page_id, trim({_sql_references("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}) AS t FROM pages)""",
 )
 def product_page_texts(spark, sf_dir):
     """Headings read from markup: the sample pages repeat their title as first heading."""
