@@ -19,6 +19,10 @@ are rarest among the titles of that day are asked for, so a phrase that many tit
 pass bounds on length, on the pieces' places and on the characters in common before their similarity is computed.
 Only titles of current representatives look for partners, and of those in one block a growing number per round,
 so a family of near copies costs about one comparison per member rather than one per pair.
+
+Step tables grow with the input, but their files are far smaller than their rows in memory (hashes repeat, letters are
+mostly zero), so Spark would take them for small and collect them in the driver to broadcast them. Joins of two such
+tables therefore ask for a sorted merge.
 """
 
 from __future__ import annotations
@@ -64,7 +68,7 @@ def _rarest(leaders: DataFrame, frequencies: DataFrame) -> DataFrame:
     leaders: kind, title_key, day, numbers. A title has few pieces, so ranking them is a small window."""
     pieces = F.regexp_extract_all("title_key", F.lit("(.{%d})" % PIECE), F.lit(1))
     rows = leaders.select("kind", "title_key", "day", "numbers", F.posexplode(pieces).alias("i", "piece"))
-    counted = rows.join(frequencies, ["piece", "day", "numbers"], "left")
+    counted = rows.join(frequencies.hint("merge"), ["piece", "day", "numbers"], "left")
     w = Window.partitionBy("kind").orderBy(F.coalesce("titles", F.lit(0)), "i")
     return counted.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= _budget(F.col("title_key"))).select(
         "kind", "title_key", "day", "numbers", "piece", (F.col("i") * PIECE).alias("at")
@@ -96,7 +100,7 @@ def candidate_pairs(leaders: DataFrame, titles: DataFrame, frequencies: DataFram
     )
     a, b = F.col("leader_length"), F.col("length")
     near = (F.least(a, b) * 2 >= (a + b) * fixed.TITLE_SIMILARITY) & (F.abs(F.col("at") - F.col("found_at")) <= F.ceil((a + b) * _LOOSE))
-    pairs = probe.join(offered, ["piece", "day", "numbers"]).filter((F.col("leader") != F.col("kind")) & near)
+    pairs = probe.join(offered.hint("merge"), ["piece", "day", "numbers"]).filter((F.col("leader") != F.col("kind")) & near)
     return pairs.select("leader", "kind").distinct()
 
 
@@ -106,8 +110,8 @@ def similar_titles(leaders: DataFrame, titles: DataFrame, frequencies: DataFrame
     Both sides: kind, title_key, day, numbers; titles also letters. The order of comparison is leader first.
     """
     asked = leaders.select(F.col("kind").alias("leader"), F.col("title_key").alias("a"), similarity.letters(F.col("title_key")).alias("letters_a"))
-    named = candidate_pairs(leaders, titles, frequencies).join(asked, "leader").join(
-        titles.select("kind", F.col("title_key").alias("b"), "letters"), "kind"
+    named = candidate_pairs(leaders, titles, frequencies).join(asked.hint("merge"), "leader").join(
+        titles.select("kind", F.col("title_key").alias("b"), "letters").hint("merge"), "kind"
     )
     whole = F.length("a") + F.length("b")
     possible = named.filter(2 * similarity.in_common(F.col("letters_a"), F.col("letters")) >= whole * fixed.TITLE_SIMILARITY)
@@ -121,7 +125,7 @@ def _segments(keys: DataFrame, assigned: DataFrame) -> DataFrame:
     A representative changes at most twice: when its first dated member fills a missing day, and when an
     official policy member takes over title and day.
     """
-    rows = keys.select("pos", "key", "title_key", "numbers", "day", "official", "policy").join(assigned, "pos")
+    rows = keys.select("pos", "key", "title_key", "numbers", "day", "official", "policy").join(assigned.hint("merge"), "pos")
     me = F.col("pos") == F.col("rep")
     name = F.struct("pos", "key", "numbers", "day")
     grouped = rows.groupBy("rep").agg(
@@ -197,7 +201,7 @@ def assign_representatives(items: DataFrame) -> DataFrame:
     addresses = keys.select("pos", F.explode("addresses").alias("address"))
 
     first = keys.groupBy("key").agg(F.min("pos").alias("rep"))
-    assigned = cut(keys.select("pos", "key").join(first, "key").select("pos", "rep"))
+    assigned = cut(keys.select("pos", "key").join(first.hint("merge"), "key").select("pos", "rep"))
     edges = spark.createDataFrame([], "leader string, kind string")
     expanded = spark.createDataFrame([], "kind string")
     leaders_per_block = LEADERS
@@ -207,8 +211,8 @@ def assign_representatives(items: DataFrame) -> DataFrame:
         wanted = (
             near_spans.groupBy(F.col("leader").alias("kind"))
             .agg(F.min("since").alias("since"), *[F.first(c).alias(c) for c in ("key", "day", "numbers")])
-            .join(names, "key")
-            .join(expanded, "kind", "left_anti")
+            .join(names.hint("merge"), "key")
+            .join(expanded.hint("merge"), "kind", "left_anti")
         )
         turn = cut(_turn(wanted, frequencies, leaders_per_block))
         asked = turn.filter("ready")
@@ -223,19 +227,19 @@ def assign_representatives(items: DataFrame) -> DataFrame:
         titled = spans.groupBy("rep", "key", F.col("titled_since").alias("since")).agg(
             F.max(F.col("until").isNull()).alias("open"), F.max("until").alias("end")
         ).select("rep", "key", "since", F.when(~F.col("open"), F.col("end")).alias("until"))
-        by_title = keys.select("pos", "key").join(_answers(titled, ["key"]), "key").filter(_valid(F.col("since"), F.col("until")))
-        brought = addresses.join(assigned, "pos").groupBy("address", "rep").agg(F.min("pos").alias("since"))
+        by_title = keys.select("pos", "key").join(_answers(titled, ["key"]).hint("merge"), "key").filter(_valid(F.col("since"), F.col("until")))
+        brought = addresses.join(assigned.hint("merge"), "pos").groupBy("address", "rep").agg(F.min("pos").alias("since"))
         by_address = addresses.join(
-            _answers(brought.withColumn("until", F.lit(None).cast("long")), ["address"]), "address"
+            _answers(brought.withColumn("until", F.lit(None).cast("long")), ["address"]).hint("merge"), "address"
         ).filter(_valid(F.col("since"), F.col("until")))
-        similar = near_spans.join(edges, "leader").select("kind", "rep", "since", "until")
-        by_likeness = item_kinds.join(_answers(similar, ["kind"]), "kind").filter(_valid(F.col("since"), F.col("until")))
+        similar = near_spans.join(edges.hint("merge"), "leader").select("kind", "rep", "since", "until")
+        by_likeness = item_kinds.join(_answers(similar, ["kind"]).hint("merge"), "kind").filter(_valid(F.col("since"), F.col("until")))
         best = (
             by_title.select("pos", "rep").unionByName(by_address.select("pos", "rep")).unionByName(by_likeness.select("pos", "rep"))
             .groupBy("pos").agg(F.min("rep").alias("found"))
         )
         updated = cut(
-            assigned.join(best, "pos", "left").select("pos", F.coalesce("found", "pos").alias("rep"), F.col("rep").alias("before"))
+            assigned.join(best.hint("merge"), "pos", "left").select("pos", F.coalesce("found", "pos").alias("rep"), F.col("rep").alias("before"))
         )
         moved = not updated.filter("rep != before").limit(1).isEmpty()
         assigned = updated.select("pos", "rep")
@@ -247,13 +251,13 @@ def _turn(wanted: DataFrame, frequencies: DataFrame, leaders_per_block: int) ->
     """Mark the representatives that may look for partners now: among the first few in all of their blocks."""
     pieces = _rarest(wanted, frequencies).select("kind", "day", "numbers", "piece").distinct()
     sizes = pieces.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
-    blocks = pieces.join(sizes, "kind").join(wanted.select("kind", "since"), "kind")
+    blocks = pieces.join(sizes.hint("merge"), "kind").join(wanted.select("kind", "since").hint("merge"), "kind")
     w = Window.partitionBy("day", "numbers", "piece").orderBy("since", "kind")
     early = blocks.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= leaders_per_block)
     ready = early.groupBy("kind", "total").agg(F.count(F.lit(1)).alias("within")).filter("within = total").select(
         "kind", F.lit(True).alias("ready")
     )
-    return wanted.join(ready, "kind", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))
+    return wanted.join(ready.hint("merge"), "kind", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))
 
 
 def merge(items: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -262,7 +266,7 @@ def merge(items: DataFrame, assigned: DataFrame) -> DataFrame:
     Every column is an associative aggregate over the members, so hot groups combine before the shuffle.
     Source addresses, which may be many, stay in a table of their own (merged_sources).
     """
-    rows = items.join(assigned, "pos").withColumn("official", urls.host(F.col("url")).endswith(".gov.cn"))
+    rows = items.join(assigned.hint("merge"), "pos").withColumn("official", urls.host(F.col("url")).endswith(".gov.cn"))
     me = F.col("pos") == F.col("rep")
     head = F.struct("id", "title", "url", "source", "category", "published", "first_reported", "official")
     longest = lambda c: F.max_by(c, F.struct(F.length(c), -F.col("pos")))
@@ -289,4 +293,4 @@ def merge(items: DataFrame, assigned: DataFrame) -> DataFrame:
 def merged_sources(items: DataFrame, assigned: DataFrame) -> DataFrame:
     """(rep, address, place): the distinct source addresses of each representative in order of arrival."""
     listed = items.select("pos", F.posexplode(F.array_distinct(F.concat(F.array("url"), "source_urls"))).alias("i", "address"))
-    return listed.join(assigned, "pos").groupBy("rep", "address").agg(F.min(F.struct("pos", "i")).alias("place"))
+    return listed.join(assigned.hint("merge"), "pos").groupBy("rep", "address").agg(F.min(F.struct("pos", "i")).alias("place"))

@@ -132,3 +132,14 @@ def test_registered_queries_against_sequential_merge(spark):
     assert {g["pos"]: (g["title"], g["url"], g["published"], g["n"], len(g["urls"])) for g in reps} == {
         k: (m.title, m.url, m.published, m.members, m.n_sources) for k, m in merged.items()
     }
+
+
+def test_growing_tables_are_not_collected_for_broadcast(spark):
+    """The files of these tables are small enough to be taken for small tables, their rows in memory are not."""
+    rows = [(f"k{i}", f"title of report {i} " * 3, "2024-01-01", "") for i in range(200)]
+    titles = spark.createDataFrame(rows, "kind string, title_key string, day string, numbers string")
+    titles = duplicates.cut(titles.withColumn("letters", duplicates.similarity.letters(F.col("title_key"))))
+    frequencies = duplicates.cut(duplicates.piece_frequencies(titles))
+    wanted = titles.withColumn("since", F.length("kind"))
+    for made in (duplicates._turn(wanted, frequencies, 32), duplicates.candidate_pairs(titles, titles, frequencies)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
