@@ -15,14 +15,10 @@ from broadsheet.operators import gates, matching
 def score(repos: DataFrame, profile: dict, readme: str | None = None) -> DataFrame:
     """Relevance, matched interests, recommendation and reason for one profile."""
     about = F.coalesce(F.col(readme), F.lit("")) if readme else F.lit("")
-    base = (
-        repos.withColumn("_name", text.normalize(F.concat_ws(" ", "name", F.array_join("topics", " "))))
-        .withColumn("_text", text.normalize(F.coalesce("description", F.lit(""))))
-        .withColumn("_readme", text.normalize(F.substring(about, 1, 3000)))
-    )
-    places = [(F.col("_name"), 30), (F.col("_text"), 20), (F.col("_readme"), 8)]
-    everything = F.concat_ws(" ", "_name", "_text", "_readme")
-    scored = base.withColumn("_s", matching.score_against([{"profile_id": "", **profile}], places, everything)[0])
+    places = [
+        (F.concat_ws(" ", "name", F.array_join("topics", " ")), 30), (F.coalesce("description", F.lit("")), 20), (F.substring(about, 1, 3000), 8)
+    ]
+    scored = repos.withColumn("_s", matching.score_against([{"profile_id": "", **profile}], places)[0])
     barred = F.size("_s.excluded") > 0
     points = (
         F.col("_s.points")
@@ -37,7 +33,7 @@ def score(repos: DataFrame, profile: dict, readme: str | None = None) -> DataFra
         out.withColumn("matched_interests", matched)
         .withColumn("recommendation", recommendation(F.col("relevance_score"), F.size(matched) > 0, barred))
         .withColumn("why", reason(matched, excluded, F.col("stars_today"), F.col("rank")))
-        .drop("_s", "_name", "_text", "_readme")
+        .drop("_s")
     )
 
 

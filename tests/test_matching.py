@@ -21,3 +21,17 @@ def test_rules_of_a_long_list_on_odd_texts(spark):
         (1, ["r02"]), (2, ["r02"]), (3, []), (4, ["r02"]), (5, ["r07", "c"]), (6, ["r02"]), (7, ["k"]), (8, ["r07"]), (9, ["r07"]),
     ]
     assert [r["matches"] for r in matching.match_rules(items.limit(1), []).collect()] == [[]]
+
+
+def test_interests_and_lines_on_odd_texts(spark):
+    rows = [(1, "that  THE x", ["s"], "", "", "one\nthe attion\n\n眼镜 of the\n"), (2, None, ["of"], "pass", "word of", None), (3, "a", ["lic"], "ense", "İN", "x"), (4, "spam", ["mail"], None, "in", "眼镜")]
+    items = spark.createDataFrame(rows, "doc_id long, title string, tags array<string>, summary string, content string, body string")
+    profiles = [{"profile_id": "p", "interests": ["that the", "of", "眼镜", "of"], "exclude": []}, {"profile_id": "q", "interests": ["in"], "exclude": ["spam mail", "pass word", ""]}]
+    scored = matching.score_interests(items, profiles)
+    got = {(r["profile_id"], r["doc_id"]): (r["rule_score"], r["matched_keywords"]) for r in scored.collect()}
+    assert got == {("p", 1): (30, ["that the"]), ("p", 2): (20, ["of"]), ("p", 3): (0, []), ("p", 4): (0, []), ("q", 1): (0, []), ("q", 3): (0, [])}
+    # each text is walked once, however many interests there are
+    assert "regexp_replace" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    lines = items.withColumn("own", F.expr("IF(doc_id = 4, null, array('a'))")).select("doc_id", matching.paragraph_matches(F.col("body"), [{"id": "a", "groups": [["眼镜"], ["of the"]]}, {"id": "b", "groups": [["attion"]]}], 1, F.col("own")).alias("x"))
+    assert "regexp_replace" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: r["x"] for r in lines.collect()} == {1: ["one", "眼镜 of the"], 2: None, 3: ["x"], 4: ["眼镜"]}
