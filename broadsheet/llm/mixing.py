@@ -261,7 +261,9 @@ def mixed(
     cells = posteriors(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), counts, domains)
     fit = fitted(cut(cells), targets, max_rate, total=total)
     out = posteriors(rows, counts, domains).withColumn("rate", fit.path.rate(F.col("p")))
-    return Fit(out.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], "rate"), fit.targets, fit.path)
+    # written down: a condition on the rate that the optimizer moved below would repeat the posteriors wherever they are named
+    out = cut(out.select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], "rate"))
+    return Fit(out, fit.targets, fit.path)
 
 
 def copies(key: Column, rate: Column) -> Column:
