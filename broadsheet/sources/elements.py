@@ -22,6 +22,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(["script", "style", "template"])
 JSON_BLOCK = "application/ld+json"
+#: Pages held as Python objects at a time.
+PAGES = 64
 
 NODE = pa.struct([
     ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())),
@@ -95,8 +97,11 @@ class _Places(HTMLParser):
 
 @F.arrow_udf(from_arrow_type(TREE))
 def tree(html: pa.Array) -> pa.Array:
-    """The page's elements, texts and JSON blocks."""
-    return pa.array([_Places().tree(h or "") for h in html.to_pylist()], TREE)
+    """The page's elements, texts and JSON blocks.
+
+    A batch is turned a few pages at a time: as Python objects a page takes many times its size."""
+    parts = (html.slice(at, PAGES).to_pylist() for at in range(0, len(html), PAGES))
+    return pa.concat_arrays([pa.array([], TREE), *(pa.array([_Places().tree(h or "") for h in part], TREE) for part in parts)])
 
 
 def inside(inner: Column, outer: Column) -> Column:

@@ -156,3 +156,20 @@ def test_headings_of_a_product_page(spark):
     html = "<title>Acme</title><meta property='og:title' content='Nova Band 2'><h1>Nova <b>Band</b></h1><h3>no</h3><p itemprop='name'>named</p><p>text</p>"
     rows = spark.createDataFrame([("u", html)], "url string, html string")
     assert tuple(pages.product_page_texts(rows).first()) == ("u", "Acme Nova Band named Nova Band 2", "Acme Nova Band no named text")
+
+
+def test_few_pages_are_held_as_objects():
+    """Memory of a batch does not grow with its pages beyond what Arrow holds."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page = "<html><body>" + "<div class='a b'><p id='x'>text</p></div>" * 50 + "</body></html>"
+    batch = pa.array([page, None] * 400)
+    tracemalloc.start()
+    trees = el.tree.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(trees) == 800 and trees.slice(0, 2).to_pylist() == trees.slice(2, 2).to_pylist()
+    assert len(trees[0].as_py()["nodes"]) == 103 and trees[1].as_py()["texts"] == []
+    assert peak < 12_000_000
