@@ -187,7 +187,7 @@ def mine(
     anchor_blocks = max(1, -(-anchors.count() // anchor_block))
 
     def block(seed: str, count: int) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count))
+        return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(count)).cast("int")  # of the type of every(): sides of another type are dealt to other tasks
 
     def every(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))

@@ -266,3 +266,15 @@ def test_long_vectors_are_mined_exactly(spark):
     table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     got = hard_negatives.mine(table.repartition(3), F.col("id") % 10 == 0, row_block=20, anchor_block=3)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_all_blocks_meet_in_whatever_tasks_they_are(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, int(rng.integers(3)), [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = hard_negatives.mine(table, F.col("id") % 10 == 0, row_block=20, anchor_block=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(tuple(r) for r in got) == plain_mine(rows, lambda i: i % 10 == 0)
