@@ -3,15 +3,17 @@
 A document's set is its distinct word shingles, each hashed by one 64-bit function; its sketch is the k smallest hashes.
 Documents with equal sets form a class first; only class heads go on. Inverted lists of retained values propose pairs:
 values are ranked by how many sketches retain them, and a head is entered under its rarest ones only, so many that two
-sketches with the required overlap must share one (pigeonhole), however common the other values are. The sketch of the
-union estimates the similarity and filters, the full sets decide.
+sketches with the required overlap must share one (pigeonhole), however common the other values are. Every set also has
+a parity map of 512 bits, in which each value turns one bit over: two maps differ in at most as many bits as the sets in
+values, so a pair whose maps differ in more bits than the threshold allows is ruled out for certain. Sets too large for
+the maps are ruled out by the sketch of the union, which estimates the similarity. The full sets decide.
 
 A list of near copies would propose all pairs in it, and components need far fewer. So in the first rounds each member of
 a list meets only the list's leader (drawn by hash, so leaders differ from list to list), each head verifies its best
 proposal, and confirmed links merge components. After that, members of different components that still share a list meet
-directly, in a join of sketches that lets only pairs through whose union sketch allows the threshold; pairs inside one
-component are never formed. Only ids and sketches travel to candidates; the two texts of a surviving pair are fetched once
-and their full sets compared on the spot. No list, set of links or component is ever gathered in one place.
+directly, in a join that lets only pairs through whose parity maps allow the threshold; pairs inside one component are
+never formed. Only ids, sizes and maps travel to candidates; the two texts of a surviving pair are fetched once and their
+full sets compared on the spot. No list, set of links or component is ever gathered in one place.
 
 With more than k shingles the required overlap is a bound that a pair at the threshold misses with a probability below
 one in a million; smaller sets are compared without loss.
@@ -26,11 +28,12 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +42,7 @@ from broadsheet.llm._graph import components
 from broadsheet.session import cut
 
 K = 32
+PARITY_BITS = 512
 REMEMBERED = 500_000
 
 
@@ -77,8 +81,24 @@ def _mark(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
+def _parity(values: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of a set's values fall on, as longs."""
+    odd = np.bincount(values & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def apart(bits_a: Column, bits_b: Column) -> Column:
+    """Bits in which two parity maps differ: never more than the sets differ in values."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i)))) for i in range(PARITY_BITS // 64)])
+
+
+def may_link(na: Column, nb: Column, bits_a: Column, bits_b: Column, threshold: int) -> Column:
+    """False only for sets whose sizes or parity maps rule the threshold out: sets at it differ in (1 - t) / (1 + t) of all their values."""
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold) & (apart(bits_a, bits_b) * (100 + threshold) <= (na + nb) * (100 - threshold))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int) -> DataFrame:
-    """id, n, the set's fingerprint and its k smallest values."""
+    """id, n, the set's fingerprint, its k smallest values and its parity map."""
 
     def run(batches):
         shingler = Shingler(words)
@@ -86,10 +106,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, k: int) ->
             sets = [shingler(t) for t in batch.column(1).to_pylist()]
             n = pa.array([len(s) for s in sets], pa.int64())
             marks = pa.array([_mark(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, marks, pa.array([s[:k] for s in sets], pa.list_(pa.int64()))], ["id", "n", "mark", "sketch"])
+            least, bits = pa.array([s[:k] for s in sets], pa.list_(pa.int64())), pa.array([_parity(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, marks, least, bits], ["id", "n", "mark", "sketch", "bits"])
 
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(source, run, f"id {type_of(docs, id_col)}, n long, mark binary, sketch array<bigint>")
+    return map_arrow(source, run, f"id {type_of(docs, id_col)}, n long, mark binary, sketch array<bigint>, bits array<bigint>")
 
 
 def standing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -127,15 +148,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     overlap = least_overlap(k, threshold / 100)
     small = k * threshold // 100  # a partner of such a set fits into the sketch, so shared values are counted in full
-    hashed = sketches(docs, id_col, text_col, words, k)
-    hashed = cut(hashed.groupBy("id").agg(F.max(F.struct("n", "mark", "sketch")).alias("x")).select("id", "x.*"))
-    classes = hashed.filter("n > 0").groupBy("mark").agg(F.min("id").alias("head"))
-    heads = cut(hashed.filter("n > 0").join(classes, "mark").filter("id = head").select("head", "n", "mark", "sketch"))
-
-    values = heads.select("head", "n", F.explode("sketch").alias("v"))
-    common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = values.join(common, "v")  # a value that one sketch alone retains proposes nothing
-    ranked = shared.groupBy("head").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("own"))
+    raw = cut(sketches(docs, id_col, text_col, words, k))
+    hashed = cut(raw.groupBy("id").agg(F.max(F.struct("n", "mark")).alias("x"), F.count("*").alias("rows")).select("id", "x.*", "rows"))
+    repeated = cut(hashed.filter("rows > 1").select("id", F.struct("n", "mark").alias("best")))
+    stands = F.col("best").isNull() | (F.struct("n", "mark") == F.col("best"))
+    standing_rows = raw.filter("n > 0").join(repeated, "id", "left").filter(stands)
+    heads = cut(standing_rows.groupBy("mark").agg(F.min(F.struct("id", "n", "sketch", "bits")).alias("x")).select(F.col("x.id").alias("head"), "x.n", "mark", "x.sketch", "x.bits"))
+
+    # one shuffle brings a value's rows together, and counts them; a value that one sketch alone retains proposes nothing
+    values = heads.select("head", F.explode("sketch").alias("v"))
+    counted = values.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("v"))).filter("df > 1")
+    ranked = counted.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("own")).join(heads.select("head", "n"), "head")
     kept = F.least(F.col("n"), F.lit(k))
     need = F.when(F.col("n") <= small, F.ceil(F.col("n") * threshold / 100)).otherwise(F.lit(overlap))
     # values of one sketch alone come first in the order and take up the leading places
@@ -145,24 +168,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = heads.sparkSession.createDataFrame([], f"a {head_type}, b {head_type}")
     roots = None
 
-    left = heads.select(F.col("head").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = heads.select(F.col("head").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    large = PARITY_BITS * (100 + threshold) // (8 * (100 - threshold))  # above this size the threshold allows maps to differ in more than a quarter of their bits
+
+    def sides(*columns: str) -> list[DataFrame]:
+        return [heads.select(F.col("head").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab"]
 
-    def allowed(na, nb, sa, sb):
-        """The share of the union sketch that both retain, null where it rules the threshold out."""
-        union = F.slice(F.sort_array(F.array_union(sa, sb)), 1, k)
-        both = F.size(F.array_intersect(F.array_intersect(union, sa), sb))
-        exact = (F.greatest(na, nb) <= k) & (F.size(F.array_union(sa, sb)) <= k)
-        fits = F.when(exact, both * 100 >= F.size(union) * threshold).otherwise(both >= F.least(F.lit(overlap), F.ceil(F.least(na, nb) * threshold / 100)))
-        return F.when((F.least(na, nb) * 100 >= F.greatest(na, nb) * threshold) & fits, both / F.size(union))
+    def sketched(pairs: DataFrame) -> DataFrame:
+        """Pairs of large sets whose union sketch allows the threshold, and all others."""
+        one, two = (side.filter(f"n_{x} > {large}") for x, side in zip("ab", sides("n", "sketch"), strict=True))
+        rows = pairs.filter(f"n > {large}").join(one, "a").join(two, "b")
+        union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, k)
+        both = F.size(F.array_intersect(F.array_intersect(union, F.col("sketch_a")), F.col("sketch_b")))
+        enough = F.least(F.lit(overlap), F.ceil(F.least("n_a", "n_b") * threshold / 100))
+        return pairs.filter(f"n <= {large}").select("a", "b").unionByName(rows.filter(both >= enough).select("a", "b"))
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        """Pairs whose union sketch allows the threshold, with the share of it that both retain."""
-        rows = pairs.join(left, "a").join(right, "b").withColumn("share", allowed(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb")))
-        return rows.filter("share is not null").select("a", "b", "share")
+        """Pairs whose parity maps allow the threshold, with the smaller size and the share of values in which the maps differ."""
+        one, two = sides("n", "bits")
+        rows = pairs.join(one, "a").join(two, "b").filter(may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), threshold))
+        return rows.select("a", "b", F.least("n_a", "n_b").alias("n"), (apart(F.col("bits_a"), F.col("bits_b")) / (F.col("n_a") + F.col("n_b"))).alias("differ"))
 
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks = heads.select(F.col("head").alias("id"), "mark")
 
     def compare(batches):
         """Pairs of texts whose full sets reach the threshold; a text that does not stand for its id fails by its mark."""
@@ -183,9 +209,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets reach the threshold."""
-        pairs = cut(pairs.select("a", "b").distinct())
-        one = texts.join(pairs, F.col("id") == F.col("a")).join(marks.withColumnRenamed("mark", "mark_a"), "id").select("a", "b", F.col("text").alias("text_a"), "mark_a")
-        two = texts.join(pairs.select(F.col("b").alias("id")).distinct(), "id").join(marks, "id").select("id", F.col("text").alias("text_b"), F.col("mark").alias("mark_b"))
+        mark_a, mark_b = sides("mark")
+        pairs = cut(pairs.select("a", "b").distinct().join(mark_a, "a").join(mark_b, "b"))
+        one = texts.join(pairs, F.col("id") == F.col("a")).select("a", "b", F.col("text").alias("text_a"), "mark_a", "mark_b")
+        two = texts.join(pairs.select(F.col("b").alias("id")).distinct(), "id").select("id", F.col("text").alias("text_b"))
         rows = one.join(two, F.col("b") == F.col("id")).select("a", "b", "text_a", "mark_a", "text_b", "mark_b")
         return cut(map_arrow(rows, compare, f"a {head_type}, b {head_type}").distinct())
 
@@ -203,21 +230,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         active = cut(open_lists(rooted(entries)))
         lead = active.groupBy("v").agg(F.min_by(F.struct("head", "root"), F.xxhash64("v", "head", F.lit(round_))).alias("lead"))
         proposals = active.join(lead, "v").filter("root != lead.root").select(F.col("head").alias("a"), F.col("lead.head").alias("b")).distinct()
-        best = estimated(proposals).groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
-        linked = linked.unionByName(verified(best))
+        best = estimated(proposals).groupBy("a").agg(F.min_by(F.struct("b", "n"), F.struct("differ", "b")).alias("x")).select("a", "x.*")
+        linked = linked.unionByName(verified(sketched(cut(best))))
         roots = cut(components(linked))
-    # what is left meets directly: each pair once, in the first list that it shares, and only ids leave the join
-    active = cut(open_lists(rooted(entries)))
-    own = active.groupBy("head", "root").agg(F.sort_array(F.collect_list("v")).alias("own"))
-    rich = cut(own.join(heads.select("head", "n", "sketch"), "head")).select("head", "root", "own", "n", "sketch", F.explode("own").alias("v"))
-    one, two = (rich.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("head", "root", "own", "n", "sketch")]) for side in "ab")
-    first = F.array_min(F.array_intersect("own_a", "own_b")) == one["v"]
-    fits = allowed(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b")).isNotNull()
-    met = (one["v"] == two["v"]) & (F.col("head_a") < F.col("head_b")) & (F.col("root_a") != F.col("root_b")) & first & fits
-    linked = linked.unionByName(verified(one.join(two, met).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))))
+    # what is left meets directly, and only ids and sizes leave the join
+    active = open_lists(rooted(entries))
+    rich = cut(active.join(heads.select("head", "n", "bits"), "head").select("v", "head", "root", "n", "bits"))
+    one, two = (rich.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("head", "root", "n", "bits")]) for side in "ab")
+    met = (one["v"] == two["v"]) & (F.col("head_a") < F.col("head_b")) & (F.col("root_a") != F.col("root_b"))
+    met &= may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), threshold)
+    left = one.join(two, met).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"), F.least("n_a", "n_b").alias("n")).distinct()
+    linked = linked.unionByName(verified(sketched(cut(left))))
     roots = cut(components(linked))
 
-    members = hashed.filter("n > 0").join(classes, "mark").select("id", "head", "n")
+    members = hashed.filter("n > 0").join(heads.select("head", "mark"), "mark").select("id", "head", "n")
     joined = members.join(roots, F.col("head") == F.col("node"), "left").select("id", "n", F.coalesce("root", "head").alias("component"))
     none = hashed.filter("n = 0").select("id", "n", F.col("id").alias("component"))
     out = joined.unionByName(none)

@@ -130,6 +130,25 @@ def test_near_duplicates_match_brute_force(spark):
         assert all(r["n_shingles"] == len(shingles(out[r["doc_id"]], n)) for r in got)
 
 
+def test_near_copies_below_the_threshold_rarely_meet(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(n):
+        return " ".join(f"x{rng.random()}" if i in chosen else w for chosen in [set(rng.sample(range(150), n))] for i, w in enumerate(base))
+
+    shingler = near_dup.Shingler(3)
+    sets = [shingler(edited(1 + i % 12)) for i in range(60)]
+    rows = spark.createDataFrame([(i, len(s), near_dup._parity(s).tolist()) for i, s in enumerate(sets)], "i int, n long, bits array<bigint>")
+    one, two = rows.toDF("a", "na", "ba"), rows.toDF("b", "nb", "bb")
+    met = one.join(two, F.expr("a < b") & near_dup.may_link(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb"), 85))
+    met = {(r["a"], r["b"]) for r in met.select("a", "b").collect()}
+    alike = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a in range(60) for b in range(a + 1, 60)}
+    linked = {p for p, j in alike.items() if j >= 0.85}
+    assert linked <= met and len(met) <= len(linked) + sum(j >= 0.78 for j in alike.values() if j < 0.85)
+
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(odd, words=3).collect()}
     assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (0, 3, True), 4: (1, 4, True), 5: (1, 5, True), 6: (1, 5, False), 7: (1, 7, True), 8: (1, 8, True)}
