@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+from collections.abc import Iterable
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -94,57 +97,111 @@ def _merge(held: dict | None, row) -> dict:
     return held
 
 
+class _Sighting(NamedTuple):
+    id: str
+    seq: int | None
+    day: dt.date
+    published: dt.date | None
+    date_evidence: str | None
+    first_reported: dt.date | None
+    summary: str | None
+    excerpt: str | None
+    released: dt.date | None
+    grave: bool
+
+
+def _arrived(frames: Iterable[pd.DataFrame]) -> list[_Sighting]:
+    """Sightings in order of arrival, graves last. A candidate has few, so they are handled as plain values."""
+    rows = []
+    for frame in frames:
+        rows += zip(*[[None if x is None or x != x else x for x in frame[c].tolist()] for c in _Sighting._fields], strict=True)
+    return sorted(map(_Sighting._make, rows), key=lambda r: (r.grave, r.seq is None, r.seq or 0))
+
+
 def _ends(held: dict, days: int) -> dt.date:
     """First day on which a candidate is too old: dated ones count from publication, others from their first sighting."""
     undated = held["published"] is None or held["date_evidence"] == "recent_first_seen"
     return (held["first_seen"] if undated else held["published"]) + dt.timedelta(days=days)
 
 
-def expiring_candidates(observed: DataFrame, graves: DataFrame, days: int, late_days: int = 1) -> DataFrame:
+def _packed(held: dict[str, dict]) -> str:
+    values = {key: None if h["grave"] else [x.isoformat() if isinstance(x, dt.date) else x for x in (h[c] for c in _FIELDS[:-1])] for key, h in held.items()}
+    return json.dumps(values, ensure_ascii=False)
+
+
+def _unpacked(text: str) -> dict[str, dict]:
+    bury = dict.fromkeys(_FIELDS) | {"grave": True}
+    days = {c.split()[0] for c in HELD.split(", ") if c.endswith(" date")}
+    day = dt.date.fromisoformat
+
+    def fields(values: list) -> dict:
+        return {c: day(x) if c in days and x is not None else x for c, x in zip(_FIELDS, values, strict=False)} | {"grave": False}
+
+    return {key: bury if values is None else fields(values) for key, values in json.loads(text).items()}
+
+
+def expiring_candidates(observed: DataFrame, graves: DataFrame, days: int, late_days: int = 1, buckets: int = 1024) -> DataFrame:
     """Changes of the candidate table: id, the candidate's fields and its fate, for changed candidates only.
 
-    observed: the columns of a sighting; graves: id, day of removed candidates. State is kept by id. A removed candidate
-    and one that grew too old by its publication day leave a grave, and later sightings are refused; an undated one that
-    grew too old is forgotten and may come back. Time is the day of the sightings, less `late_days`.
+    observed: the columns of a sighting; graves: id, day of removed candidates. A removed candidate and one that grew too
+    old by its publication day leave a grave, and later sightings are refused; an undated one that grew too old is
+    forgotten and may come back. Time is the day of the sightings, less `late_days`.
+
+    State is kept for buckets of ids, with a timer at the first day on which one of them ends: a group of rows costs
+    far more to hand to Python than a candidate costs there, so groups do not grow in number with the candidates.
     """
     columns = ["id", "seq", "day", "published", "date_evidence", "first_reported", "summary", "excerpt", "released"]
     rows = observed.select(*columns, F.lit(False).alias("grave")).unionByName(graves.select("id", "day", F.lit(True).alias("grave")), allowMissingColumns=True)
+    rows = rows.filter("id is not null").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
     rows = rows.withColumn("seen_at", F.to_timestamp("day")).withWatermark("seen_at", f"{late_days} days")
 
-    def out(key, held: dict, fate: str) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *(held[c] for c in _FIELDS[:-1]), fate]], columns=["id", *_FIELDS[:-1], "fate"])
-
-    def step(key, frames, state: GroupState):
-        held = dict(zip(_FIELDS, state.get, strict=True)) if state.exists else None
-        today = dt.date(1970, 1, 1) + dt.timedelta(milliseconds=max(state.getCurrentWatermarkMs(), 0))
+    def settled(held: dict | None, arrived: list[_Sighting], today: dt.date) -> tuple[dict | None, str | None, dict | None]:
+        """A candidate after its sightings, its fate and the fields to tell; a fate of None is not told."""
         bury = dict.fromkeys(_FIELDS) | {"grave": True}
         changed = held if held is not None and not held["grave"] else None
         fate = None
         if changed is not None and _ends(held, days) <= today:
             fate = DROPPED if held["published"] is None or held["date_evidence"] == "recent_first_seen" else BURIED
             held = None if fate == DROPPED else bury
+        for row in arrived:
+            if row.grave:
+                fate, held = BURIED, bury
+            elif held is None or not held["grave"]:
+                held = _merge(held, row)
+                changed, fate = held, KEPT
+        return held, fate if changed is not None or fate == BURIED else None, changed or bury
+
+    def step(key, frames, state: GroupState):
+        held = _unpacked(state.get[0]) if state.exists else {}
+        today = dt.date(1970, 1, 1) + dt.timedelta(milliseconds=max(state.getCurrentWatermarkMs(), 0))
+        arrived: dict[str, list[_Sighting]] = {}
         if not state.hasTimedOut:
-            arrived = pd.concat(list(frames)).astype(object)
-            arrived = arrived.where(arrived.notna(), None).sort_values(["grave", "seq"], kind="stable")
-            for row in arrived.itertuples(index=False):
-                if row.grave:
-                    fate, held = BURIED, bury
-                elif held is None or not held["grave"]:
-                    held = _merge(held, row)
-                    changed, fate = held, KEPT
-        if held is None:
+            for row in _arrived(frames):
+                arrived.setdefault(row.id, []).append(row)
+        ended = [k for k, h in held.items() if k not in arrived and not h["grave"] and _ends(h, days) <= today]
+        told = []
+        for k in [*arrived, *ended]:
+            now, fate, fields = settled(held.get(k), arrived.get(k, []), today)
+            if now is None:
+                held.pop(k, None)
+            else:
+                held[k] = now
+            if fate is not None:
+                told.append([k, *(fields[c] for c in _FIELDS[:-1]), fate])
+        if not held:
             state.remove()
         else:
-            state.update(tuple(held[c] for c in _FIELDS))
-            if not held["grave"]:
-                end = dt.datetime.combine(_ends(held, days), dt.time(), dt.timezone.utc)
+            state.update((_packed(held),))
+            ends = [_ends(h, days) for h in held.values() if not h["grave"]]
+            if ends:
+                end = dt.datetime.combine(min(ends), dt.time(), dt.timezone.utc)
                 # a timer goes off once the watermark has passed it
                 state.setTimeoutTimestamp(max(int(end.timestamp() * 1000) - 1, state.getCurrentWatermarkMs() + 1))
-        if fate is not None and (changed is not None or fate == BURIED):
-            yield out(key, changed or bury, fate)
+        if told:
+            yield pd.DataFrame(told, columns=["id", *_FIELDS[:-1], "fate"])
 
     schema = "id string, " + HELD.removesuffix(", grave boolean") + ", fate string"
-    return rows.groupBy("id").applyInPandasWithState(step, schema, HELD, "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("bucket").applyInPandasWithState(step, schema, "held string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def logged(changes: DataFrame, log: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

@@ -84,6 +84,21 @@ def test_state_over_restarts(spark, tmp_path, seed):
     assert {r[0] for r in log.select("fate").distinct().collect()} == {"keep", "drop", "tombstone"}
 
 
+def test_candidates_that_share_a_bucket(spark, tmp_path):
+    """Two buckets hold all ids: state, timers and graves stay each candidate's own."""
+    parts = deliveries(3)
+    spark.createDataFrame([], GRAVES).write.parquet(str(tmp_path / "graves" / "none"))
+    for i, (seen, graves) in enumerate(parts):
+        spark.createDataFrame(seen, SEEN).write.parquet(str(tmp_path / "seen" / str(i)))
+        spark.createDataFrame(graves, GRAVES).write.parquet(str(tmp_path / "graves" / str(i)))
+        observed = spark.readStream.schema(SEEN).option("recursiveFileLookup", True).parquet(str(tmp_path / "seen"))
+        removed = spark.readStream.schema(GRAVES).option("recursiveFileLookup", True).parquet(str(tmp_path / "graves"))
+        changes = state.expiring_candidates(observed, removed, 9, buckets=2)
+        state.logged(changes, str(tmp_path / "log"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = {r["id"]: (r["seq"], r["first_seen"], r["last_seen"], r["published"]) for r in state.candidate_table(spark, str(tmp_path / "log")).collect()}
+    assert got == {k: (c["seq"], c["first_seen"], c["last_seen"], c["published"]) for k, c in fold(parts, 9).items()}
+
+
 def test_roll_back_of_four_tables(spark):
     def version(names, count, status="sent"):
         rows = {t: spark.createDataFrame([(n, status) for n in names], f"{k} string, status string") for t, k in ledger.DELIVERY_KEYS.items()}
