@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import count
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broadsheet.functions import text
 
 
-def attribute(tag: Column, name: str) -> Column:
-    return text.decode_entities(F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']([^"']*)["']""", 1))
-
-
 def compact_count(value: Column) -> Column:
     """'9.8k' and '12,345' as whole numbers."""
     clean = F.lower(F.replace(F.trim(value), F.lit(","), F.lit("")))
@@ -21,35 +23,70 @@ def compact_count(value: Column) -> Column:
     return F.coalesce(F.floor(number * times), F.lit(0)).cast("long")
 
 
+#: Patterns over markup in lower case: its own letters are taken from the places they find.
+_CARD = re.compile(r"""(?sa)<article\b[^>]*class\s*=\s*["'][^"']*\bbox-row\b[^"']*["'][^>]*>""")
+_ANCHOR = re.compile(r"(?sa)<h2\b[^>]*>.*?(<a\b[^>]*>)")
+_HREF = re.compile(r"""(?sa)\bhref\s*=\s*["']([^"']*)["']""")
+_OUTER_SLASHES = re.compile(r"^/+|/+(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)")
+#: Texts that are read from a card, tags and all.
+_PARTS = {
+    "description": re.compile(r"(?sa)<p\b[^>]*>(.*?)</p>"),
+    "language": re.compile(r"""(?sa)<[a-z]+[^>]*itemprop\s*=\s*["']programminglanguage["'][^>]*>(.*?)</"""),
+    "stars": re.compile(r"""(?sa)<a\b[^>]*href\s*=\s*["'][^"']*/stargazers["'][^>]*>(.*?)</a>"""),
+    "forks": re.compile(r"""(?sa)<a\b[^>]*href\s*=\s*["'][^"']*/forks["'][^>]*>(.*?)</a>"""),
+    "stars_today": re.compile(r"(?sa)<span\b[^>]*float-sm-right[^>]*>(.*?)</span>"),
+}
+_LOWER = {a: a + 32 for a in range(65, 91)}
+
+
+def _cards(html: str, limit: int) -> Iterator[tuple]:
+    """Place, owner, name and texts of the first ``limit`` cards that name a repository."""
+    low = html.lower() if html.isascii() else html.translate(_LOWER)
+    left, at = limit, 0
+
+    def between(pattern: re.Pattern) -> str:
+        found = pattern.search(low, opening.start(), end)
+        return html[found.start(1) : found.end(1)] if found else ""
+
+    for place in count():
+        opening = _CARD.search(low, at) if left else None
+        end = low.find("</article>", opening.end()) + 10 if opening else 9
+        if end == 9:
+            return
+        at, anchor = end, _ANCHOR.search(low, opening.start(), end)
+        href = _HREF.search(low, *anchor.span(1)) if anchor else None
+        path = text.py_decode_entities(html[href.start(1) : href.end(1)]) if href else ""
+        owner, *names = _OUTER_SLASHES.sub("", path).split("/")
+        if owner and names:
+            left -= 1
+            yield place, owner, names[0], *(text.py_strip_tags(between(p)) for p in _PARTS.values())
+
+
 def trending_rows(pages: DataFrame, keep: list[str], limit: int = 10) -> DataFrame:
-    """Ranked repositories of trending pages (column html)."""
-    cards = F.regexp_extract_all(
-        "html", F.lit(r"""(?is)(<article\b[^>]*class\s*=\s*["'][^"']*\bBox-row\b[^"']*["'][^>]*>.*?</article>)"""), F.lit(1)
-    )
-    rows = pages.select(*keep, F.posexplode(cards).alias("position", "card"))
-    card = F.col("card")
-    inner = lambda p: text.strip_tags(F.regexp_extract(card, p, 1))
-    anchor = F.regexp_extract(card, r"(?is)<h2\b[^>]*>.*?(<a\b[^>]*>)", 1)
-    parts = F.split(F.regexp_replace(attribute(anchor, "href"), r"^/+|/+$", ""), "/")
-    found = rows.withColumn("parts", parts).filter((F.size("parts") >= 2) & (F.col("parts")[0] != ""))
-    language = inner(r"""(?is)<[a-z]+[^>]*itemprop\s*=\s*["']programmingLanguage["'][^>]*>(.*?)</""")
-    named = found.select(
-        *keep, "position", "card",
-        F.col("parts")[0].alias("owner"), F.col("parts")[1].alias("name"),
-    )
-    # Only rows before the limit-th readable card count, and the rank is the card's own position.
-    from pyspark.sql import Window
+    """Ranked repositories of trending pages (column html); each card is read once, in Arrow batches.
+
+    Only rows before the limit-th readable card count, and the rank is the card's own position.
+    """
+    read = ["position", "owner", "name", *_PARTS]
+
+    def run(batches):
+        for batch in batches:
+            found = [(row, *card) for row, html in enumerate(batch.column(len(keep)).to_pylist()) if html for card in _cards(html, limit)]
+            rows, *columns = zip(*found, strict=True) if found else [()] * (len(read) + 1)
+            kinds = [pa.int32()] + [pa.string()] * (len(read) - 1)
+            kept = batch.select(keep).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*keep, *read])
 
-    w = Window.partitionBy(*keep).orderBy("position")
-    return named.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit).select(
+    asked = pages.select(*keep, "html")
+    kinds = [T.StructField("position", T.IntegerType())] + [T.StructField(c, T.StringType()) for c in read[1:]]
+    found = asked.mapInArrow(run, T.StructType([*asked.schema.fields[:-1], *kinds]))
+    return found.select(
         *keep,
         (F.col("position") + 1).alias("rank"), "owner", "name",
         F.concat(F.lit("https://github.com/"), "owner", F.lit("/"), "name").alias("url"),
-        inner(r"(?is)<p\b[^>]*>(.*?)</p>").alias("description"),
-        F.when(language != "", language).otherwise(F.lit("Unknown")).alias("language"),
-        compact_count(inner(r"""(?is)<a\b[^>]*href\s*=\s*["'][^"']*/stargazers["'][^>]*>(.*?)</a>""")).alias("stars"),
-        compact_count(inner(r"""(?is)<a\b[^>]*href\s*=\s*["'][^"']*/forks["'][^>]*>(.*?)</a>""")).alias("forks"),
-        compact_count(inner(r"""(?is)<span\b[^>]*float-sm-right[^>]*>(.*?)</span>""")).alias("stars_today"),
+        "description",
+        F.when(F.col("language") != "", F.col("language")).otherwise(F.lit("Unknown")).alias("language"),
+        *[compact_count(F.col(c)).alias(c) for c in ("stars", "forks", "stars_today")],
     )
 
 

@@ -158,3 +158,13 @@ def test_versions_and_snapshots(spark, tmp_path):
     ratings = spark.createDataFrame([("a", 1.0, 2.0), ("b", 9.0, 1.0)], "publisher_key string, authority double, recognition double")
     tables.write_reputation(ratings, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().publisher_key == "b"
+
+
+def test_cards_are_read_once_in_any_case(spark):
+    card = '<ARTICLE class="x Box-row"><h2><a HREF="/Own&amp;er/{0}/"></a></h2><P>İ <b>two</b>&nbsp; words</P><a href="/o/{0}/stargazers"> 1.5K</a></article>'
+    pages = [(1, card.format("a") + '<article class="Box-row">no name</article>' + card.format("b") + card.format("c")), (2, None), (3, '<article class="Box-row">')]
+    got = repo_source.trending_rows(spark.createDataFrame(pages, "page int, html string"), ["page"], limit=2)
+    rows = [(r["page"], r["rank"], r["owner"], r["name"], r["description"], r["language"], r["stars"], r["forks"]) for r in got.orderBy("rank").collect()]
+    assert rows == [(1, 1, "Own&er", "a", "İ two words", "Unknown", 1500, 0), (1, 3, "Own&er", "b", "İ two words", "Unknown", 1500, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "regexp_extract_all" not in plan
