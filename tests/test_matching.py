@@ -23,6 +23,17 @@ def test_rules_of_a_long_list_on_odd_texts(spark):
     assert [r["matches"] for r in matching.match_rules(items.limit(1), []).collect()] == [[]]
 
 
+def test_a_rule_table_offers_only_pieces_that_may_be_terms(spark):
+    more = [{"id": "c", "groups": [["眼镜", "新 的"], ["of the"]]}, {"id": "m", "groups": [["的of"]]}, {"id": "k", "groups": [["tokenk", "in"]]}]
+    rules = [(r["id"], r["groups"]) for r in [*dim.RULES, *more]]
+    items = spark.createDataFrame(ODD, "doc_id long, title string, summary string, body string")
+    found = matching.match_rule_table(items, "doc_id", spark.createDataFrame(rules, "id string, groups array<array<string>>"))
+    listed = matching.match_rules(items, [{"weight": 1, **r} for r in [*dim.RULES, *more]]).select("doc_id", F.explode("matches.id").alias("rule_id"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, listed.collect()))
+    marks = matching._Marked({matching.crc32(b"of the") % matching.MARKS}), matching._Marked({matching.crc32(b"of") % matching.MARKS})
+    assert matching._offered("one of the many", [1, 2], [], marks[1], marks[0]) == {"of the"}
+
+
 def test_interests_and_lines_on_odd_texts(spark):
     rows = [(1, "that  THE x", ["s"], "", "", "one\nthe attion\n\n眼镜 of the\n"), (2, None, ["of"], "pass", "word of", None), (3, "a", ["lic"], "ense", "İN", "x"), (4, "spam", ["mail"], None, "in", "眼镜")]
     items = spark.createDataFrame(rows, "doc_id long, title string, tags array<string>, summary string, content string, body string")
