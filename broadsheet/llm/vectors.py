@@ -3,9 +3,10 @@
 A coarse k-means on a bounded sample gives inverted lists, a k-means per subspace on the residuals gives the codes. Every
 vector is stored in the list of its nearest centroid, and probes each list whose border with that cell lies within
 `slack` standard deviations of where a vector at the threshold would fall (a displacement of length r in d dimensions
-moves r / sqrt(d) along any one direction). A list's stored codes are compared with a probing vector by table look-up:
-centroid product plus one table entry per subspace. The look-up misses the true cosine by at most the stored vector's
-quantisation error, so adding that error loses nothing; what remains is decided by the exact cosine in doubles.
+moves r / sqrt(d) along any one direction). A list's stored codes are compared with probing vectors asymmetrically: what
+the codes stand for (centroid plus one book entry per subspace), times the vectors, in single precision. That misses the
+true cosine by at most the stored vector's quantisation error and a rounding error, so adding both loses nothing; what
+remains is decided by the exact cosine in doubles.
 
 Vectors that are equal component by component are one class, and only its head is compared. Lists are split into blocks
 of stored and of probing vectors by hash, so a list that holds a third of all rows becomes many tasks of bounded size.
@@ -31,6 +32,11 @@ from broadsheet.llm._graph import components
 from broadsheet.session import cut
 
 
+def rounding(dim: int) -> float:
+    """More than single precision can lose in the product of a unit vector and a decoded one."""
+    return (dim + 8) * 2.0**-22
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
     """Lloyd's algorithm from k distinct rows; a centre that loses all rows stays where it is."""
     start = np.unique(x, axis=0)
@@ -81,12 +87,9 @@ class Quantiser:
             between = np.sqrt(np.maximum((c**2).sum(1)[None, :] + (c[own] ** 2).sum(1)[:, None] - 2 * c[own] @ c.T, 1e-30))
         return [np.flatnonzero(row).astype(np.int32) for row in gap <= 2 * reach * between]
 
-    def looked_up(self, x: np.ndarray, list_: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric cosine estimates of vectors against a list's codes."""
-        out = np.repeat((x @ self.centres[list_])[:, None], len(codes), axis=1)
-        for s, (book, a, b) in enumerate(zip(self.books, self.cuts, self.cuts[1:], strict=False)):
-            out += (x[:, a:b] @ book.T)[:, codes[:, s]]
-        return out
+    def decoded(self, list_: int, codes: np.ndarray) -> np.ndarray:
+        """What a list's codes stand for: the centroid and an entry of each book."""
+        return self.centres[list_] + np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
 
 
 def _matrix(column) -> np.ndarray:
@@ -177,19 +180,25 @@ def near_vectors(
             miss, mult, list_ = members["miss"].to_numpy(), members["mult"].to_numpy(), int(members["list"].iloc[0])
             ids, place = np.unique(np.concatenate([members["id"].to_numpy(), queries["qid"].to_numpy()]), return_inverse=True)
             mp, qp = place[: len(m)].astype(np.int64), place[len(m) :].astype(np.int64)
+            coarse, least = q.decoded(list_, code).astype(np.float32).T, (threshold - rounding(m.shape[1]) - miss).astype(np.float32)
             for at in range(0, len(x), 256):
                 part = x[at : at + 256]
-                hit = q.looked_up(part, list_, code) + miss[None, :] >= threshold - 1e-9
+                hit = part.astype(np.float32) @ coarse >= least
+                # most lists that a vector probes hold nothing near it
+                r, c = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+                if not len(r):
+                    continue
+                hit, some, own = hit[np.ix_(r, c)], part[r], m[c]
                 a, b = np.nonzero(hit)
                 if len(a) > hit.size // 8:
-                    hit &= part @ m.T >= threshold
+                    hit &= some @ own.T >= threshold
                 else:
                     for k in range(0, len(a), 20_000):
                         i, j = a[k : k + 20_000], b[k : k + 20_000]
-                        hit[i, j] = np.einsum("ij,ij->i", part[i], m[j]) >= threshold
-                counts = hit @ mult
-                out += [(ids[qp[at + i]], int(c), None) for i, c in enumerate(counts) if c]
-                out += [(ids[i], 0, ids[j]) for i, j in _linked(hit, qp[at : at + 256], mp)]
+                        hit[i, j] = np.einsum("ij,ij->i", some[i], own[j]) >= threshold
+                counts = hit @ mult[c]
+                out += [(ids[qp[at + r[i]]], int(n), None) for i, n in enumerate(counts) if n]
+                out += [(ids[i], 0, ids[j]) for i, j in _linked(hit, qp[at + r], mp[c])]
         return pd.DataFrame(out, columns=["id", "n", "other"]).astype({"id": queries["qid"].dtype, "n": "int64"})
 
     keys = ["list", "mb", "qb"]

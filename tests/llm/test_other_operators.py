@@ -44,6 +44,20 @@ def test_vectors_match_brute_force(spark):
     assert vectors.near_vectors(frame.filter("vec_id = 1000")).count() == 1
 
 
+def test_decoded_lists_bound_the_cosines():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 24)) + 2 * rng.normal(size=(6, 24))[np.arange(600) % 6]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = vectors.Quantiser(x, lists=6, subspaces=5, codes=16)
+    own = q.distances(x).argmin(1)
+    codes, miss = q.encode(x, own)
+    for k in range(6):
+        there = own == k
+        rough = x.astype(np.float32) @ q.decoded(k, codes[there]).astype(np.float32).T
+        assert (x @ x[there].T <= rough + miss[there] + vectors.rounding(24)).all()
+        assert np.allclose(np.linalg.norm(x[there] - q.decoded(k, codes[there]), axis=1), miss[there])
+
+
 def pages_of(spark, n=40):
     body = lambda i: None if i == 3 else "" if i == 4 else "same" if i % 10 == 5 else f"<p>{i}</p>" * (i + 1) * 50
     return spark.createDataFrame([(i, f"http://h/{i} é\r\nX: y", body(i), "z") for i in range(n)], "page_id long, url string, html string, payload string")
