@@ -11,9 +11,10 @@ the maps are ruled out by the sketch of the union, which estimates the similarit
 A list of near copies would propose all pairs in it, and components need far fewer. So in the first rounds each member of
 a list meets only the list's leader (drawn by hash, so leaders differ from list to list), each head verifies its best
 proposal, and confirmed links merge components. After that, members of different components that still share a list meet
-directly, in a join that lets only pairs through whose parity maps allow the threshold; pairs inside one component are
-never formed. Only ids, sizes and maps travel to candidates; the two texts of a surviving pair are fetched once and their
-full sets compared on the spot. No list, set of links or component is ever gathered in one place.
+directly, in a join that lets only pairs through whose parity maps allow the threshold, each once, in the list of the least
+value they share; pairs inside one component are never formed. Only ids, sizes and maps travel to candidates; the two
+texts of a surviving pair are fetched once and their full sets compared on the spot. Texts of no pair are not shuffled: a
+bitmap of the pairs' ids, of bounded size, goes to the texts. No list, set of links or component is ever gathered in one place.
 
 With more than k shingles the required overlap is a bound that a pair at the threshold misses with a probability below
 one in a million; smaller sets are compared without loss.
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.llm._common import map_arrow, type_of
+from broadsheet.llm._common import among, map_arrow, type_of
 from broadsheet.llm._graph import components
 from broadsheet.session import cut
 
@@ -211,8 +212,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Pairs whose full sets reach the threshold."""
         mark_a, mark_b = sides("mark")
         pairs = cut(pairs.select("a", "b").distinct().join(mark_a, "a").join(mark_b, "b"))
-        one = texts.join(pairs, F.col("id") == F.col("a")).select("a", "b", F.col("text").alias("text_a"), "mark_a", "mark_b")
-        two = texts.join(pairs.select(F.col("b").alias("id")).distinct(), "id").select("id", F.col("text").alias("text_b"))
+        # texts that no pair names stay where they are
+        one = among(texts, "id", pairs.select("a")).join(pairs, F.col("id") == F.col("a")).select("a", "b", F.col("text").alias("text_a"), "mark_a", "mark_b")
+        two = among(texts, "id", pairs.select("b")).join(pairs.select(F.col("b").alias("id")).distinct(), "id").select("id", F.col("text").alias("text_b"))
         rows = one.join(two, F.col("b") == F.col("id")).select("a", "b", "text_a", "mark_a", "text_b", "mark_b")
         return cut(map_arrow(rows, compare, f"a {head_type}, b {head_type}").distinct())
 
@@ -233,13 +235,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         best = estimated(proposals).groupBy("a").agg(F.min_by(F.struct("b", "n"), F.struct("differ", "b")).alias("x")).select("a", "x.*")
         linked = linked.unionByName(verified(sketched(cut(best))))
         roots = cut(components(linked))
-    # what is left meets directly, and only ids and sizes leave the join
-    active = open_lists(rooted(entries))
-    rich = cut(active.join(heads.select("head", "n", "bits"), "head").select("v", "head", "root", "n", "bits"))
-    one, two = (rich.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("head", "root", "n", "bits")]) for side in "ab")
+    # what is left meets directly, each pair in the list of its least shared value alone, and only ids and sizes leave the join
+    active = cut(open_lists(rooted(entries)))
+    own = active.groupBy("head").agg(F.collect_list("v").alias("own"))
+    rich = cut(active.join(own, "head").join(heads.select("head", "n", "bits"), "head").select("v", "head", "root", "n", "bits", "own"))
+    one, two = (rich.select("v", *[F.col(c).alias(f"{c}_{side}") for c in ("head", "root", "n", "bits", "own")]) for side in "ab")
     met = (one["v"] == two["v"]) & (F.col("head_a") < F.col("head_b")) & (F.col("root_a") != F.col("root_b"))
     met &= may_link(F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"), threshold)
-    left = one.join(two, met).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"), F.least("n_a", "n_b").alias("n")).distinct()
+    met &= one["v"] == F.array_min(F.array_intersect("own_a", "own_b"))
+    left = one.join(two, met).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"), F.least("n_a", "n_b").alias("n"))
     linked = linked.unionByName(verified(sketched(cut(left))))
     roots = cut(components(linked))
 

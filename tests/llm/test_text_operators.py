@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.llm import lm, mixing, near_dup, packing, quality_classifier, quality_rules, queries, secrets, toxicity
+from broadsheet.llm import _common, lm, mixing, near_dup, packing, quality_classifier, quality_rules, queries, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, id int, v double, head string"
@@ -148,6 +148,36 @@ def test_near_copies_below_the_threshold_rarely_meet(spark):
     assert linked <= met and len(met) <= len(linked) + sum(j >= 0.78 for j in alike.values() if j < 0.85)
 
 
+def test_only_marked_rows_are_shuffled(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 100 != 7, F.col("id")).alias("doc_id"), F.lit("text").alias("text"))
+    for type_ in ("long", "string"):
+        typed = rows.withColumn("doc_id", F.col("doc_id").cast(type_))
+        keys = spark.range(0, 5000, 13).select(F.col("id").cast(type_).alias("doc_id")).unionByName(spark.sql(f"select cast(null as {type_}) doc_id"))
+        wanted = {str(i) for i in range(0, 5000, 13) if i % 100 != 7}
+        assert wanted <= {r["doc_id"] for r in _common.among(typed, "doc_id", keys).select(F.col("doc_id").cast("string")).collect()}
+        assert _common.among(typed, "doc_id", keys).count() < 2 * len(wanted)
+        left = _common.without(typed, "doc_id", keys)
+        assert left.columns == typed.columns
+        assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(r["doc_id"]) for r in typed.collect() if str(r["doc_id"]) not in wanted)
+        assert _common.without(typed, "doc_id", keys.limit(0)).count() == 5000
+
+
+def test_a_pair_of_one_group_meets_once_and_texts_of_no_pair_stay(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    out = {i: " ".join(f"x{rng.random()}" if j in chosen else w for chosen in [set(rng.sample(range(120), 1 + i % 2))] for j, w in enumerate(base)) for i in range(150)}
+    out |= {1000 + i: " ".join(f"y{rng.random()}" for _ in range(100)) for i in range(800)}
+    steps, asked = [], []
+    monkeypatch.setattr(near_dup, "cut", lambda df, cut=near_dup.cut: steps.append(cut(df)) or steps[-1])
+    monkeypatch.setattr(near_dup, "among", lambda *a, f=near_dup.among: asked.append(f(*a)) or asked[-1])
+    frame = spark.createDataFrame(list(out.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame, words=3, threshold=85, rounds=0).collect()}
+    assert got == classes({i: shingles(t, 3) for i, t in out.items()}, 85)
+    pairs = [s for s in steps if s.columns == ["a", "b", "n"]]
+    assert pairs[-1].count() == pairs[-1].distinct().count() > 0
+    assert asked and all(rows.count() < 200 for rows in asked)
+
+
 
 def test_near_duplicates_of_odd_rows(odd, none):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(odd, words=3).collect()}
