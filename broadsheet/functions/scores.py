@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
-from broadsheet.functions import dates, urls
+from broadsheet.functions import dates, text, urls
 
 
 def rounded(value: Column, digits: int) -> Column:
@@ -74,10 +74,8 @@ def configured_rating(host: Column, ratings=fixed.DOMAIN_RATINGS) -> Column:
 def source_factor(url: Column, kind: Column, authority: Column, recognition: Column,
                   ratings=fixed.DOMAIN_RATINGS) -> Column:
     """Stored publisher rating when there is one, else kind, government, paper and domain defaults."""
-    host = urls.host(url)
-    configured = configured_rating(host, ratings)
 
-    def default(i: int) -> Column:
+    def default(i: int, host: Column, configured: Column) -> Column:
         by_kind = F.lit(0.0)
         for name, values in fixed.KIND_RATINGS.items():
             by_kind = F.when(kind == name, F.lit(float(values[i]))).otherwise(by_kind)
@@ -86,10 +84,13 @@ def source_factor(url: Column, kind: Column, authority: Column, recognition: Col
         )
         return F.coalesce(configured["authority" if i == 0 else "recognition"], by_host, by_kind)
 
-    stored = authority.isNotNull() & recognition.isNotNull()
-    a = F.when(stored, authority.cast("double")).otherwise(default(0))
-    r = F.when(stored, recognition.cast("double")).otherwise(default(1))
-    return (a * fixed.AUTHORITY_WEIGHT + r * fixed.RECOGNITION_WEIGHT) / 100
+    def factor(host: Column, configured: Column) -> Column:
+        stored = authority.isNotNull() & recognition.isNotNull()
+        a = F.when(stored, authority.cast("double")).otherwise(default(0, host, configured))
+        r = F.when(stored, recognition.cast("double")).otherwise(default(1, host, configured))
+        return (a * fixed.AUTHORITY_WEIGHT + r * fixed.RECOGNITION_WEIGHT) / 100
+
+    return text.given(urls.host(url), lambda host: text.given(configured_rating(host, ratings), lambda configured: factor(host, configured)))
 
 
 def publisher_rating(url: Column, ratings=fixed.DOMAIN_RATINGS) -> Column:

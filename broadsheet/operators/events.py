@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
 from broadsheet.functions import similarity, text, urls
+from broadsheet.session import cut
 
 
 def merge_declared_groups(items: DataFrame, groups: DataFrame, batch: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -86,14 +87,19 @@ def possible_priors(candidates: DataFrame, history: DataFrame, limit: int = fixe
     A sent item that is remembered for some days is offered to the two periods of that length in which it counts, one
     that is remembered for ever to all, so a candidate meets only its profile's items of about twice the window and the
     profile's policies; equality joins on identity, document and names find the sure ones, and bounds on length and
-    characters stand before the similarity.
+    characters stand before the similarity, which is computed once for two titles and dealt over all tasks.
     """
     c = F.col
-    old = history.select(
+    spark = candidates.sparkSession
+    # either side is read by six joins: written down once, with its letters
+    old = cut(history.select(
         "profile_id", c("day").alias("sent_day"), "sent_id", c("title_key").alias("old_key"), c("document").alias("old_document"),
         c("names").alias("old_names"), (c("category") == fixed.POLICY).alias("forever"),
-    ).distinct()
-    new = candidates.select("edition_day", "profile_id", "id", "event_day", "title_key", "document", "names").distinct()
+    ).distinct().withColumn("letters", similarity.letters(c("old_key"))))
+    new = cut(
+        candidates.select("edition_day", "profile_id", "id", "event_day", "title_key", "document", "names").distinct()
+        .withColumn("own_letters", similarity.letters(c("title_key")))
+    )
     remembered = (c("sent_day") < c("edition_day")) & (c("forever") | (c("sent_day") >= F.date_sub("edition_day", days)))
     key = ["edition_day", "profile_id", "id", "event_day", "sent_id", "sent_day", "document", "old_document"]
 
@@ -111,15 +117,21 @@ def possible_priors(candidates: DataFrame, history: DataFrame, limit: int = fixe
 
     period = _since(c("edition_day"), days)
     first = _since(F.date_add("sent_day", 1), days)
-    offered = old.filter(~c("forever")).withColumn("period", F.explode(F.array(first, first + 1))).withColumn("letters", similarity.letters(c("old_key")))
-    asking = new.withColumn("period", period).withColumn("own_letters", similarity.letters(c("title_key")))
-    lasting = old.filter("forever").withColumn("letters", similarity.letters(c("old_key")))
-    pairs = asking.join(offered, ["profile_id", "period"]).drop("period").unionByName(asking.drop("period").join(lasting, "profile_id")).filter(remembered)
+    asked = new.select("profile_id", "edition_day", "title_key", "own_letters").distinct()
+    told = old.select("profile_id", "sent_day", "forever", "old_key", "letters").distinct()
+    offered = told.filter(~c("forever")).withColumn("period", F.explode(F.array(first, first + 1)))
+    pairs = asked.withColumn("period", period).join(offered, ["profile_id", "period"]).drop("period").unionByName(
+        asked.join(told.filter("forever"), "profile_id")
+    ).filter(remembered)
     a, b = F.length("title_key"), F.length("old_key")
     floor = (a + b) * F.lit(fixed.PRIOR_SIMILARITY)
     possible = pairs.filter((2 * F.least(a, b) >= floor) & (2 * similarity.in_common(c("own_letters"), c("letters")) >= floor))
+    # few bytes, much work: a stated number of partitions, by other columns than the distinct rows' own, is not merged for its size
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    titles = possible.select("profile_id", "title_key", "old_key").distinct().repartition(tasks, "title_key", "old_key")
     ratio = similarity.ratio_at_least(fixed.PRIOR_SIMILARITY)
-    by_likeness = possible.withColumn("ratio", ratio(c("title_key"), c("old_key"))).filter(c("ratio") >= fixed.PRIOR_SIMILARITY).select(*key)
+    alike = titles.withColumn("ratio", ratio(c("title_key"), c("old_key"))).filter(c("ratio") >= fixed.PRIOR_SIMILARITY).drop("ratio")
+    by_likeness = new.join(alike, ["profile_id", "title_key"]).join(old, ["profile_id", "old_key"]).filter(remembered).select(*key)
 
     kept = sure.unionByName(by_name).unionByName(by_likeness).distinct()
     w = Window.partitionBy("edition_day", "profile_id", "id").orderBy(F.desc("sent_day"), "sent_id")

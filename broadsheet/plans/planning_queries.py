@@ -292,11 +292,11 @@ def prior_coverage(spark, sf_dir):
     """Picks of each edition against what the same profile was sent on earlier days."""
     picks = cut(quotas.select_edition(scored_items(spark, sf_dir)).select("edition_day", "profile_id", "id", "category", "companies"))
     titles = articles(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "title")
-    facts = picks.join(titles, "id").select(
+    facts = cut(picks.join(titles, "id").select(
         "edition_day", "profile_id", "id", "category", text.title_key(F.col("title")).alias("title_key"),
         text.policy_document(F.col("title"), F.col("category")).alias("document"),
         events.name_list(F.col("companies"), F.lit("")).alias("names"), F.lit(None).cast("date").alias("event_day"),
-    )
+    ))
     history = facts.withColumnRenamed("edition_day", "day").withColumnRenamed("id", "sent_id")
     priors = cut(events.possible_priors(facts, history))
     # every third candidate was decided before: as new where its number is even

@@ -18,19 +18,24 @@ from broadsheet.plans.tables import ARTICLES, ASSESSMENTS, sql_host, with_sql
 def scored_items(spark, sf_dir):
     """Accepted articles with both stage scores per edition they can appear in."""
     gated = gates.apply_assessment(assessed(spark, sf_dir)).filter("accepted AND published IS NOT NULL")
-    days = F.sequence("published", F.date_add("published", fixed.LOOKBACK_DAYS - 1))
-    editions = gated.withColumn("edition_day", F.explode(days))
     none = F.lit(None).cast("double")
-    factor = scores.source_factor(F.col("url"), F.col("source_kind"), none, none)
+    once = F.struct(
+        "effective", scores.source_factor(F.col("url"), F.col("source_kind"), none, none).alias("source_factor"),
+        gates.company_keys(F.col("title"), F.col("summary"), F.col("companies")).alias("companies"), text.digest(F.col("url")).alias("identity"),
+    )
+    # A generated column: what an article has once is not computed again for its editions and the filter on its scores.
+    rated = gated.withColumn("r", F.explode(F.array(once)))
+    days = F.sequence("published", F.date_add("published", fixed.LOOKBACK_DAYS - 1))
+    editions = rated.withColumn("edition_day", F.explode(days))
     fresh = scores.freshness(F.col("edition_day"), F.col("published"))
     return editions.select(
         "edition_day", "profile_id", F.col("doc_id").cast("string").alias("id"), "title", "url", "source", "category",
-        gates.company_keys(F.col("title"), F.col("summary"), F.col("companies")).alias("companies"),
+        "r.companies",
         F.col("published").alias("day"), "published", fresh.alias("freshness"),
-        factor.alias("source_factor"), "effective",
-        scores.shortlist_score(F.col("effective"), fresh).alias("shortlist"),
-        scores.ranking_score(F.col("effective"), factor).alias("ranking"),
-        text.digest(F.col("url")).alias("identity"),
+        "r.source_factor", "r.effective",
+        scores.shortlist_score(F.col("r.effective"), fresh).alias("shortlist"),
+        scores.ranking_score(F.col("r.effective"), F.col("r.source_factor")).alias("ranking"),
+        "r.identity",
     ).filter("shortlist > 0 AND ranking > 0")
 
 

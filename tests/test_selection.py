@@ -4,7 +4,9 @@ import datetime as dt
 import random
 from difflib import SequenceMatcher
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
 from broadsheet.operators import events, planning, quotas
@@ -141,3 +143,33 @@ def test_priors_against_all_pairs(spark):
             if i == j or (doc and doc == old_doc) or overlap or SequenceMatcher(None, title, other).ratio() >= 0.58:
                 want.add((day, p, i, j, sent))
     assert {(r.edition_day, r.profile_id, r.id, r.sent_id, r.sent_day) for r in got} == want and len(want) > 100
+
+
+def test_priors_compare_two_titles_once_in_many_tasks(spark, monkeypatch):
+    compared = spark.sparkContext.accumulator(0)
+
+    def counted(floor):
+        @F.pandas_udf("double")
+        def ratio(earlier: pd.Series, later: pd.Series) -> pd.Series:
+            compared.add(len(earlier))
+            return pd.Series([float(a == b) for a, b in zip(earlier, later)], dtype="float64")
+
+        return ratio.asNondeterministic()
+
+    schema = "edition_day date, profile_id string, id string, event_day date, category string, title_key string, document string, names array<string>"
+    days = [DAY + dt.timedelta(days=i) for i in range(6)]
+    facts = spark.createDataFrame([(d, "p", f"i{n}", None, fixed.INDUSTRY, "acmelaunchesneuralband", "", []) for d in days for n in range(3)], schema)
+    history = facts.withColumnRenamed("edition_day", "day").withColumnRenamed("id", "sent_id")
+    monkeypatch.setattr(events.similarity, "ratio_at_least", counted)
+    priors = events.possible_priors(facts, history, limit=10_000)
+    assert priors.count() == 15 * 9 and compared.value == 1  # 135 pairs of items, one pair of titles
+    plan = priors._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [title_key" in plan and "ascii" not in plan  # dealt by titles; letters are read, not counted again
+
+
+def test_scores_of_an_article_are_computed_once(spark):
+    from broadsheet.plans import selection_queries
+
+    plan = selection_queries.scored_items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # the host of an address was taken out of it more than a thousand times
+    assert plan.count("regexp_extract") < 60
