@@ -46,3 +46,12 @@ def test_interests_and_lines_on_odd_texts(spark):
     lines = items.withColumn("own", F.expr("IF(doc_id = 4, null, array('a'))")).select("doc_id", matching.paragraph_matches(F.col("body"), [{"id": "a", "groups": [["眼镜"], ["of the"]]}, {"id": "b", "groups": [["attion"]]}], 1, F.col("own")).alias("x"))
     assert "regexp_replace" not in lines._jdf.queryExecution().optimizedPlan().toString()
     assert {r["doc_id"]: r["x"] for r in lines.collect()} == {1: ["one", "眼镜 of the"], 2: None, 3: ["x"], 4: ["眼镜"]}
+
+
+def test_single_words_are_found_without_normalising(monkeypatch):
+    rules = [{"groups": [["with"], ["for", "two words"], ["in"]]}, {"groups": [["für"]]}, {"groups": [["of the"]]}, {"groups": [["眼镜"]]}]
+    asked = matching._asked(rules)
+    for place, held in (("inside with for, in", [0]), ("with-for_in", [0]), ("within for win", []), ("éwith中for 9in", []), ("two. words with in中", [0]), ("f r", [1]), ("für", [1]), ("of - the", [2]), ("a眼镜", [3])):
+        assert matching._held(place, asked) == held, place
+    monkeypatch.setattr(matching, "_normal", None)
+    assert matching._held("inside with for, in 9", asked[:1]) == [0]
