@@ -13,12 +13,14 @@ aggregates (one row per key and representative); the rounds needed are the depth
 not the size of the groups. A title or address shared by a third of all rows is one row on the aggregate
 side, and the probing side of the join is split by adaptive skew handling.
 
-Similar titles are found by pigeonhole: at the required similarity fewer than k characters of a title differ,
-so one of any k + 1 disjoint four-character pieces of it occurs verbatim in the other title. The k + 1 pieces that
-are rarest among the titles of that day are asked for, so a phrase that many titles share is not. Pairs must then
-pass bounds on length, on the pieces' places and on the characters in common before their similarity is computed.
-Only titles of current representatives look for partners, and of those in one block a growing number per round,
-so a family of near copies costs about one comparison per member rather than one per pair.
+Similar titles are found by bounds that lose none: titles of one day and the same numbers meet in cells of like length,
+split into blocks of bounded text, and a task compares counts. Of a pair as alike as required nearly all characters lie
+in common stretches, of which there are at most one more than the characters left over, and at most twice as many as
+the later title has rare characters and one more (SequenceMatcher starts only from rare ones in titles of 200 or more). So
+many characters, and pairs of neighbouring ones, must be common to both; few pairs are left whose similarity is computed.
+Titles that many others may resemble wait: only those that are still representatives look for partners, and of those
+that share their rarest pieces a growing number per round, so a family of near copies costs about one comparison per
+member rather than one per pair.
 
 Step tables grow with the input, but their files are far smaller than their rows in memory (hashes repeat, letters are
 mostly zero), so Spark would take them for small and collect them in the driver to broadcast them. Joins of two such
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +40,10 @@ from broadsheet.functions import similarity, text, urls
 from broadsheet.session import cut
 
 PIECE = 4
-#: Representatives of a block that look for partners in the first round, and how that number grows.
+#: Titles that one may resemble before it waits, also the number of a block that look for partners first, and how that grows.
 LEADERS, LEADER_GROWTH = 32, 2
+#: Lengths in a cell differ by this factor at most, a little more than similar titles do; characters and titles in a block.
+STEP, BLOCK_CHARACTERS, BLOCK_TITLES = 1.18, 1 << 22, 1 << 13
 # Unmatched characters of a pair are at most (1 - s) * (a + b), and the longer is at most (2 - s) / s times the shorter.
 _LOOSE = 1 - fixed.TITLE_SIMILARITY
 DIFFERING = _LOOSE * (1 + (2 - fixed.TITLE_SIMILARITY) / fixed.TITLE_SIMILARITY)
@@ -90,33 +95,65 @@ def _kind(key: Column, day: Column, numbers: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", key, day.cast("string"), numbers), 256)
 
 
-def candidate_pairs(leaders: DataFrame, titles: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(leader, kind) pairs of titles that share a rare piece at about the same place and could be similar by length."""
-    probe = _rarest(leaders, frequencies).select(
-        "piece", "day", "numbers", "at", F.col("kind").alias("leader"), F.length("title_key").alias("leader_length")
-    )
-    offered = _windows(titles.select("kind", "title_key", "day", "numbers")).select(
-        "piece", "day", "numbers", "found_at", "kind", F.length("title_key").alias("length")
-    )
-    a, b = F.col("leader_length"), F.col("length")
-    near = (F.least(a, b) * 2 >= (a + b) * fixed.TITLE_SIMILARITY) & (F.abs(F.col("at") - F.col("found_at")) <= F.ceil((a + b) * _LOOSE))
-    pairs = probe.join(offered.hint("merge"), ["piece", "day", "numbers"]).filter((F.col("leader") != F.col("kind")) & near)
-    return pairs.select("leader", "kind").distinct()
+def _cells(titles: DataFrame) -> DataFrame:
+    length = F.length("title_key")
+    cell = F.floor(F.log(length) / math.log(STEP)).cast("int").alias("cell")
+    # aliases, as leaders may be the titles themselves
+    return titles.filter(length > 0).select(*[F.col(c).alias(c) for c in ("kind", "title_key", "day", "numbers")], cell)
+
+
+def _candidates(leaders: DataFrame, titles: DataFrame, most: int | None = None) -> DataFrame:
+    """leader, n, kinds: how many titles of a block may be similar by their counts, and which; null if more than `most`."""
+    cell = ["day", "numbers", "cell"]
+    asking = _cells(leaders)
+    offered = _cells(titles).withColumn("cell", F.explode(F.array(*[F.col("cell") + i for i in (-1, 0, 1)])))
+
+    def sizes(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*cell).agg(F.count(F.lit(1)).alias(name), F.min("kind").alias(f"{name}_first"), F.max("kind").alias(f"{name}_last"))
+
+    one_alone = (F.col("n_asking_first") == F.col("n_offered_last")) & (F.col("n_asking_last") == F.col("n_offered_first"))
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TITLES), F.lit(BLOCK_CHARACTERS) / F.pow(F.lit(STEP), F.col("cell") + 1)))
+    both = sizes(asking, "n_asking").join(sizes(offered, "n_offered").hint("merge"), cell).filter(~one_alone)
+    both = both.select(*cell, F.ceil(F.col("n_asking") / block).alias("parts"), F.ceil(F.col("n_offered") / block).alias("other_parts"))
+
+    def own(parts: str) -> Column:
+        return F.pmod(F.xxhash64("kind"), F.col(parts))
 
+    def every(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
 
-def similar_titles(leaders: DataFrame, titles: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(leader kind, kind) where the later title is similar enough to the leader's.
+    left = asking.join(both.hint("merge"), cell).select(*cell, own("parts").alias("part"), every("other_parts").alias("other"), "kind", "title_key")
+    right = offered.join(both.hint("merge"), cell).select(*cell, every("parts").alias("part"), own("other_parts").alias("other"), "kind", "title_key")
+    floor = fixed.TITLE_SIMILARITY
 
-    Both sides: kind, title_key, day, numbers; titles also letters. The order of comparison is leader first.
+    def compare(asking: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(asking) and len(offered):
+            kinds, found = offered["kind"].to_numpy(), similarity.possible(list(asking["title_key"]), list(offered["title_key"]), floor)
+            for leader, at in zip(asking["kind"], found, strict=True):
+                other = [k for k in kinds[at] if k != leader]
+                if other:
+                    out.append((leader, len(other), other if most is None or len(other) <= most else None))
+        return pd.DataFrame(out, columns=["leader", "n", "kinds"])
+
+    keys = [*cell, "part", "other"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "leader string, n long, kinds array<string>")
+
+
+def candidate_pairs(leaders: DataFrame, titles: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
+    """(leader, kind) pairs of titles that could be similar by their counts; the frequencies are not needed for it any more."""
+    return _candidates(leaders, titles).select("leader", F.explode("kinds").alias("kind"))
+
+
+def similar_titles(pairs: DataFrame, leaders: DataFrame, titles: DataFrame) -> DataFrame:
+    """(leader kind, kind) of the pairs whose later title is similar enough to the leader's.
+
+    Both sides: kind, title_key. The order of comparison is leader first.
     """
-    asked = leaders.select(F.col("kind").alias("leader"), F.col("title_key").alias("a"), similarity.letters(F.col("title_key")).alias("letters_a"))
-    named = candidate_pairs(leaders, titles, frequencies).join(asked.hint("merge"), "leader").join(
-        titles.select("kind", F.col("title_key").alias("b"), "letters").hint("merge"), "kind"
-    )
-    whole = F.length("a") + F.length("b")
-    possible = named.filter(2 * similarity.in_common(F.col("letters_a"), F.col("letters")) >= whole * fixed.TITLE_SIMILARITY)
+    asked = leaders.select(F.col("kind").alias("leader"), F.col("title_key").alias("a"))
+    named = pairs.join(asked.hint("merge"), "leader").join(titles.select("kind", F.col("title_key").alias("b")).hint("merge"), "kind")
     ratio = similarity.ratio_at_least(fixed.TITLE_SIMILARITY)
-    return possible.withColumn("r", ratio(F.col("a"), F.col("b"))).filter(F.col("r") >= fixed.TITLE_SIMILARITY).select("leader", "kind")
+    return named.withColumn("r", ratio(F.col("a"), F.col("b"))).filter(F.col("r") >= fixed.TITLE_SIMILARITY).select("leader", "kind")
 
 
 def _segments(keys: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -194,8 +231,7 @@ def assign_representatives(items: DataFrame) -> DataFrame:
         "kind", _kind(F.col("key"), F.col("day"), F.col("numbers"))
     )
     titles = eligible.groupBy("kind").agg(*[F.first(c).alias(c) for c in ("key", "title_key", "day", "numbers")])
-    titles = cut(titles.withColumn("letters", similarity.letters(F.col("title_key"))))
-    frequencies = cut(piece_frequencies(titles))
+    titles = cut(titles)
     names = cut(keys.filter(F.length("title_key") >= fixed.MIN_TITLE_KEY).groupBy("key").agg(F.first("title_key").alias("title_key")))
     item_kinds = eligible.select("pos", "kind")
     addresses = keys.select("pos", F.explode("addresses").alias("address"))
@@ -204,6 +240,7 @@ def assign_representatives(items: DataFrame) -> DataFrame:
     assigned = cut(keys.select("pos", "key").join(first.hint("merge"), "key").select("pos", "rep"))
     edges = spark.createDataFrame([], "leader string, kind string")
     expanded = spark.createDataFrame([], "kind string")
+    crowded, has_crowded = spark.createDataFrame([], "kind string"), False
     leaders_per_block = LEADERS
     while True:
         spans = cut(_segments(keys, assigned))
@@ -214,14 +251,28 @@ def assign_representatives(items: DataFrame) -> DataFrame:
             .join(names.hint("merge"), "key")
             .join(expanded.hint("merge"), "kind", "left_anti")
         )
-        turn = cut(_turn(wanted, frequencies, leaders_per_block))
-        asked = turn.filter("ready")
-        waiting = not turn.isEmpty()
-        if waiting:
-            edges = edges.unionByName(cut(similar_titles(asked, titles, frequencies)))
-            expanded = expanded.unionByName(asked.select("kind"))
-            waiting = not turn.filter("NOT ready").isEmpty()
-        leaders_per_block *= LEADER_GROWTH
+        wanted = cut(wanted)
+        waiting = False
+        if not wanted.isEmpty():
+            fresh = wanted.join(crowded.hint("merge"), "kind", "left_anti")
+            around = titles.join(wanted.select("day", "numbers").distinct(), ["day", "numbers"], "left_semi")
+            found = cut(_candidates(fresh, around, LEADERS))
+            done = fresh.select("kind")
+            pairs = found.select("leader", F.explode("kinds").alias("kind"))
+            full = found.groupBy(F.col("leader").alias("kind")).agg(F.sum("n").alias("n")).filter(F.col("n") > LEADERS).select("kind")
+            if has_crowded or not full.isEmpty():
+                has_crowded, full = True, cut(full)
+                crowded = crowded.unionByName(full)
+                left = cut(wanted.join(crowded.hint("merge"), "kind", "left_semi"))
+                turn = cut(_turn(left, cut(piece_frequencies(left)), leaders_per_block))
+                asked = turn.filter("ready")
+                pairs = pairs.join(full.select(F.col("kind").alias("leader")).hint("merge"), "leader", "left_anti").unionByName(candidate_pairs(asked, around))
+                done = cut(done.join(full.hint("merge"), "kind", "left_anti").unionByName(asked.select("kind")))
+                waiting = not turn.filter("NOT ready").isEmpty()
+                leaders_per_block *= LEADER_GROWTH
+            expanded = expanded.unionByName(done)
+            if has_crowded or not found.isEmpty():
+                edges = edges.unionByName(cut(similar_titles(pairs, wanted, titles)))
 
         # Titles: a change of day does not interrupt a title, so spans of one title are joined up again.
         titled = spans.groupBy("rep", "key", F.col("titled_since").alias("since")).agg(

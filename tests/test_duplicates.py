@@ -143,3 +143,40 @@ def test_growing_tables_are_not_collected_for_broadcast(spark):
     wanted = titles.withColumn("since", F.length("kind"))
     for made in (duplicates._turn(wanted, frequencies, 32), duplicates.candidate_pairs(titles, titles, frequencies)):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounds_on_counts_are_safe_and_leave_few_pairs():
+    """No similar pair is lost, short and long (where frequent characters start no stretch); unlike titles hardly ever pass."""
+    rnd = random.Random(9)
+    for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyzé数", "aaaaaaaaabcdefgh"):
+        for length in (14, 60, 199, 203, 420):
+            base, titles = rnd.choices(alphabet, k=length), []
+            for _ in range(10):
+                t = base.copy()
+                for _ in range(rnd.randint(0, length // 8 + 1)):
+                    at = rnd.randrange(len(t))
+                    t[at:at + rnd.randint(0, 1)] = rnd.choices(alphabet, k=rnd.randint(0, 1))
+                titles.append("".join(t))
+            found = [set(at.tolist()) for at in similarity.possible(titles, titles, 0.92)]
+            assert all(j in found[i] or SequenceMatcher(None, a, b).ratio() < 0.92 for i, a in enumerate(titles) for j, b in enumerate(titles))
+    syllables = ["".join(rnd.choices("abcdefghijklmnoprstu", k=2)) for _ in range(60)]
+    titles = ["".join(rnd.choices(syllables, k=rnd.randint(20, 300))) for _ in range(400)]
+    assert sum(map(len, similarity.possible(titles, titles, 0.92))) < 440
+
+
+def test_titles_of_few_syllables_make_few_pairs(spark):
+    """Titles made of the same syllables share pieces everywhere, yet hardly any two may be similar."""
+    rnd = random.Random(10)
+    syllables = ["".join(rnd.choices("abcdefghijklmnoprstu", k=2)) for _ in range(60)]
+    titles = ["".join(rnd.choices(syllables, k=rnd.randint(20, 150))) for _ in range(600)]
+    keys = spark.createDataFrame([(str(i), t, dt.date(2024, 1, 1), "") for i, t in enumerate(titles)], "kind string, title_key string, day date, numbers string")
+    assert duplicates.candidate_pairs(keys, keys, duplicates.piece_frequencies(keys)).count() < 100
+
+
+def test_small_blocks_and_crowded_titles(spark, monkeypatch):
+    """Cells split into many blocks, and titles that more than one other may resemble, give the same merge."""
+    monkeypatch.setattr(duplicates, "LEADERS", 1)
+    monkeypatch.setattr(duplicates, "BLOCK_TITLES", 3)
+    rows = fixture(4)
+    frame = spark.createDataFrame([tuple(r[c.split()[0]] for c in SCHEMA.split(", ")) for r in rows], SCHEMA)
+    assert {r.pos: r.rep for r in duplicates.assign_representatives(frame).collect()} == sequential(rows)[0]
