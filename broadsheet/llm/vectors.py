@@ -1,16 +1,19 @@
 """Near-duplicate embeddings by product quantisation.
 
-A coarse k-means on a bounded sample gives inverted lists, a k-means per subspace on the residuals gives the codes. Every
-vector is stored in the list of its nearest centroid, and probes each list whose border with that cell lies within
-`slack` standard deviations of where a vector at the threshold would fall (a displacement of length r in d dimensions
-moves r / sqrt(d) along any one direction). A list's stored codes are compared with probing vectors asymmetrically: what
-the codes stand for (centroid plus one book entry per subspace), times the vectors, in single precision. That misses the
-true cosine by at most the stored vector's quantisation error and a rounding error, so adding both loses nothing; what
-remains is decided by the exact cosine in doubles.
-
-Vectors that are equal component by component are one class, and only its head is compared. Lists are split into blocks
-of stored and of probing vectors by hash, so a list that holds a third of all rows becomes many tasks of bounded size.
-A task returns a count for each probing vector and a spanning link for each vector that it connects, never its pairs.
+A coarse k-means on a bounded sample gives lists, a k-means per subspace on the residuals gives the codes. Vectors are
+written once, ordered by list, in blocks of a bounded number of rows to files in the shared folder; every task reads one
+block and after it, one at a time, the blocks that it is to be compared with, so vectors are never copied for a comparison.
+Every two blocks meet once. A block's stored codes are compared with the other's vectors asymmetrically: what the codes
+stand for (centroid plus one book entry per subspace), times the vectors, in single precision. That misses the true
+cosine by at most the stored vector's quantisation error and a rounding error, so adding both loses nothing; what remains
+is decided by the exact cosine in doubles. A vector whose products with a block's centroids, plus the longest residuals
+there, stay below the threshold is not compared with that block. No link is lost, whatever the vectors look like.
+
+Disk is in proportion to the rows: ids and vectors once, vectors and codes once in a shuffle and once in the files. Comparisons
+grow with the square of the rows unless the lists keep blocks apart; a task holds two blocks.
+
+Vectors that are equal component by component are one class, and only its head is compared. A task returns a count for each
+vector that is linked and a spanning link for each vector that it connects, never its pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do those
 of another dimension than the most frequent one; of rows with the same id the smallest vector counts; rows without an id
@@ -19,15 +22,19 @@ are left out; no rows give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import os
+import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from broadsheet.llm._common import map_arrow, type_of
+from broadsheet.llm._common import map_arrow, marked, shared_folder, type_of
 from broadsheet.llm._graph import components
 from broadsheet.session import cut
 
@@ -56,7 +63,6 @@ class Quantiser:
 
     def __init__(self, sample: np.ndarray, lists: int, subspaces: int, codes: int):
         self.centres = kmeans(sample, lists)
-        self.between = np.sqrt(np.maximum(((self.centres[:, None, :] - self.centres[None, :, :]) ** 2).sum(2), 1e-30)) if len(self.centres) <= 512 else None
         dim = sample.shape[1]
         self.cuts = [int(c) for c in np.linspace(0, dim, min(subspaces, dim) + 1)]
         rest = sample - self.centres[self.distances(sample).argmin(1)]
@@ -77,23 +83,26 @@ class Quantiser:
             miss += ((part - book[code]) ** 2).sum(1)
         return np.column_stack(codes), np.sqrt(miss)
 
-    def probes(self, x: np.ndarray, own: np.ndarray, d2: np.ndarray, reach: float) -> list[np.ndarray]:
-        """Lists whose border with a vector's own cell is at most `reach` away from it."""
-        gap = d2 - d2[np.arange(len(x)), own][:, None]
-        if self.between is not None:
-            between = self.between[own]
-        else:
-            c = self.centres
-            between = np.sqrt(np.maximum((c**2).sum(1)[None, :] + (c[own] ** 2).sum(1)[:, None] - 2 * c[own] @ c.T, 1e-30))
-        return [np.flatnonzero(row).astype(np.int32) for row in gap <= 2 * reach * between]
-
-    def decoded(self, list_: int, codes: np.ndarray) -> np.ndarray:
-        """What a list's codes stand for: the centroid and an entry of each book."""
+    def decoded(self, list_: int | np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What codes stand for: the centroid of their list, or of each one's, and an entry of each book."""
         return self.centres[list_] + np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of finite vectors, none of them zero, at length one."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _matrix(column, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=dtype).reshape(len(column), -1)
+
+
+def _fixed(column: pa.Array, dtype) -> np.ndarray:
+    """A column of fixed-size binaries as a matrix, without a copy."""
+    width = column.type.byte_width
+    return np.frombuffer(column.buffers()[1], dtype=np.uint8)[column.offset * width : (column.offset + len(column)) * width].view(dtype).reshape(len(column), -1)
 
 
 def _linked(hit: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
@@ -117,96 +126,166 @@ def near_vectors(
     sample_rows: int = 20_000,
     subspaces: int = 8,
     codes: int = 64,
-    slack: float = 5.0,
     block: int = 2048,
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept. `sample_rows` bounds what the quantiser is fitted on."""
     spark, kind = table.sparkSession, type_of(table, id_col)
-    rows = table.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
+    width, dtype = ("float", "<f4") if table.schema[vec_col].dataType == T.ArrayType(T.FloatType()) else ("double", "<f8")
+    rows = table.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast(f"array<{width}>").alias("v"))
+    again = cut(rows.groupBy("id").count().filter("count > 1").select("id"))
+    both = marked(rows, "id", again, "again")  # only rows of repeated ids are shuffled
+    rows = both.filter("not again").select("id", "v").unionByName(both.filter("again").groupBy("id").agg(F.min("v").alias("v")))
 
     def unit(batches):
         for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                x = np.array(v if v and None not in v else [], dtype=np.float64)
-                top = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0.0
-                out.append((x / top / np.linalg.norm(x / top)).tobytes() if top > 0 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "u"])
-
-    units = cut(map_arrow(rows, unit, f"id {kind}, u binary"))
-    dims = units.filter("u is not null").groupBy(F.octet_length("u").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
+            lists, raw, digest = batch.column(1), [None] * len(batch), [None] * len(batch)
+            values = lists.flatten().to_numpy(zero_copy_only=False)  # a null component becomes not a number
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            for length in np.unique(n[n > 0]):
+                at = np.flatnonzero(n == length)
+                x = values[(np.cumsum(n) - n)[at][:, None] + np.arange(length)].astype(dtype)
+                good = np.isfinite(x).all(1) & (x != 0).any(1)
+                for i, v, u in zip(at[good], x[good], unit_rows(x[good]) if good.any() else [], strict=True):
+                    raw[i], digest[i] = v.tobytes(), hashlib.sha256(u.tobytes()).digest()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], ["id", "digest", "raw"])
+
+    units = cut(map_arrow(rows, unit, f"id {kind}, digest binary, raw binary"))
+    dims = units.filter("raw is not null").groupBy(F.octet_length("raw").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
     alone = units.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     if dims is None:
         return alone.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.lit(True).alias("kept"))
-    valid = F.coalesce(F.octet_length("u") == dims["bytes"], F.lit(False))
-    classes = cut(units.filter(valid).groupBy("u").agg(F.min("id").alias("head"), F.count("*").alias("mult")))
+    valid = F.coalesce(F.octet_length("raw") == dims["bytes"], F.lit(False))
+    classes = cut(units.filter(valid).groupBy("digest").agg(F.min("id").alias("head"), F.count("*").alias("mult")))
     n = classes.count()
+    # heads with their vectors; only rows of classes of several are joined
+    several = cut(units.filter(valid).select("id", "digest").join(classes.filter("mult > 1"), "digest").select(F.col("id").alias("member"), "head", "mult"))
+    both = marked(units.filter(valid).select("id", "raw"), "id", several.select("member"), "joined")
+    one = F.lit(1).cast("long").alias("mult")
+    joined = both.filter("joined").join(several, F.col("id") == F.col("member"), "left").filter("member is null or id = head")
+    firsts = both.filter("not joined").select("id", one, "raw").unionByName(joined.select("id", F.coalesce("mult", F.lit(1)).alias("mult"), "raw"))
     share = F.lit(int(min(1.0, sample_rows / n) * (1 << 30)))
-    sample = _matrix([r["u"] for r in classes.filter(F.pmod(F.xxhash64("u"), F.lit(1 << 30)) < share).select("u").orderBy("u").collect()] or [classes.first()["u"]])
+    drawn = firsts.filter(F.pmod(F.xxhash64("raw"), F.lit(1 << 30)) < share).select("raw").orderBy("raw").collect() or [firsts.first()]
+    sample = unit_rows(_matrix([r["raw"] for r in drawn], dtype))
     lists = max(1, min(math.isqrt(n), 4096, len(sample) // 8))
     shipped = spark.sparkContext.broadcast(Quantiser(sample, lists, subspaces, codes))  # bounded by sample_rows
-    reach = slack * math.sqrt(2 - 2 * threshold) / math.sqrt(dims["bytes"] // 8)
 
     def assign(batches):
         q = shipped.value
         for batch in batches:
-            x = _matrix(batch.column(2).to_pylist())
-            d2 = q.distances(x)
-            own = d2.argmin(1)
+            x = unit_rows(_matrix(batch.column(2).to_pylist(), dtype))
+            own = q.distances(x).argmin(1)
             code, miss = q.encode(x, own)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(own, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(miss), pa.array(q.probes(x, own, d2, reach), pa.list_(pa.int32()))],
-                ["id", "mult", "u", "list", "code", "miss", "probes"],
+                [*batch.columns, pa.array(own, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(miss)], ["id", "mult", "raw", "list", "code", "miss"]
             )
 
-    stored = cut(map_arrow(classes.select(F.col("head").alias("id"), "mult", "u"), assign, f"id {kind}, mult long, u binary, list int, code binary, miss double, probes array<int>"))
-    probing = stored.select(F.col("id").alias("qid"), F.col("u").alias("qu"), F.explode("probes").alias("list"))
-    sizes = stored.groupBy("list").agg(F.count("*").alias("m")).join(probing.groupBy("list").agg(F.count("*").alias("q")), "list")
-    blocks = F.broadcast(sizes.select("list", F.ceil(F.col("m") / block).alias("mbs"), F.ceil(F.col("q") / block).alias("qbs")))  # at most 4096 rows
-
-    def every(count):
-        return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
-
-    left = stored.join(blocks, "list").withColumn("mb", F.pmod(F.xxhash64("id"), F.col("mbs"))).select("list", "mb", every(F.col("qbs")).alias("qb"), "id", "mult", "u", "code", "miss")
-    right = probing.join(blocks, "list").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("qbs"))).select("list", every(F.col("mbs")).alias("mb"), "qb", "qid", "qu")
-
-    def compare(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(members) and len(queries):
-            q = shipped.value
-            m, x = _matrix(members["u"]), _matrix(queries["qu"])
-            code = np.frombuffer(b"".join(members["code"]), dtype=np.uint8).reshape(len(m), -1)
-            miss, mult, list_ = members["miss"].to_numpy(), members["mult"].to_numpy(), int(members["list"].iloc[0])
-            ids, place = np.unique(np.concatenate([members["id"].to_numpy(), queries["qid"].to_numpy()]), return_inverse=True)
-            mp, qp = place[: len(m)].astype(np.int64), place[len(m) :].astype(np.int64)
-            coarse, least = q.decoded(list_, code).astype(np.float32).T, (threshold - rounding(m.shape[1]) - miss).astype(np.float32)
-            for at in range(0, len(x), 256):
-                part = x[at : at + 256]
-                hit = part.astype(np.float32) @ coarse >= least
-                # most lists that a vector probes hold nothing near it
+    folder = shared_folder(spark, "vectors")
+
+    def write(batches):
+        q, held, path, out, count = shipped.value, [], f"{folder}/{uuid.uuid4().hex}", None, 0
+
+        def put(part: pa.Table):
+            nonlocal out, count
+            for name in ("raw", "code"):
+                at = part.schema.get_field_index(name)
+                part = part.set_column(at, name, part.column(at).cast(pa.binary(len(part.column(at)[0].as_py()))))
+            part = part.combine_chunks().to_batches()[0]
+            if out is None:
+                os.makedirs(folder, exist_ok=True)
+                out = pa.ipc.new_file(path, part.schema)
+            out.write_batch(part)
+            count += 1
+            own = part.column("list").to_numpy()
+            long = np.linalg.norm(unit_rows(_fixed(part.column("raw"), dtype)) - q.centres[own], axis=1)
+            here = np.unique(own)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([path]), pa.array([count - 1], pa.int32()), pa.array([here], pa.list_(pa.int32())), pa.array([[long[own == k].max() for k in here]], pa.list_(pa.float64()))],
+                ["path", "place", "lists", "longest"],
+            )
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= block:
+                table = pa.Table.from_batches(held)
+                while len(table) >= block:
+                    yield put(table.slice(0, block))
+                    table = table.slice(block)
+                held = table.to_batches()
+        if sum(map(len, held)):
+            yield put(pa.Table.from_batches(held))
+        if out is not None:
+            out.close()
+
+    # a list that holds a large share of all rows goes to eight partitions
+    dealt = map_arrow(firsts, assign, f"id {kind}, mult long, raw binary, list int, code binary, miss double").repartition("list", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("list")
+    index = map_arrow(dealt, write, "path string, place int, lists array<int>, longest array<double>").collect()  # one row a block
+    blocks = spark.sparkContext.broadcast([(r["path"], r["place"], np.array(r["lists"]), np.array(r["longest"])) for r in index])
+
+    def compare(batches):
+        q, all_blocks, opened = shipped.value, blocks.value, {}
+        total = len(all_blocks)
+
+        def read(k: int) -> pa.RecordBatch:
+            path, place = all_blocks[k][:2]
+            if path not in opened:
+                opened.clear()  # blocks follow each other by file
+                opened[path] = pa.ipc.open_file(pa.memory_map(path))
+            return opened[path].get_batch(place)
+
+        def links_of(i: int):
+            one = read(i)
+            x, mult, ids = unit_rows(_fixed(one.column("raw"), dtype)), one.column("mult").to_numpy(), one.column("id").to_numpy(zero_copy_only=False)
+            small, counts = x.astype(np.float32), np.zeros(len(x), dtype=np.int64)
+            for step in range(total // 2 + 1):
+                j = (i + step) % total
+                if 2 * step == total and i >= j:
+                    continue  # the other block takes this pair
+                centres, longest = q.centres[all_blocks[j][2]], all_blocks[j][3]
+                near = np.flatnonzero((x @ centres.T + longest >= threshold - 1e-9).any(1))
+                if not len(near):
+                    continue
+                other = read(j)
+                coarse = q.decoded(other.column("list").to_numpy(), _fixed(other.column("code"), np.uint8)).astype(np.float32).T
+                least = (threshold - rounding(x.shape[1]) - other.column("miss").to_numpy()).astype(np.float32)
+                hit = small[near] @ coarse >= least
+                # most blocks hold nothing near a vector
                 r, c = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
                 if not len(r):
                     continue
-                hit, some, own = hit[np.ix_(r, c)], part[r], m[c]
+                hit, r = hit[np.ix_(r, c)], near[r]
+                some, own = x[r], unit_rows(_fixed(other.column("raw"), dtype)[c])
                 a, b = np.nonzero(hit)
                 if len(a) > hit.size // 8:
                     hit &= some @ own.T >= threshold
                 else:
                     for k in range(0, len(a), 20_000):
-                        i, j = a[k : k + 20_000], b[k : k + 20_000]
-                        hit[i, j] = np.einsum("ij,ij->i", some[i], own[j]) >= threshold
-                counts = hit @ mult[c]
-                out += [(ids[qp[at + r[i]]], int(n), None) for i, n in enumerate(counts) if n]
-                out += [(ids[i], 0, ids[j]) for i, j in _linked(hit, qp[at + r], mp[c])]
-        return pd.DataFrame(out, columns=["id", "n", "other"]).astype({"id": queries["qid"].dtype, "n": "int64"})
-
-    keys = ["list", "mb", "qb"]
-    found = cut(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, f"id {kind}, n long, other {kind}"))
+                        f, g = a[k : k + 20_000], b[k : k + 20_000]
+                        hit[f, g] = np.einsum("ij,ij->i", some[f], own[g]) >= threshold
+                if not step:
+                    hit &= r[:, None] != c[None, :]
+                counts[r] += hit @ other.column("mult").to_numpy()[c]
+                others = other.column("id").to_numpy(zero_copy_only=False)[c]
+                if step:
+                    back = mult[r] @ hit
+                    yield from ((others[k], int(back[k]), None) for k in np.flatnonzero(back))
+                names, place = np.unique(np.concatenate([ids[r], others]), return_inverse=True)
+                yield from ((names[f], 0, names[g]) for f, g in _linked(hit, place[: len(r)].astype(np.int64), place[len(r) :].astype(np.int64)))
+            yield from ((ids[k], int(counts[k]), None) for k in np.flatnonzero(counts))
+
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                rows = list(links_of(i))
+                if rows:
+                    key = read(i).schema.field("id").type
+                    a, counted, b = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, key), pa.array(counted, pa.int64()), pa.array(b, key)], ["id", "n", "other"])
+
+    tasks = spark.range(0, len(index), 1, max(1, min(len(index), 1000)))
+    found = cut(map_arrow(tasks, compare, f"id {kind}, n long, other {kind}"))
     roots = components(found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    links = found.groupBy("id").agg((F.sum("n") - 1).alias("n_links"))
+    links = found.groupBy("id").agg(F.sum("n").alias("n"))
     heads = classes.join(links, F.col("head") == F.col("id"), "left").drop("id").join(roots, F.col("head") == F.col("node"), "left")
-    heads = heads.select("u", F.coalesce("n_links", F.col("mult") - 1).alias("n_links"), F.coalesce("root", "head").alias("component"))
-    joined = units.filter(valid).join(heads, "u").select("id", "n_links", "component")
+    heads = heads.select("digest", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "head").alias("component"))
+    joined = units.filter(valid).select("id", "digest").join(heads, "digest").select("id", "n_links", "component")
     out = joined.unionByName(alone.join(units.filter(~valid).select("id"), "id", "left_semi"))
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

@@ -44,6 +44,20 @@ def test_vectors_match_brute_force(spark):
     assert vectors.near_vectors(frame.filter("vec_id = 1000")).count() == 1
 
 
+def test_low_rank_vectors_lose_no_link(spark):
+    """Vectors near a subspace crowd the borders of the lists; every link is found, over many blocks and copies."""
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(900, 3)) @ rng.normal(size=(3, 32)) + 0.05 * rng.normal(size=(900, 32))
+    rows[800:] = rows[:100]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in vectors.near_vectors(frame.repartition(4), block=64).collect()}
+    single = rows.astype(np.float32).astype(np.float64)
+    u = single / np.linalg.norm(single, axis=1, keepdims=True)
+    cosines = u @ u.T
+    assert np.abs(cosines - 0.9).min() > 1e-12
+    assert [got[i]["n_links"] for i in range(900)] == ((cosines >= 0.9).sum(1) - 1).tolist()
+
+
 def test_decoded_lists_bound_the_cosines():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 24)) + 2 * rng.normal(size=(6, 24))[np.arange(600) % 6]
