@@ -248,19 +248,21 @@ def near_vectors(
                 coarse = q.decoded(other.column("list").to_numpy(), _fixed(other.column("code"), np.uint8)).astype(np.float32).T
                 least = (threshold - rounding(x.shape[1]) - other.column("miss").to_numpy()).astype(np.float32)
                 hit = small[near] @ coarse >= least
+                some, own = x[near], unit_rows(_fixed(other.column("raw"), dtype))
+                maybe = np.flatnonzero(hit)
+                if len(maybe) > hit.size // 8:
+                    r, c = np.nonzero(some @ own.T >= threshold)
+                else:
+                    r, c = np.divmod(maybe, hit.shape[1])
+                    parts = [slice(k, k + 8192) for k in range(0, len(r), 8192)]
+                    sure = np.concatenate([np.einsum("ij,ij->i", some[r[k]], own[c[k]]) >= threshold for k in parts] or [maybe > 0])
+                    r, c = r[sure], c[sure]
                 # most blocks hold nothing near a vector
-                r, c = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
                 if not len(r):
                     continue
-                hit, r = hit[np.ix_(r, c)], near[r]
-                some, own = x[r], unit_rows(_fixed(other.column("raw"), dtype)[c])
-                a, b = np.nonzero(hit)
-                if len(a) > hit.size // 8:
-                    hit &= some @ own.T >= threshold
-                else:
-                    for k in range(0, len(a), 20_000):
-                        f, g = a[k : k + 20_000], b[k : k + 20_000]
-                        hit[f, g] = np.einsum("ij,ij->i", some[f], own[g]) >= threshold
+                (r, at_r), (c, at_c) = np.unique(near[r], return_inverse=True), np.unique(c, return_inverse=True)
+                hit = np.zeros((len(r), len(c)), dtype=bool)
+                hit[at_r, at_c] = True
                 if not step:
                     hit &= r[:, None] != c[None, :]
                 counts[r] += hit @ other.column("mult").to_numpy()[c]
