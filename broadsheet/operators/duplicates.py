@@ -241,10 +241,9 @@ def assign_representatives(items: DataFrame) -> DataFrame:
     edges = spark.createDataFrame([], "leader string, kind string")
     expanded = spark.createDataFrame([], "kind string")
     crowded, has_crowded = spark.createDataFrame([], "kind string"), False
-    leaders_per_block = LEADERS
+    leaders_per_block, settled = LEADERS, False
     while True:
-        spans = cut(_segments(keys, assigned))
-        near_spans = spans.filter("day IS NOT NULL").withColumn("leader", _kind(F.col("key"), F.col("day"), F.col("numbers")))
+        near_spans = _named(_segments(keys, assigned))
         wanted = (
             near_spans.groupBy(F.col("leader").alias("kind"))
             .agg(F.min("since").alias("since"), *[F.first(c).alias(c) for c in ("key", "day", "numbers")])
@@ -252,7 +251,7 @@ def assign_representatives(items: DataFrame) -> DataFrame:
             .join(expanded.hint("merge"), "kind", "left_anti")
         )
         wanted = cut(wanted)
-        waiting = False
+        waiting, alike = False, None
         if not wanted.isEmpty():
             fresh = wanted.join(crowded.hint("merge"), "kind", "left_anti")
             around = titles.join(wanted.select("day", "numbers").distinct(), ["day", "numbers"], "left_semi")
@@ -272,8 +271,26 @@ def assign_representatives(items: DataFrame) -> DataFrame:
                 leaders_per_block *= LEADER_GROWTH
             expanded = expanded.unionByName(done)
             if has_crowded or not found.isEmpty():
-                edges = edges.unionByName(cut(similar_titles(pairs, wanted, titles)))
+                alike = cut(similar_titles(pairs, wanted, titles))
+                alike = None if alike.isEmpty() else alike
+        if alike is not None:
+            edges = edges.unionByName(alike)
+        if alike is not None or not settled:
+            assigned, settled = _settled(keys, addresses, item_kinds, edges, assigned), True
+        elif not waiting:
+            return assigned
+
+
+def _named(spans: DataFrame) -> DataFrame:
+    """The spans in which a representative may be found by likeness, with the kind it goes by."""
+    return spans.filter("day IS NOT NULL").withColumn("leader", _kind(F.col("key"), F.col("day"), F.col("numbers")))
 
+
+def _settled(keys: DataFrame, addresses: DataFrame, item_kinds: DataFrame, edges: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(pos, rep) when only the given edges count as similar: the assignment is recomputed until nothing moves."""
+    while True:
+        spans = _segments(keys, assigned)
+        near_spans = _named(spans)
         # Titles: a change of day does not interrupt a title, so spans of one title are joined up again.
         titled = spans.groupBy("rep", "key", F.col("titled_since").alias("since")).agg(
             F.max(F.col("until").isNull()).alias("open"), F.max("until").alias("end")
@@ -294,7 +311,7 @@ def assign_representatives(items: DataFrame) -> DataFrame:
         )
         moved = not updated.filter("rep != before").limit(1).isEmpty()
         assigned = updated.select("pos", "rep")
-        if not moved and not waiting:
+        if not moved:
             return assigned
 
 
